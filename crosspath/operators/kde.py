@@ -80,9 +80,13 @@ def _tile_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     points = np.stack(home["points"])
     x, w, hs = points[:, :-1], points[:, -1], np.asarray(home["hs"])
     sums = np.zeros((len(hs), len(x)))
-    for other in pdf.loc[~pdf["home"], "points"]:
+    for source, other in pdf.loc[~pdf["home"], ["source", "points"]].itertuples(index=False):
         y = np.stack(other)
         d2 = ((x[:, None, :] - y[None, :, :-1]) ** 2).sum(-1)
+        if source == home["tile"]:
+            # A vector leaves itself out but keeps its copies, which are at distance 0.
+            np.fill_diagonal(d2, np.inf)
+            sums += w - 1.0
         for k, h in enumerate(hs):
             sums[k] += np.exp(d2 * (-0.5 / (h * h))) @ y[:, -1]
     at = np.tile(np.arange(len(x)), len(hs))
@@ -95,16 +99,18 @@ _SUMS = "class string, tile bigint, n bigint, at bigint, k bigint, h double, w d
 
 
 def _kernel_sums(tiles: DataFrame, grid: DataFrame) -> DataFrame:
-    """Kernel sum of every distinct vector over its whole class (itself included), per bandwidth.
+    """Kernel sum of every distinct vector over the rest of its class, per bandwidth.
 
     grid: (class, n, hs). Result: (class, tile, at, n, k, h, w, total).
     """
     placed = tiles.join(grid, "class")
     runs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_tiles") - 1) / RUN)))
     homes = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_tiles") - 1))
-    here = placed.select("class", "n", "hs", "tile", runs.alias("run"), "points", F.lit(True).alias("home"))
+    here = placed.select("class", "n", "hs", "tile", runs.alias("run"), F.col("tile").alias("source"), "points",
+                         F.lit(True).alias("home"))
     there = placed.select("class", "n", F.array().cast("array<double>").alias("hs"), homes.alias("tile"),
-                          F.floor(F.col("tile") / RUN).alias("run"), "points", F.lit(False).alias("home"))
+                          F.floor(F.col("tile") / RUN).alias("run"), F.col("tile").alias("source"), "points",
+                          F.lit(False).alias("home"))
     # With very few vectors per class a hashed tile can be empty; it then has no home row.
     groups = here.unionByName(there).join(placed.select("class", "tile"), ["class", "tile"], "left_semi")
     parts = groups.groupBy("class", "tile", "run").applyInPandas(_tile_sums, _SUMS)
@@ -113,8 +119,7 @@ def _kernel_sums(tiles: DataFrame, grid: DataFrame) -> DataFrame:
 
 def _density(dims: int) -> Column:
     scale = F.pow(F.lit(2 * pi), F.lit(dims / 2)) * F.pow("h", F.lit(float(dims)))
-    # The vector's own kernel is exactly 1; its copies stay in.
-    return (F.col("total") - 1.0) / ((F.col("n") - 1) * scale)
+    return F.col("total") / ((F.col("n") - 1) * scale)
 
 
 def loo_likelihood(tiles: DataFrame, grid: DataFrame, dims: int = len(PARAMETERS)) -> DataFrame:
