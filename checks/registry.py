@@ -89,7 +89,7 @@ def model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disk points around the min_dist anchor of every pair."""
     prep = prepared(spark, sf_dir)
-    rows = prep.pairs.drop("anchor_frame").join(anchors.min_dist_anchor(prep), KEY).withColumnRenamed("L_m", "radius")
+    rows = prep.pairs.drop("anchor_frame", "anchor_kind").join(anchors.min_dist_anchor(prep), KEY).withColumnRenamed("L_m", "radius")
     return circle.disk_points(rows, prep.chunks)
 
 
@@ -225,7 +225,7 @@ def q_find_anchor(s, d):
 @query
 def q_circle_crossing(s, d):
     prep = prepared(s, d)
-    rows = prep.pairs.drop("anchor_frame").join(anchors.min_dist_anchor(prep), KEY).withColumnRenamed("L_m", "radius")
+    rows = prep.pairs.drop("anchor_frame", "anchor_kind").join(anchors.min_dist_anchor(prep), KEY).withColumnRenamed("L_m", "radius")
     return circle.circle_crossings(rows, prep.chunks).select(
         *ID, F.col("q_in.x").alias("in_x"), F.col("q_in.y").alias("in_y"), F.col("q_in.frame").alias("t_in_frame"),
         F.col("q_out.x").alias("out_x"), F.col("q_out.y").alias("out_y"), F.col("q_out.frame").alias("t_out_frame"))
@@ -256,9 +256,9 @@ def q_theta_geometry(s, d):
 
 @query
 def q_signed_angle(s, d):
-    """Angle from the first motion of each scenario's target to the first motion of its ego."""
-    first = [F.col(f"{r}_first.{c}") for r in ("ego", "target") for c in ("x", "y")]
-    return prepared(s, d).pairs.select(*ID, signed_angle(*first).alias("angle_deg"))
+    """Angle between the directions of both vehicles' first samples, seen from the origin."""
+    angle = signed_angle("ego_first.x", "ego_first.y", "target_first.x", "target_first.y")
+    return prepared(s, d).pairs.selectExpr(*ID, f"{angle} as angle_deg")
 
 
 @query

@@ -1,70 +1,69 @@
-"""Plane geometry as Spark column expressions (no UDF: everything stays JVM-side)."""
+"""Plane geometry as Spark SQL expression text.
 
-from __future__ import annotations
+The functions build expressions for ``selectExpr``/``expr`` from expressions, so they work
+on columns and inside array lambdas alike, and everything is evaluated JVM-side.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 
-def norm(dx: Column, dy: Column) -> Column:
+def norm(dx: str, dy: str) -> str:
     """Length of the vector (dx, dy)."""
-    return F.sqrt(dx * dx + dy * dy)
+    return f"sqrt(({dx}) * ({dx}) + ({dy}) * ({dy}))"
+
+
+def distance_sq(ax: str, ay: str, bx: str, by: str) -> str:
+    return f"(({ax} - {bx}) * ({ax} - {bx}) + ({ay} - {by}) * ({ay} - {by}))"
 
 
-def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    return norm(ax - bx, ay - by)
+def distance(ax: str, ay: str, bx: str, by: str) -> str:
+    return f"sqrt({distance_sq(ax, ay, bx, by)})"
 
 
-def distance_sq(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    dx, dy = ax - bx, ay - by
-    return dx * dx + dy * dy
+def between(a: str, b: str) -> str:
+    """Distance of two structs that have fields x and y."""
+    return distance(f"{a}.x", f"{a}.y", f"{b}.x", f"{b}.y")
 
 
-def signed_angle(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
+def signed_angle(ux: str, uy: str, vx: str, vy: str) -> str:
     """Angle in degrees that turns u onto v, counter-clockwise positive."""
-    return F.degrees(F.atan2(ux * vy - uy * vx, ux * vx + uy * vy))
+    return f"degrees(atan2(({ux}) * ({vy}) - ({uy}) * ({vx}), ({ux}) * ({vx}) + ({uy}) * ({vy})))"
 
 
-def rotate(ux: Column, uy: Column, deg: Column) -> tuple[Column, Column]:
+def rotate(ux: str, uy: str, deg: str) -> tuple[str, str]:
     """u turned by ``deg`` degrees."""
-    c, s = F.cos(F.radians(deg)), F.sin(F.radians(deg))
-    return c * ux - s * uy, s * ux + c * uy
+    c, s = f"cos(radians({deg}))", f"sin(radians({deg}))"
+    return f"({c} * {ux} - {s} * {uy})", f"({s} * {ux} + {c} * {uy})"
 
 
-def footprint_touches_circle(
-    x: Column, y: Column, heading_deg: Column, length: Column, width: Column,
-    cx: Column, cy: Column, radius: Column,
-) -> Column:
-    """Does the vehicle's rotated rectangle reach into the circle around (cx, cy)?
+def footprint_touches_circle(s: str, length: str, width: str, cx: str, cy: str, radius: str) -> str:
+    """Does the rotated rectangle of sample ``s`` (x, y, heading) reach into a circle?
 
-    The circle center is moved into the vehicle's own axes, where the rectangle
-    is axis-parallel and the gap to it is a per-axis excess.
+    The circle center is moved into the vehicle's own axes, where the rectangle is
+    axis-parallel and the gap to it is a per-axis excess.
     """
-    h = F.radians(heading_deg)
-    dx, dy = cx - x, cy - y
-    along = F.cos(h) * dx + F.sin(h) * dy
-    across = F.cos(h) * dy - F.sin(h) * dx
-    over_l = F.greatest(F.abs(along) - length / 2, F.lit(0.0))
-    over_w = F.greatest(F.abs(across) - width / 2, F.lit(0.0))
-    return norm(over_l, over_w) <= radius
+    c, n = f"cos(radians({s}.heading))", f"sin(radians({s}.heading))"
+    dx, dy = f"({cx} - {s}.x)", f"({cy} - {s}.y)"
+    over_l = f"greatest(abs({c} * {dx} + {n} * {dy}) - {length} / 2, 0D)"
+    over_w = f"greatest(abs({c} * {dy} - {n} * {dx}) - {width} / 2, 0D)"
+    return f"({norm(over_l, over_w)} <= {radius})"
 
 
-def box_gap_sq(ax0, ax1, ay0, ay1, bx0, bx1, by0, by1) -> Column:
-    """Squared distance between two axis-parallel boxes (0 when they overlap)."""
-    gx = F.greatest(bx0 - ax1, ax0 - bx1, F.lit(0.0))
-    gy = F.greatest(by0 - ay1, ay0 - by1, F.lit(0.0))
-    return gx * gx + gy * gy
+def box_gap_sq(a: str, b: str) -> str:
+    """Squared distance of two axis-parallel boxes (structs x0, x1, y0, y1); 0 when they overlap."""
+    gx = f"greatest({b}.x0 - {a}.x1, {a}.x0 - {b}.x1, 0D)"
+    gy = f"greatest({b}.y0 - {a}.y1, {a}.y0 - {b}.y1, 0D)"
+    return f"({gx} * {gx} + {gy} * {gy})"
 
 
-def circle_fraction(px, py, qx, qy, cx, cy, radius) -> Column:
-    """Fraction s in [0, 1] at which the segment p -> q leaves the circle.
+def circle_fraction(p: str, q: str, cx: str, cy: str, radius: str) -> str:
+    """Fraction s in [0, 1] at which the segment p -> q (structs x, y) leaves the circle.
 
     Larger root of |p + s (q - p) - c|^2 = radius^2; NULL for a zero-length segment.
     """
-    vx, vy, wx, wy = qx - px, qy - py, px - cx, py - cy
-    a = vx * vx + vy * vy
-    b = (vx * wx + vy * wy) * 2
-    c = wx * wx + wy * wy - radius * radius
-    disc = F.greatest(b * b - a * c * 4, F.lit(0.0))
-    s = (F.sqrt(disc) - b) / F.nullif(a * 2, F.lit(0.0))
-    return F.when(s.isNotNull(), F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)))
+    vx, vy, wx, wy = f"({q}.x - {p}.x)", f"({q}.y - {p}.y)", f"({p}.x - {cx})", f"({p}.y - {cy})"
+    a = f"({vx} * {vx} + {vy} * {vy})"
+    b = f"(2 * ({vx} * {wx} + {vy} * {wy}))"
+    c = f"({wx} * {wx} + {wy} * {wy} - {radius} * {radius})"
+    root = f"(sqrt(greatest({b} * {b} - 4 * {a} * {c}, 0D)) - {b}) / nullif(2 * {a}, 0D)"
+    return f"case when {a} > 0 then least(greatest({root}, 0D), 1D) end"

@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..schema import CONFLICT_THRESHOLD, FPS, KEY
 from .blocks import role_view
@@ -22,29 +21,25 @@ from .simultaneous import min_simultaneous
 
 def pet_anchor(prep: Prepared, threshold: float = CONFLICT_THRESHOLD, fps: float = FPS) -> DataFrame:
     """Target frame nearest to the PET boundary frame, or to the smallest same-time distance."""
-    crit = actor_anchor(pet(prep, threshold, fps)).where("crit_frame is not null")
-    windows = role_view(prep.pairs, "target").join(
-        crit.select(*KEY, F.col("anchor").alias("kind"), F.col("crit_frame").alias("at")), KEY)
-    near = nearest_sample(windows, prep.chunks, ["kind"])
-    return near.select(*KEY, F.col("kind").alias("anchor_kind"), F.col("near.frame").alias("anchor_frame"))
+    crit = actor_anchor(pet(prep, threshold, fps)).selectExpr(*KEY, "anchor as anchor_kind", "crit_frame as at")
+    windows = role_view(prep.pairs, "target").join(crit, KEY)
+    near = nearest_sample(windows, prep.chunks, ["anchor_kind"])
+    return near.selectExpr(*KEY, "anchor_kind", "near.frame as anchor_frame")
 
 
 def cross_anchor(prep: Prepared) -> DataFrame:
     """Target sample closest to the ego path at any time."""
-    return crossing_frame(prep).select(*KEY, F.lit("cross").alias("anchor_kind"),
-                                       F.col("best.target_frame").alias("anchor_frame"))
+    return crossing_frame(prep).selectExpr(*KEY, "'cross' as anchor_kind", "best.target_frame as anchor_frame")
 
 
 def min_dist_anchor(prep: Prepared) -> DataFrame:
     """Frame of the smallest same-time distance."""
-    return min_simultaneous(prep).select(*KEY, F.lit("min_dist").alias("anchor_kind"),
-                                         F.col("nearest.frame").alias("anchor_frame"))
+    return min_simultaneous(prep).selectExpr(*KEY, "'min_dist' as anchor_kind", "nearest.frame as anchor_frame")
 
 
 def given_anchor(prep: Prepared) -> DataFrame:
     """Anchor frames named in the scenario list; these pairs skip the search."""
-    return prep.pairs.where("anchor_frame is not null").select(
-        *KEY, F.lit("given").alias("anchor_kind"), "anchor_frame")
+    return prep.pairs.where("anchor_frame is not null").selectExpr(*KEY, "'given' as anchor_kind", "anchor_frame")
 
 
 def find_anchor(prep: Prepared, threshold: float = CONFLICT_THRESHOLD, fps: float = FPS,
@@ -55,7 +50,7 @@ def find_anchor(prep: Prepared, threshold: float = CONFLICT_THRESHOLD, fps: floa
     method it asks for. ``methods`` limits the branches that are planned at all.
     """
     def only(method: str) -> Prepared:
-        return Prepared(prep.pairs.where(F.col("anchor_frame").isNull() & (F.col("anchor") == method)), prep.chunks)
+        return Prepared(prep.pairs.where(f"anchor_frame is null and anchor = '{method}'"), prep.chunks)
 
     branch = {
         "pet": lambda: pet_anchor(only("pet"), threshold, fps),

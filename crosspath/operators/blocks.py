@@ -12,9 +12,7 @@ an equi-join on (recording, track, block):
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY, SAMPLE_FIELDS
@@ -25,84 +23,76 @@ TRACK_BLOCK = ["recording_id", "track_id", "block"]
 ROLES = ("ego", "target")
 
 
-def block_of(frame: Column) -> Column:
-    return F.floor(frame / F.lit(float(BLOCK)))
+def block_of(frame: str) -> str:
+    return f"floor({frame} / {BLOCK})"
 
 
 def referenced_tracks(scenarios: DataFrame) -> DataFrame:
     """Distinct (recording, track) that some interaction names as ego or target."""
-    ids = F.explode(F.array(*ROLES)).alias("track_id")
-    return scenarios.select("recording_id", ids).distinct()
+    return scenarios.selectExpr("recording_id", "explode(array(ego, target)) as track_id").distinct()
 
 
 def chunk_tracks(tracks: DataFrame, fields: list[str] = SAMPLE_FIELDS) -> DataFrame:
     """(recording_id, track_id, block, samples, x0, x1, y0, y1, f0, f1): one row per block.
 
     ``samples`` is in frame order; x0..y1 is the bounding box and f0, f1 the frame range.
-    Repeated rows of a frame are reduced to the smallest by ``fields`` order; that
-    minimum is also taken before the shuffle, so a mass of copies never meets in one
-    task, and a block never holds more than BLOCK samples. ``fields`` must be a prefix
-    of SAMPLE_FIELDS to keep the tie order.
+    Samples without a position are left out (they have no distance to anything). Repeated
+    rows of a frame are reduced to the smallest by ``fields`` order; that minimum is also
+    taken before the shuffle, so a mass of copies never meets in one task, and a block
+    never holds more than BLOCK samples. ``fields`` must be a prefix of SAMPLE_FIELDS to
+    keep the tie order.
 
     The partition count is fixed by spark.sql.shuffle.partitions: the joins that follow
     compute much more per byte than the size-based coalescing of partitions assumes.
     """
     n = int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    once = (tracks.select("recording_id", "track_id", "frame", F.struct("frame", *fields).alias("sample"))
-            .groupBy("recording_id", "track_id", "frame").agg(F.min("sample").alias("sample")).where(_usable()))
-    placed = once.withColumn("block", block_of(F.col("frame"))).repartition(n, *TRACK_BLOCK)
-    return placed.groupBy(*TRACK_BLOCK).agg(
-        F.sort_array(F.collect_list("sample")).alias("samples"),
-        F.min("sample.x").alias("x0"), F.max("sample.x").alias("x1"),
-        F.min("sample.y").alias("y0"), F.max("sample.y").alias("y1"),
-        F.min("frame").alias("f0"), F.max("frame").alias("f1"))
-
-
-def _usable() -> Column:
-    """Has a key and a position (a NaN position has no distance to anything)."""
-    keys = [F.col(c).isNotNull() for c in ("recording_id", "track_id", "frame")]
-    position = [F.col(f"sample.{c}").isNotNull() & ~F.isnan(f"sample.{c}") for c in ("x", "y")]
-    return reduce(Column.__and__, keys + position)
+    placed = "min(sample) filter (where sample.x is not null and sample.y is not null and not isnan(sample.x) and not isnan(sample.y))"
+    once = (tracks.where("recording_id is not null and track_id is not null and frame is not null")
+            .selectExpr("recording_id", "track_id", "frame", f"struct(frame, {', '.join(fields)}) as sample")
+            .groupBy("recording_id", "track_id", "frame").agg(F.expr(f"{placed} as sample")).where("sample is not null"))
+    blocks = once.selectExpr("recording_id", "track_id", f"{block_of('frame')} as block", "sample")
+    return blocks.repartition(n, *TRACK_BLOCK).groupBy(*TRACK_BLOCK).agg(*map(F.expr, (
+        "sort_array(collect_list(sample)) as samples", "min(sample.x) as x0", "max(sample.x) as x1",
+        "min(sample.y) as y0", "max(sample.y) as y1", "min(sample.frame) as f0", "max(sample.frame) as f1")))
 
 
 def track_extents(chunks: DataFrame) -> DataFrame:
     """First and last frame of every track."""
     return chunks.groupBy("recording_id", "track_id").agg(
-        F.min("f0").alias("first_frame"), F.max("f1").alias("last_frame"))
+        F.expr("min(f0) as first_frame"), F.expr("max(f1) as last_frame"))
 
 
-def in_window(samples: Column, lo: Column, hi: Column) -> Column:
-    """The samples of a block row with lo <= frame <= hi; only blocks at a window's edge are filtered."""
-    inside = (F.col("f0") >= lo) & (F.col("f1") <= hi)
-    return F.when(inside, samples).otherwise(
-        F.filter(samples, lambda s: (s["frame"] >= lo) & (s["frame"] <= hi)))
+# The samples of a block row with lo <= frame <= hi; only blocks at a window's edge are filtered.
+IN_WINDOW = """case when f0 >= lo and f1 <= hi then samples
+    else filter(samples, s -> s.frame >= lo and s.frame <= hi) end"""
+
+
+def role_windows(scenarios: DataFrame, extents: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """(KEY, carry, role, track_id, lo, hi): both roles of each interaction, with the frame
+    window narrowed to the frames the track has."""
+    roles = ", ".join(f"struct('{r}' as role, {r} as track_id)" for r in ROLES)
+    return (scenarios.selectExpr(*KEY, *carry, "min_frame", "max_frame", f"inline(array({roles}))")
+            .join(extents, ["recording_id", "track_id"])
+            .selectExpr(*KEY, *carry, "role", "track_id", "greatest(min_frame, first_frame) as lo",
+                        "least(max_frame, last_frame) as hi"))
 
 
 def explode_blocks(windows: DataFrame) -> DataFrame:
     """One row per block that the frame range [lo, hi] of a row touches."""
-    return (windows.where("lo <= hi")
-            .withColumn("block", F.explode(F.sequence(block_of(F.col("lo")), block_of(F.col("hi"))))))
+    return windows.where("lo <= hi").selectExpr("*", f"explode(sequence({block_of('lo')}, {block_of('hi')})) as block")
 
 
-def role_windows(scenarios: DataFrame, extents: DataFrame) -> DataFrame:
-    """(KEY, role, track_id, lo, hi): both roles of each interaction, with the frame
-    window narrowed to the frames the track has."""
-    roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("track_id")) for r in ROLES]))
-    return (scenarios.select(*KEY, "min_frame", "max_frame", roles.alias("r"))
-            .select(*KEY, "r.role", "r.track_id", "min_frame", "max_frame")
-            .join(extents, ["recording_id", "track_id"])
-            .select(*KEY, "role", "track_id", F.greatest("min_frame", "first_frame").alias("lo"),
-                    F.least("max_frame", "last_frame").alias("hi")))
+def in_blocks(windows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Window rows (recording_id, track_id, lo, hi, ...) joined to each block they touch."""
+    return explode_blocks(windows).join(chunks, TRACK_BLOCK)
 
 
 def attach(windows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Window rows (recording_id, track_id, lo, hi, ...) with the samples each block has
-    inside the window in the array column ``samples`` (possibly empty at a window's edge)."""
-    return (explode_blocks(windows).join(chunks, TRACK_BLOCK).where("f1 >= lo AND f0 <= hi")
-            .withColumn("samples", in_window(F.col("samples"), F.col("lo"), F.col("hi"))))
+    """``in_blocks`` with ``samples`` clipped to the window (possibly empty at its edge)."""
+    keep = [c for c in windows.columns if c not in TRACK_BLOCK]
+    return in_blocks(windows, chunks).selectExpr(*TRACK_BLOCK, *keep, f"{IN_WINDOW} as samples")
 
 
 def role_view(pairs: DataFrame, role: str, *extra: str) -> DataFrame:
     """Pairs as window rows of one role's track."""
-    return pairs.select(*KEY, *extra, F.col(role).alias("track_id"),
-                        F.col(f"{role}_lo").alias("lo"), F.col(f"{role}_hi").alias("hi"))
+    return pairs.selectExpr(*KEY, *extra, f"{role} as track_id", f"{role}_lo as lo", f"{role}_hi as hi")

@@ -7,7 +7,7 @@ leaves the circle, so both chords have length L.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import circle_fraction, distance
@@ -17,43 +17,36 @@ from .blocks import attach
 from .lookup import sample_at
 
 
-def _point(s: Column) -> Column:
-    return F.struct(s["frame"].alias("frame"), s["x"].alias("x"), s["y"].alias("y"))
+def _points(samples: str) -> str:
+    return f"transform({samples}, s -> struct(s.frame as frame, s.x as x, s.y as y))"
 
 
-def _leaving(located: DataFrame, chunks: DataFrame) -> DataFrame:
-    """First sample outside the circle on either side: (KEY, back, fwd), each struct<out, inner>.
-
-    ``inner`` is the sample before it on the walk, if it lies in the same block.
-    """
-    at = F.col("at_frame")
-    outside = F.filter("samples", lambda s: distance(s["x"], s["y"], F.col("qc_x"), F.col("qc_y")) >= F.col("radius"))
-    rows = (attach(located.select(*KEY, F.col("target").alias("track_id"), F.col("target_lo").alias("lo"),
-                                  F.col("target_hi").alias("hi"), "at_frame", "qc_x", "qc_y", "radius"), chunks)
-            .withColumn("outside", outside)
-            .withColumn("b", F.array_max(F.transform(F.filter("outside", lambda s: s["frame"] < at), _point)))
-            .withColumn("f", F.array_min(F.transform(F.filter("outside", lambda s: s["frame"] > at), _point))))
-    after = F.array_min(F.transform(F.filter("samples", lambda s: s["frame"] > F.col("b.frame")), _point))
-    before = F.array_max(F.transform(F.filter("samples", lambda s: s["frame"] < F.col("f.frame")), _point))
-    return (rows.select(*KEY, F.when(F.col("b").isNotNull(), F.struct(F.col("b").alias("out"), after.alias("inner"))).alias("back"),
-                        F.when(F.col("f").isNotNull(), F.struct(F.col("f").alias("out"), before.alias("inner"))).alias("fwd"))
-            .where("back is not null or fwd is not null")
-            .groupBy(*KEY).agg(F.max("back").alias("back"), F.min("fwd").alias("fwd")))
+def _leaving(circle: DataFrame, chunks: DataFrame) -> DataFrame:
+    """First sample outside the circle on either side: circle's columns, back and fwd, each
+    struct<out, inner>. ``inner`` is the sample before it on the walk, if in the same block."""
+    outside = f"filter(points, s -> {distance('s.x', 's.y', 'at.x', 'at.y')} >= radius)"
+    keep = [c for c in circle.columns if c not in KEY]
+    windows = circle.selectExpr("*", "target as track_id", "target_lo as lo", "target_hi as hi")
+    rows = (attach(windows, chunks).selectExpr(*KEY, *keep, f"{_points('samples')} as points")
+            .selectExpr("*", f"{outside} as outside")
+            .selectExpr("*", "array_max(filter(outside, s -> s.frame < at.frame)) as b",
+                        "array_min(filter(outside, s -> s.frame > at.frame)) as f"))
+    back = "case when b is not null then struct(b as out, array_min(filter(points, s -> s.frame > b.frame)) as inner) end as back"
+    fwd = "case when f is not null then struct(f as out, array_max(filter(points, s -> s.frame < f.frame)) as inner) end as fwd"
+    return (rows.selectExpr(*KEY, *keep, back, fwd).groupBy(*KEY, *keep)
+            .agg(F.expr("max(back) as back"), F.expr("min(fwd) as fwd")))
 
 
 def _inner_elsewhere(walked: DataFrame, chunks: DataFrame) -> DataFrame:
     """The sample before ``out`` on the walk where a block border (or gap) lies between the two."""
-    def side(name: str, lo: Column, hi: Column) -> Column:
-        return F.struct(F.lit(name).alias("side"), F.col("target").alias("track_id"), lo.alias("lo"), hi.alias("hi"),
-                        (F.col(f"{name}.out").isNotNull() & F.col(f"{name}.inner").isNull()).alias("open"))
-
-    windows = walked.select(*KEY, F.inline(F.array(
-        side("back", F.col("back.out.frame") + 1, F.col("at_frame")),
-        side("fwd", F.col("at_frame"), F.col("fwd.out.frame") - 1)))).where("open")
-    rows = attach(windows, chunks)
-    return rows.groupBy(*KEY).agg(
-        F.min(F.when(F.col("side") == "back", _point(F.get("samples", F.lit(0))))).alias("back_inner"),
-        F.max(F.when(F.col("side") == "fwd", F.array_max(F.transform("samples", _point)))).alias("fwd_inner"))
+    windows = walked.selectExpr(*KEY, """inline(array(
+        struct('back' as side, target as track_id, back.out.frame + 1 as lo, at.frame as hi,
+               back.out is not null and back.inner is null as open),
+        struct('fwd' as side, target as track_id, at.frame as lo, fwd.out.frame - 1 as hi,
+               fwd.out is not null and fwd.inner is null as open)))""").where("open")
+    rows = attach(windows, chunks).selectExpr(*KEY, "side", f"{_points('samples')} as points")
+    return rows.groupBy(*KEY).agg(F.expr("min(array_min(points)) filter (where side = 'back') as back_inner"),
+                                  F.expr("max(array_max(points)) filter (where side = 'fwd') as fwd_inner"))
 
 
 def circle_crossings(anchored: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -62,35 +55,28 @@ def circle_crossings(anchored: DataFrame, chunks: DataFrame) -> DataFrame:
     anchored: (KEY, target, target_lo, target_hi, anchor_frame, radius, ...), other columns
     are kept. Adds at (the anchor sample or NULL) and q_in, q_out: struct<x, y, frame>.
     """
-    located = stage(sample_at(anchored, chunks, F.col("anchor_frame"), "at"))
-    circle = located.where("at is not null").select(
-        *KEY, "target", "target_lo", "target_hi", "radius", F.col("at.frame").alias("at_frame"),
-        F.col("at.x").alias("qc_x"), F.col("at.y").alias("qc_y"))
-    walked = stage(circle.join(_leaving(circle, chunks), KEY))
-    walked = walked.join(_inner_elsewhere(walked, chunks), KEY, "left")
+    located = sample_at(anchored, chunks, "anchor_frame", "at")
+    walked = stage(_leaving(located, chunks))
+    rows = walked.join(_inner_elsewhere(walked, chunks), KEY, "left").selectExpr(
+        *located.columns, "back.out as b_out", "coalesce(back.inner, back_inner) as b_in",
+        "fwd.out as f_out", "coalesce(fwd.inner, fwd_inner) as f_in")
+    rows = rows.selectExpr("*", *[f"{circle_fraction(f'{w}_in', f'{w}_out', 'at.x', 'at.y', 'radius')} as {w}_s" for w in "bf"])
 
-    def crossing(name: str) -> Column:
-        b = F.col(f"{name}.out")
-        a = F.coalesce(F.col(f"{name}.inner"), F.col(f"{name}_inner"))
-        s = circle_fraction(a["x"], a["y"], b["x"], b["y"], F.col("qc_x"), F.col("qc_y"), F.col("radius"))
-        return F.when(s.isNotNull(), F.struct(
-            (a["x"] + s * (b["x"] - a["x"])).alias("x"), (a["y"] + s * (b["y"] - a["y"])).alias("y"),
-            (a["frame"] + s * (b["frame"] - a["frame"])).alias("frame")))
+    def crossing(w: str, out: str) -> str:
+        parts = ", ".join(f"{w}_in.{c} + {w}_s * ({w}_out.{c} - {w}_in.{c}) as {c}" for c in ("x", "y", "frame"))
+        return f"case when {w}_s is not null then struct({parts}) end as {out}"
 
-    return located.join(walked.select(*KEY, crossing("back").alias("q_in"), crossing("fwd").alias("q_out")), KEY, "left")
+    return rows.selectExpr(*located.columns, crossing("b", "q_in"), crossing("f", "q_out"))
 
 
 def disk_points(anchored: DataFrame, chunks: DataFrame) -> DataFrame:
     """Entry, anchor and exit points with their status.
 
-    Adds status, qc_x, qc_y, qm_x, qm_y, t_in_frame, qp_x, qp_y, t_out_frame and at;
-    a point that exists is reported even when the other side is missing.
+    Adds at, status, qc_x, qc_y, qm_x, qm_y, t_in_frame, qp_x, qp_y, t_out_frame; a point
+    that exists is reported even when the other side is missing.
     """
-    no_in, no_out = F.col("q_in").isNull(), F.col("q_out").isNull()
-    status = (F.when(F.col("at").isNull(), "no_anchor_sample").when(no_in & no_out, "both_unavailable")
-              .when(no_in, "q_in_unavailable").when(no_out, "q_out_unavailable").otherwise("ok"))
-    return (circle_crossings(anchored, chunks)
-            .withColumns({"status": status, "qc_x": F.col("at.x"), "qc_y": F.col("at.y"),
-                          "qm_x": F.col("q_in.x"), "qm_y": F.col("q_in.y"), "t_in_frame": F.col("q_in.frame"),
-                          "qp_x": F.col("q_out.x"), "qp_y": F.col("q_out.y"), "t_out_frame": F.col("q_out.frame")})
-            .drop("q_in", "q_out"))
+    status = """case when at is null then 'no_anchor_sample' when q_in is null and q_out is null then 'both_unavailable'
+        when q_in is null then 'q_in_unavailable' when q_out is null then 'q_out_unavailable' else 'ok' end as status"""
+    return circle_crossings(anchored, chunks).selectExpr(
+        *anchored.columns, "at", status, "at.x as qc_x", "at.y as qc_y", "q_in.x as qm_x", "q_in.y as qm_y",
+        "q_in.frame as t_in_frame", "q_out.x as qp_x", "q_out.y as qp_y", "q_out.frame as t_out_frame")

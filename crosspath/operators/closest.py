@@ -13,93 +13,75 @@ grows with the window length rather than with its square.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_gap_sq, distance_sq
 from ..schema import KEY
 from . import blocks as B
-from .blocks import block_of
 from .pairs import Prepared
 
 # Rounding slack on the lower bound, so that a tie in the last bit is never pruned.
 SLACK = 1e-9
 
+_KEYS = ", ".join(KEY)
+_ENDS = ["ego", "target", "ego_lo", "ego_hi", "target_lo", "target_hi"]
 
-def _some_sample() -> Column:
-    """A sample of the block that lies inside the window (NULL if there is none)."""
-    samples, lo, hi = F.col("samples"), F.col("lo"), F.col("hi")
-    return (F.when((F.col("f0") >= lo) & (F.col("f0") <= hi), F.get(samples, F.lit(0)))
-            .otherwise(F.get(F.filter(samples, lambda s: (s["frame"] >= lo) & (s["frame"] <= hi)), F.lit(0))))
-
-
-def _node() -> Column:
-    """Box of a block row (of the whole block, so never too small) and one sample in the window."""
-    p = _some_sample()
-    parts = {"x0": F.col("x0"), "x1": F.col("x1"), "y0": F.col("y0"), "y1": F.col("y1"), "px": p["x"], "py": p["y"]}
-    return F.named_struct(*[c for name, value in parts.items() for c in (F.lit(name), value)])
-
-
-def _bounds(pairs: DataFrame, keep: list[str]) -> DataFrame:
-    """Lower and upper bound of each node pair; then only pairs that can hold the minimum."""
-    e, t = F.col("e"), F.col("t")
-    gap = box_gap_sq(e["x0"], e["x1"], e["y0"], e["y1"], t["x0"], t["x1"], t["y0"], t["y1"])
-    seen = distance_sq(e["px"], e["py"], t["px"], t["py"])
-    bounded = pairs.select(*keep, gap.alias("gap"), seen.alias("seen"))
-    best = F.min("seen").over(Window.partitionBy(*KEY))
-    return (bounded.withColumn("best", best)
-            .where(F.col("gap") <= F.col("best") * (1 + SLACK) + SLACK * SLACK).select(*keep))
-
-
-def _super_boxes(prep: Prepared, role: str, short: str) -> DataFrame:
-    """Super-blocks of one role: (KEY, <short>_from, <short>_to, node struct)."""
-    windows = (B.role_view(prep.pairs, role)
-               .withColumn("b0", block_of(F.col("lo"))).withColumn("b1", block_of(F.col("hi")))
-               .withColumn("span", F.ceil(F.sqrt(F.col("b1") - F.col("b0") + 1))))
-    sup = F.col("b0") + F.floor((F.col("block") - F.col("b0")) / F.col("span")) * F.col("span")
-    rows = (B.explode_blocks(windows).join(prep.chunks, B.TRACK_BLOCK)
-            .select(*KEY, sup.alias("from"), F.least(sup + F.col("span") - 1, F.col("b1")).alias("to"),
-                    _node().alias("n")).where("n.px is not null"))
-    # Any real sample serves as upper bound; min(px) and min(py) alone might not be one.
-    grouped = rows.groupBy(*KEY, "from", "to").agg(
-        F.min("n.x0").alias("x0"), F.max("n.x1").alias("x1"), F.min("n.y0").alias("y0"), F.max("n.y1").alias("y1"),
-        F.min(F.struct("n.px", "n.py")).alias("p"))
-    return grouped.select(*KEY, F.col("from").alias(f"{short}_from"), F.col("to").alias(f"{short}_to"),
-                          F.struct("x0", "x1", "y0", "y1", "p.px", "p.py").alias(short))
-
-
-def _with_block(rows: DataFrame, prep: Prepared, role: str, block: str) -> DataFrame:
-    """Join one role's track block; ``lo``/``hi`` become that role's window."""
-    chunks = prep.chunks.withColumnsRenamed({"track_id": role, "block": block})
-    return (rows.join(chunks, ["recording_id", role, block])
-            .withColumn("lo", F.col(f"{role}_lo")).withColumn("hi", F.col(f"{role}_hi")))
+# A block row as a node: the box of the whole block (never too small) and one sample
+# that lies inside the window (NULL if there is none).
+_NODE = """struct(x0, x1, y0, y1, case when f0 >= lo and f0 <= hi then get(samples, 0)
+    else get(filter(samples, s -> s.frame >= lo and s.frame <= hi), 0) end as p)"""
 
 
-_ENDS = ["ego", "target", "ego_lo", "ego_hi", "target_lo", "target_hi"]
+def _prune(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """Keep the node pairs (e, t) that can hold their interaction's minimum."""
+    seen = distance_sq("e.p.x", "e.p.y", "t.p.x", "t.p.y")
+    return (pairs.selectExpr(*keep, f"{box_gap_sq('e', 't')} as gap", f"{seen} as seen")
+            .selectExpr("*", f"min(seen) over (partition by {_KEYS}) as best")
+            .where(f"gap <= best * {1 + SLACK}D + {SLACK * SLACK}D").select(*keep))
+
+
+def _super_nodes(prep: Prepared, role: str, short: str, carry: list[str]) -> DataFrame:
+    """Super-blocks of one role: (KEY, carry, <short>_from, <short>_to, node struct <short>)."""
+    windows = B.role_view(prep.pairs, role, *carry).selectExpr(
+        "*", f"{B.block_of('lo')} as b0", f"{B.block_of('hi')} as b1").selectExpr(
+        "*", "cast(ceil(sqrt(b1 - b0 + 1)) as bigint) as span")
+    rows = (B.in_blocks(windows, prep.chunks)
+            .selectExpr(*KEY, *carry, "b0 + (block - b0) div span * span as from", "span", "b1", f"{_NODE} as n")
+            .where("n.p is not null").selectExpr("*", "least(from + span - 1, b1) as to"))
+    node = ", ".join(f"{agg}(n.{c}) as {c}" for agg, c in (("min", "x0"), ("max", "x1"), ("min", "y0"), ("max", "y1")))
+    return rows.groupBy(*KEY, *carry, F.col("from").alias(f"{short}_from"), F.col("to").alias(f"{short}_to")).agg(
+        F.expr(f"struct({node}, min(struct(n.p.x, n.p.y)) as p) as {short}"))
+
+
+def _with_block(rows: DataFrame, prep: Prepared, role: str, block: str, *out: str) -> DataFrame:
+    """Join one role's track block and select ``out``, where lo..hi is that role's window."""
+    chunks = prep.chunks.withColumnsRenamed({"track_id": role, "block": block})
+    return (rows.join(chunks, ["recording_id", role, block])
+            .selectExpr("*", f"{role}_lo as lo", f"{role}_hi as hi").selectExpr(*out))
 
 
 def candidate_blocks(prep: Prepared) -> DataFrame:
     """Block pairs that can hold the closest sample pair: (KEY, window columns, e_block, t_block)."""
-    sup = _super_boxes(prep, "ego", "e").join(_super_boxes(prep, "target", "t"), KEY)
-    sup = _bounds(sup, [*KEY, "e_from", "e_to", "t_from", "t_to"])
-    rows = (sup.join(prep.pairs.select(*KEY, *_ENDS), KEY)
-            .withColumn("e_block", F.explode(F.sequence("e_from", "e_to"))))
-    rows = (_with_block(rows, prep, "ego", "e_block")
-            .select(*KEY, *_ENDS, "e_block", _node().alias("e"),
-                    F.explode(F.sequence("t_from", "t_to")).alias("t_block")))
-    rows = _with_block(rows, prep, "target", "t_block").withColumn("t", _node())
-    return _bounds(rows, [*KEY, *_ENDS, "e_block", "t_block"])
-
-
-def _best_pair(prep: Prepared, candidate) -> DataFrame:
-    """Smallest ``candidate(ego sample, target sample)`` struct of each interaction."""
-    clipped = B.in_window(F.col("samples"), F.col("lo"), F.col("hi"))
-    rows = (_with_block(candidate_blocks(prep), prep, "ego", "e_block")
-            .select(*KEY, *_ENDS, "t_block", clipped.alias("es")))
-    rows = _with_block(rows, prep, "target", "t_block").select(*KEY, "es", clipped.alias("ts"))
-    per_ego = F.transform("es", lambda e: F.array_min(F.transform("ts", lambda t: candidate(e, t))))
-    return (rows.select(*KEY, F.array_min(per_ego).alias("best"))
-            .groupBy(*KEY).agg(F.min("best").alias("best")))
+    sup = _super_nodes(prep, "ego", "e", _ENDS).join(_super_nodes(prep, "target", "t", []), KEY)
+    rows = (_prune(sup, [*KEY, *_ENDS, "e_from", "e_to", "t_from", "t_to"])
+            .selectExpr("*", "explode(sequence(e_from, e_to)) as e_block"))
+    rows = _with_block(rows, prep, "ego", "e_block", *KEY, *_ENDS, "e_block", f"{_NODE} as e",
+                       "explode(sequence(t_from, t_to)) as t_block")
+    rows = _with_block(rows, prep, "target", "t_block", *KEY, *_ENDS, "e_block", "t_block", "e", f"{_NODE} as t")
+    return _prune(rows, [*KEY, *_ENDS, "e_block", "t_block"])
+
+
+def _best_pair(prep: Prepared, candidate: str) -> DataFrame:
+    """Smallest ``candidate`` struct (of ego sample e and target sample t) of each interaction."""
+    rows = _with_block(candidate_blocks(prep), prep, "ego", "e_block",
+                       *KEY, *_ENDS, "t_block", f"{B.IN_WINDOW} as es")
+    rows = _with_block(rows, prep, "target", "t_block", *KEY, "es", f"{B.IN_WINDOW} as ts")
+    best = f"array_min(transform(es, e -> array_min(transform(ts, t -> {candidate})))) as best"
+    return rows.selectExpr(*KEY, best).groupBy(*KEY).agg(F.expr("min(best) as best"))
+
+
+_D2 = distance_sq("e.x", "e.y", "t.x", "t.y")
 
 
 def closest_pair(prep: Prepared) -> DataFrame:
@@ -108,10 +90,8 @@ def closest_pair(prep: Prepared) -> DataFrame:
     Ties go to the lowest ego frame, then the lowest target frame.
     (KEY, best: struct<d2, ego_frame, target_frame, ego_x, ego_y, target_x, target_y>)
     """
-    return _best_pair(prep, lambda e, t: F.struct(
-        distance_sq(e["x"], e["y"], t["x"], t["y"]).alias("d2"),
-        e["frame"].alias("ego_frame"), t["frame"].alias("target_frame"),
-        e["x"].alias("ego_x"), e["y"].alias("ego_y"), t["x"].alias("target_x"), t["y"].alias("target_y")))
+    return _best_pair(prep, f"""struct({_D2} as d2, e.frame as ego_frame, t.frame as target_frame,
+        e.x as ego_x, e.y as ego_y, t.x as target_x, t.y as target_y)""")
 
 
 def crossing_frame(prep: Prepared) -> DataFrame:
@@ -119,5 +99,4 @@ def crossing_frame(prep: Prepared) -> DataFrame:
 
     Distances are compared as rounded square roots and ties go to the lowest target frame.
     """
-    return _best_pair(prep, lambda e, t: F.struct(
-        F.sqrt(distance_sq(e["x"], e["y"], t["x"], t["y"])).alias("distance"), t["frame"].alias("target_frame")))
+    return _best_pair(prep, f"struct(sqrt({_D2}) as distance, t.frame as target_frame)")

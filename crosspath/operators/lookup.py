@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY
 from .blocks import attach, block_of
 
 
-def sample_at(rows: DataFrame, chunks: DataFrame, frame: Column, out: str) -> DataFrame:
+def sample_at(rows: DataFrame, chunks: DataFrame, frame: str, out: str) -> DataFrame:
     """Add the target sample of exactly ``frame`` inside [target_lo, target_hi] as struct ``out``.
 
     At most one block can hold it, so this is one left equi-join and no aggregation.
     """
-    blocks = chunks.select("recording_id", F.col("track_id").alias("target"), "block", "samples")
-    hit = F.filter("samples", lambda s: (s["frame"] == frame) & s["frame"].between(F.col("target_lo"), F.col("target_hi")))
-    return (rows.withColumn("block", block_of(frame)).join(blocks, ["recording_id", "target", "block"], "left")
-            .withColumn(out, F.get(hit, F.lit(0))).drop("block", "samples"))
+    blocks = chunks.selectExpr("recording_id", "track_id as target", "block", "samples")
+    hit = f"get(filter(samples, s -> s.frame = {frame} and s.frame between target_lo and target_hi), 0) as {out}"
+    return (rows.selectExpr("*", f"{block_of(frame)} as block")
+            .join(blocks, ["recording_id", "target", "block"], "left").selectExpr(*rows.columns, hit))
 
 
-def nearest_sample(windows: DataFrame, chunks: DataFrame, tag: list[str] = ()) -> DataFrame:
+def nearest_sample(windows: DataFrame, chunks: DataFrame, carry: list[str] = ()) -> DataFrame:
     """Sample nearest in time to frame ``at`` of each window row; ties go to the lower frame.
 
-    windows: (KEY, *tag, track_id, lo, hi, at). Result: (KEY, *tag, near: struct<gap, frame, x, y>).
+    windows: (KEY, carry, track_id, lo, hi, at), a row per (KEY, carry).
+    Result: (KEY, carry, near: struct<gap, frame, x, y>).
     """
-    candidates = F.transform("samples", lambda s: F.struct(
-        F.abs(s["frame"] - F.col("at")).alias("gap"), s["frame"].alias("frame"), s["x"].alias("x"), s["y"].alias("y")))
-    rows = attach(windows.where("at is not null"), chunks).select(*KEY, *tag, F.array_min(candidates).alias("near"))
-    return rows.groupBy(*KEY, *tag).agg(F.min("near").alias("near"))
+    near = "array_min(transform(samples, s -> struct(abs(s.frame - at) as gap, s.frame as frame, s.x as x, s.y as y))) as near"
+    return (attach(windows.where("at is not null"), chunks).selectExpr(*KEY, *carry, near)
+            .groupBy(*KEY, *carry).agg(F.expr("min(near) as near")))

@@ -28,36 +28,29 @@ class Prepared:
 MIN_SAMPLES = 2
 
 
+def only_referenced(tracks: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Semi-join of the tracks to the ids that occur in the scenario list."""
+    return tracks.join(B.referenced_tracks(scenarios), ["recording_id", "track_id"], "left_semi")
+
+
 def window_samples(scenarios: DataFrame, tracks: DataFrame) -> DataFrame:
     """Long table of the samples inside each interaction's frame window, per role.
 
     Window bounds are inclusive; a frame appears once per (interaction, role).
     """
-    chunks = B.chunk_tracks(only_referenced(tracks, scenarios))
+    chunks = stage(B.chunk_tracks(only_referenced(tracks, scenarios)))
     rows = B.attach(B.role_windows(scenarios, B.track_extents(chunks)), chunks)
-    return rows.select(*KEY, "role", "track_id", F.inline("samples"))
+    return rows.selectExpr(*KEY, "role", "track_id", "inline(samples)")
 
 
-def only_referenced(tracks: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Semi-join of the tracks to the ids that occur in the scenario list."""
-    return tracks.join(B.referenced_tracks(scenarios), ["recording_id", "track_id"], "left_semi")
-
-
-def summarize(scenarios: DataFrame, chunks: DataFrame) -> DataFrame:
+def summarize(scenarios: DataFrame, chunks: DataFrame, carry: list[str] = ()) -> DataFrame:
     """One row per interaction with at least one sample: counts, frame ranges, first samples."""
-    rows = B.attach(B.role_windows(scenarios, B.track_extents(chunks)), chunks)
-    aggs = []
-    for role in B.ROLES:
-        mine = F.col("role") == role
-        aggs += [
-            F.sum(F.when(mine, F.size("samples")).otherwise(0)).alias(f"{role}_n"),
-            F.max(F.when(mine, F.array_max("samples")["frame"])).alias(f"{role}_hi"),
-            F.min(F.when(mine, F.get("samples", F.lit(0)))).alias(f"{role}_first"),
-        ]
-    wide = rows.groupBy(*KEY).agg(*aggs)
-    for role in B.ROLES:
-        wide = wide.withColumn(f"{role}_lo", F.col(f"{role}_first.frame"))
-    return wide
+    carry = ["ego", "target", *carry]
+    rows = B.attach(B.role_windows(scenarios, B.track_extents(chunks), carry), chunks).selectExpr(
+        *KEY, *carry, "role", "size(samples) as n", "get(samples, 0) as first", "get(samples, size(samples) - 1).frame as last")
+    aggs = [F.expr(f"{agg} filter (where role = '{r}') as {r}_{name}") for r in B.ROLES
+            for agg, name in (("sum(n)", "n"), ("min(first.frame)", "lo"), ("max(last)", "hi"), ("min(first)", "first"))]
+    return rows.groupBy(*KEY, *carry).agg(*aggs)
 
 
 def prepare(tracks: DataFrame, scenarios: DataFrame, fields: list[str] = SAMPLE_FIELDS,
@@ -69,7 +62,5 @@ def prepare(tracks: DataFrame, scenarios: DataFrame, fields: list[str] = SAMPLE_
     ``keep`` names scenario columns to carry along on the pairs.
     """
     chunks = stage(B.chunk_tracks(only_referenced(tracks, scenarios), fields))
-    gate = (F.col("ego_n") >= MIN_SAMPLES) & (F.col("target_n") >= MIN_SAMPLES)
-    pairs = summarize(scenarios, chunks).where(gate)
-    pairs = scenarios.select(*KEY, "ego", "target", *keep).join(pairs, KEY)
-    return Prepared(stage(pairs), chunks)
+    gate = f"ego_n >= {MIN_SAMPLES} and target_n >= {MIN_SAMPLES}"
+    return Prepared(stage(summarize(scenarios, chunks, keep).where(gate)), chunks)

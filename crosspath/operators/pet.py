@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import footprint_touches_circle
@@ -14,13 +14,15 @@ from .lookup import nearest_sample
 from .pairs import Prepared
 from .simultaneous import min_simultaneous
 
+_PAIR = ["ego", "target", "ego_lo", "ego_hi", "target_lo", "target_hi", "ego_first", "target_first"]
+
 
 def encounters(prep: Prepared) -> DataFrame:
     """Pairs with a common frame, plus ``nearest`` (same time) and ``best`` (any time).
 
     Pairs that share no frame leave before the closest-pair search.
     """
-    met = stage(prep.pairs.join(min_simultaneous(prep), KEY))
+    met = stage(min_simultaneous(prep, _PAIR))
     return met.join(closest_pair(Prepared(met, prep.chunks)), KEY)
 
 
@@ -30,40 +32,29 @@ def conflict_zones(encounter: DataFrame, threshold: float = CONFLICT_THRESHOLD)
     Each vehicle's zone lies on its own path at the closest point; its radius is the
     other vehicle's width.
     """
-    def side(role: str, other: str) -> Column:
-        first = F.col(f"{role}_first")
-        return F.struct(
-            F.lit(role).alias("role"), F.col(role).alias("track_id"),
-            F.col(f"{role}_lo").alias("lo"), F.col(f"{role}_hi").alias("hi"),
-            F.col(f"best.{role}_x").alias("zone_x"), F.col(f"best.{role}_y").alias("zone_y"),
-            F.col(f"{other}_first.width").alias("radius"), first["length"].alias("length"), first["width"].alias("width"))
-
-    close = encounter.where(F.sqrt("best.d2") <= F.lit(float(threshold)))
-    return close.select(*KEY, F.inline(F.array(side("ego", "target"), side("target", "ego"))))
+    sides = ", ".join(
+        f"""struct('{r}' as role, {r} as track_id, {r}_lo as lo, {r}_hi as hi, best.{r}_x as zone_x, best.{r}_y as zone_y,
+        {other}_first.width as radius, {r}_first.length as length, {r}_first.width as width)"""
+        for r, other in (("ego", "target"), ("target", "ego")))
+    return encounter.where(f"sqrt(best.d2) <= {float(threshold)}D").selectExpr(*KEY, f"inline(array({sides}))")
 
 
-def _inside(s: Column) -> Column:
-    return footprint_touches_circle(s["x"], s["y"], s["heading"], F.col("length"), F.col("width"),
-                                    F.col("zone_x"), F.col("zone_y"), F.col("radius"))
+_INSIDE = footprint_touches_circle("s", "length", "width", "zone_x", "zone_y", "radius")
 
 
 def zone_overlap(zones: DataFrame, prep: Prepared) -> DataFrame:
     """Per-sample overlap of the vehicle footprint with its zone: (KEY, role, frame, inside)."""
-    flags = F.transform("samples", lambda s: F.struct(s["frame"].alias("frame"), _inside(s).alias("inside")))
-    return attach(zones, prep.chunks).select(*KEY, "role", F.inline(flags))
+    return attach(zones, prep.chunks).selectExpr(
+        *KEY, "role", f"inline(transform(samples, s -> struct(s.frame as frame, {_INSIDE} as inside)))")
 
 
 def zone_enter_exit(zones: DataFrame, prep: Prepared) -> DataFrame:
     """First and last frame in the zone per vehicle: (KEY, enter1, exit1, enter2, exit2)."""
-    frames = F.transform(F.filter("samples", _inside), lambda s: s["frame"])
-    rows = attach(zones, prep.chunks).select(
-        *KEY, "role", F.array_min(frames).alias("enter"), F.array_max(frames).alias("exit"))
-    aggs = []
-    for i, role in enumerate(ROLES, start=1):
-        mine = F.col("role") == role
-        aggs += [F.min(F.when(mine, F.col("enter"))).alias(f"enter{i}"),
-                 F.max(F.when(mine, F.col("exit"))).alias(f"exit{i}")]
-    return rows.groupBy(*KEY).agg(*aggs)
+    rows = (attach(zones, prep.chunks).selectExpr(*KEY, "role", f"filter(samples, s -> {_INSIDE}).frame as frames")
+            .selectExpr(*KEY, "role", "array_min(frames) as enter", "array_max(frames) as exit"))
+    return rows.groupBy(*KEY).agg(*[
+        F.expr(f"{agg} filter (where role = '{role}') as {name}{i}") for i, role in enumerate(ROLES, start=1)
+        for agg, name in (("min(enter)", "enter"), ("max(exit)", "exit"))])
 
 
 def pet(prep: Prepared, threshold: float = CONFLICT_THRESHOLD, fps: float = FPS) -> DataFrame:
@@ -74,70 +65,58 @@ def pet(prep: Prepared, threshold: float = CONFLICT_THRESHOLD, fps: float = FPS)
     path_min_distance, zone1_x, zone1_y, zone2_x, zone2_y, min_distance,
     min_distance_frame, v1_mindist_x, v1_mindist_y, v2_mindist_x, v2_mindist_y)
     """
-    met = stage(encounters(prep).select(
-        *KEY, "ego", "target", "ego_lo", "ego_hi", "target_lo", "target_hi", "ego_first", "target_first",
-        "nearest", "best"))
+    met = stage(encounters(prep).select(*KEY, *_PAIR, "nearest", "best"))
     frames = zone_enter_exit(conflict_zones(met, threshold), prep)
-    both = (prep.pairs.select(*KEY).join(met.select(*KEY, "nearest", "best"), KEY, "left")
-            .join(frames, KEY, "left"))
-    gone1, gone2 = F.col("exit1") < F.col("enter2"), F.col("exit2") < F.col("enter1")
-    defined = F.col("enter1").isNotNull() & F.col("enter2").isNotNull()
-
-    def case(first: Column, second: Column, overlap: Column) -> Column:
-        return F.when(defined, F.when(gone1, first).when(gone2, second).otherwise(overlap))
-
-    seconds = case((F.col("enter2") - F.col("exit1")) / F.lit(float(fps)),
-                   -(F.col("enter1") - F.col("exit2")) / F.lit(float(fps)), F.lit(0.0))
-    reason = (F.when(F.col("nearest").isNull(), "no_frame_overlap")
-              .when(~defined, "no_conflict_zone_entry"))
-    occupied = [F.when(defined, F.col(c)).alias(c) for c in ("enter1", "exit1", "enter2", "exit2")]
-    return both.select(
-        *KEY, F.bround(seconds, 3).alias("pet"), reason.alias("reason"),
-        case(F.lit(1), F.lit(2), F.lit(0)).cast("bigint").alias("first_passer"),
-        case(F.col("exit1"), F.col("exit2"), F.greatest("enter1", "enter2")).alias("pet_frame1"),
-        case(F.col("enter2"), F.col("enter1"), F.least("exit1", "exit2")).alias("pet_frame2"),
-        *occupied,
-        F.bround(F.sqrt("best.d2"), 4).alias("path_min_distance"),
-        F.col("best.ego_x").alias("zone1_x"), F.col("best.ego_y").alias("zone1_y"),
-        F.col("best.target_x").alias("zone2_x"), F.col("best.target_y").alias("zone2_y"),
-        F.bround("nearest.distance", 4).alias("min_distance"), F.col("nearest.frame").alias("min_distance_frame"),
-        F.col("nearest.ego_x").alias("v1_mindist_x"), F.col("nearest.ego_y").alias("v1_mindist_y"),
-        F.col("nearest.target_x").alias("v2_mindist_x"), F.col("nearest.target_y").alias("v2_mindist_y"))
+    passed = """case when enter1 is null or enter2 is null then null when exit1 < enter2 then 1
+        when exit2 < enter1 then 2 else 0 end as passed"""
+    rows = (prep.pairs.select(*KEY).join(met.select(*KEY, "nearest", "best"), KEY, "left")
+            .join(frames, KEY, "left").selectExpr("*", passed))
+
+    def case(first: str, second: str, overlap: str) -> str:
+        return f"case passed when 1 then {first} when 2 then {second} when 0 then {overlap} end"
+
+    seconds = case(f"(enter2 - exit1) / {float(fps)}D", f"-((enter1 - exit2) / {float(fps)}D)", "0D")
+    return rows.selectExpr(
+        *KEY, f"bround({seconds}, 3) as pet",
+        "case when nearest is null then 'no_frame_overlap' when passed is null then 'no_conflict_zone_entry' end as reason",
+        "cast(passed as bigint) as first_passer",
+        case("exit1", "exit2", "greatest(enter1, enter2)") + " as pet_frame1",
+        case("enter2", "enter1", "least(exit1, exit2)") + " as pet_frame2",
+        *[f"case when passed is not null then {c} end as {c}" for c in ("enter1", "exit1", "enter2", "exit2")],
+        "bround(sqrt(best.d2), 4) as path_min_distance", "best.ego_x as zone1_x", "best.ego_y as zone1_y",
+        "best.target_x as zone2_x", "best.target_y as zone2_y", "bround(nearest.distance, 4) as min_distance",
+        "nearest.frame as min_distance_frame", "nearest.ego_x as v1_mindist_x", "nearest.ego_y as v1_mindist_y",
+        "nearest.target_x as v2_mindist_x", "nearest.target_y as v2_mindist_y")
 
 
 def boundary_positions(pets: DataFrame, prep: Prepared) -> DataFrame:
     """Where each vehicle is at both PET boundary frames (its sample nearest in time):
     (KEY, v1_pet1_x, v1_pet1_y, v1_pet2_x, ..., v2_pet2_y)."""
-    known = (pets.where("pet is not null").select(*KEY, "pet_frame1", "pet_frame2")
-             .join(prep.pairs.select(*KEY, "ego", "target", "ego_lo", "ego_hi", "target_lo", "target_hi"), KEY))
-    probes = F.array(*[
-        F.struct(F.lit(f"v{v}_pet{p}").alias("probe"), F.col(role).alias("track_id"),
-                 F.col(f"{role}_lo").alias("lo"), F.col(f"{role}_hi").alias("hi"), F.col(f"pet_frame{p}").alias("at"))
-        for v, role in enumerate(ROLES, start=1) for p in (1, 2)])
-    near = nearest_sample(known.select(*KEY, F.inline(probes)), prep.chunks, ["probe"])
-    wide = [F.max(F.when(F.col("probe") == f"v{v}_pet{p}", F.col(f"near.{c}"))).alias(f"v{v}_pet{p}_{c}")
-            for v in (1, 2) for p in (1, 2) for c in ("x", "y")]
-    return near.groupBy(*KEY).agg(*wide)
-
-
-def actor_anchor(pets: DataFrame, actor_is: int = 2) -> DataFrame:
+    known = pets.where("pet is not null").select(*KEY, "pet_frame1", "pet_frame2").join(prep.pairs, KEY)
+    names = [(v, p, role) for v, role in enumerate(ROLES, start=1) for p in (1, 2)]
+    probes = ", ".join(f"struct('v{v}_pet{p}' as probe, {r} as track_id, {r}_lo as lo, {r}_hi as hi, pet_frame{p} as at)"
+                       for v, p, r in names)
+    near = nearest_sample(known.selectExpr(*KEY, f"inline(array({probes}))"), prep.chunks, ["probe"])
+    return near.groupBy(*KEY).agg(*[F.expr(f"max(near.{c}) filter (where probe = 'v{v}_pet{p}') as v{v}_pet{p}_{c}")
+                                    for v, p, _ in names for c in ("x", "y")])
+
+
+def actor_anchor(pets: DataFrame) -> DataFrame:
     """Critical frame of the parameterized vehicle: (KEY, anchor, crit_frame).
 
     The PET boundary frame, else the frame of smallest same-time distance, else none.
-    ``actor_is`` names the vehicle whose position is meant; the frame is the same for both.
     """
-    if actor_is not in (1, 2):
-        raise ValueError(f"actor_is must be 1 or 2, not {actor_is!r}")
-    kind = (F.when(F.col("pet").isNotNull(), "pet").when(F.col("min_distance_frame").isNotNull(), "min_dist")
-            .otherwise("none"))
-    return pets.select(*KEY, kind.alias("anchor"), F.coalesce("pet_frame1", "min_distance_frame").alias("crit_frame"))
+    return pets.selectExpr(*KEY, """case when pet is not null then 'pet' when min_distance_frame is not null then 'min_dist'
+        else 'none' end as anchor""", "coalesce(pet_frame1, min_distance_frame) as crit_frame")
 
 
 def actor_position(pets: DataFrame, prep: Prepared, actor_is: int = 2) -> DataFrame:
-    """``actor_anchor`` with the actor's position at the critical frame: + (crit_x, crit_y)."""
+    """``actor_anchor`` with the position of vehicle ``actor_is`` there: + (crit_x, crit_y)."""
+    if actor_is not in (1, 2):
+        raise ValueError(f"actor_is must be 1 or 2, not {actor_is!r}")
     role = ROLES[actor_is - 1]
-    at = (actor_anchor(pets, actor_is).join(prep.pairs.select(*KEY, role, f"{role}_lo", f"{role}_hi"), KEY))
-    near = nearest_sample(at.select(*KEY, F.col(role).alias("track_id"), F.col(f"{role}_lo").alias("lo"),
-                                    F.col(f"{role}_hi").alias("hi"), F.col("crit_frame").alias("at")), prep.chunks)
-    return (at.join(near, KEY, "left")
-            .select(*KEY, "anchor", "crit_frame", F.col("near.x").alias("crit_x"), F.col("near.y").alias("crit_y")))
+    at = actor_anchor(pets)
+    windows = at.join(prep.pairs, KEY).selectExpr(
+        *KEY, f"{role} as track_id", f"{role}_lo as lo", f"{role}_hi as hi", "crit_frame as at")
+    near = nearest_sample(windows, prep.chunks)
+    return at.join(near, KEY, "left").selectExpr(*KEY, "anchor", "crit_frame", "near.x as crit_x", "near.y as crit_y")

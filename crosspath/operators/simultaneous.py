@@ -5,47 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance
+from ..functions.geometry import between
 from ..schema import KEY
 from .blocks import explode_blocks
 from .pairs import Prepared
 
+_COMMON = """filter(transform(ego_samples, s -> struct(s as e, at_frame[s.frame] as t)),
+    p -> p.t is not null and p.e.frame >= lo and p.e.frame <= hi)"""
 
-def common_blocks(prep: Prepared) -> DataFrame:
-    """Blocks in which both windows may have samples, with an array ``both`` of the
-    (ego, target) sample pairs that share a frame."""
-    both_in = explode_blocks(
-        prep.pairs.select(*KEY, "ego", "target", F.greatest("ego_lo", "target_lo").alias("lo"),
-                          F.least("ego_hi", "target_hi").alias("hi")))
-    ego, target = (prep.chunks.select("recording_id", F.col("track_id").alias(r), "block",
-                                      F.col("samples").alias(f"{r}_samples")) for r in ("ego", "target"))
-    at_frame = F.map_from_arrays(F.col("target_samples")["frame"], F.col("target_samples"))
-    paired = F.transform("ego_samples", lambda s: F.struct(s.alias("e"), F.col("at_frame")[s["frame"]].alias("t")))
-    return (both_in.join(ego, ["recording_id", "ego", "block"]).join(target, ["recording_id", "target", "block"])
-            .withColumn("at_frame", at_frame)
-            .select(*KEY, F.filter(paired, lambda p: p["t"].isNotNull()
-                                   & (p["e"]["frame"] >= F.col("lo")) & (p["e"]["frame"] <= F.col("hi"))).alias("both")))
 
-
-def _gap(pair):
-    return distance(pair["e"]["x"], pair["e"]["y"], pair["t"]["x"], pair["t"]["y"])
+def common_blocks(prep: Prepared, carry: list[str] = ()) -> DataFrame:
+    """Blocks both windows touch, with an array ``both`` of the (ego, target) samples that
+    share a frame: (KEY, carry, both)."""
+    windows = prep.pairs.selectExpr(*KEY, *{"ego", "target", *carry}, "greatest(ego_lo, target_lo) as lo",
+                                    "least(ego_hi, target_hi) as hi")
+    ego = prep.chunks.selectExpr("recording_id", "track_id as ego", "block", "samples as ego_samples")
+    target = prep.chunks.selectExpr("recording_id", "track_id as target", "block",
+                                    "map_from_arrays(samples.frame, samples) as at_frame")
+    return (explode_blocks(windows).join(ego, ["recording_id", "ego", "block"])
+            .join(target, ["recording_id", "target", "block"]).selectExpr(*KEY, *carry, f"{_COMMON} as both"))
 
 
 def simultaneous_distance(prep: Prepared) -> DataFrame:
     """Distance of the two vehicles in every frame both have: (KEY, frame, distance)."""
-    rows = F.transform("both", lambda p: F.struct(p["e"]["frame"].alias("frame"), _gap(p).alias("distance")))
-    return common_blocks(prep).select(*KEY, F.inline(rows))
+    return common_blocks(prep).selectExpr(
+        *KEY, f"inline(transform(both, p -> struct(p.e.frame as frame, {between('p.e', 'p.t')} as distance)))")
 
 
-def min_simultaneous(prep: Prepared) -> DataFrame:
+def min_simultaneous(prep: Prepared, carry: list[str] = ()) -> DataFrame:
     """Smallest same-frame distance, first frame among ties, with both positions there.
 
-    (KEY, nearest: struct<distance, frame, ego_x, ego_y, target_x, target_y>); an
+    (KEY, carry, nearest: struct<distance, frame, ego_x, ego_y, target_x, target_y>); an
     interaction without a common frame has no row.
     """
-    candidates = F.transform("both", lambda p: F.struct(
-        _gap(p).alias("distance"), p["e"]["frame"].alias("frame"),
-        p["e"]["x"].alias("ego_x"), p["e"]["y"].alias("ego_y"),
-        p["t"]["x"].alias("target_x"), p["t"]["y"].alias("target_y")))
-    return (common_blocks(prep).select(*KEY, F.array_min(candidates).alias("nearest"))
-            .where("nearest is not null").groupBy(*KEY).agg(F.min("nearest").alias("nearest")))
+    found = f"""array_min(transform(both, p -> struct({between('p.e', 'p.t')} as distance, p.e.frame as frame,
+        p.e.x as ego_x, p.e.y as ego_y, p.t.x as target_x, p.t.y as target_y))) as nearest"""
+    return (common_blocks(prep, carry).selectExpr(*KEY, *carry, found).where("nearest is not null")
+            .groupBy(*KEY, *carry).agg(F.expr("min(nearest) as nearest")))

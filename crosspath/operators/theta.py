@@ -6,10 +6,10 @@ q_c -> q_out; L1 and L2 are the two chord lengths.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance, norm, rotate, signed_angle
+from ..functions.geometry import between, distance, norm, rotate, signed_angle
 from ..schema import KEY
 from ..staging import stage
 from .blocks import attach
@@ -23,38 +23,34 @@ STILL_M = 1e-9
 # Blocks per group in the two-level running sums below.
 GROUP = 1024
 
+_KEYS = ", ".join(KEY)
+_BEFORE = "rows between unbounded preceding and 1 preceding"
+
 
 def _linked_blocks(windows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Blocks of each window with the next block's first sample and the path length before them.
+    """Blocks of each window with the next block's first sample (next), the path length up
+    to their first sample (start) and the whole path's length (total).
 
-    Both need the order of a whole track. It is established in two levels: inside groups
+    This needs the order of a whole track. It is established in two levels: inside groups
     of GROUP blocks, and over one row per group, so no task orders a long track's samples.
     """
-    seg = F.when(F.size("samples") > 1, F.aggregate(
-        F.sequence(F.lit(1), F.size("samples") - 1), F.lit(0.0),
-        lambda acc, i: acc + distance(F.get("samples", i)["x"], F.get("samples", i)["y"],
-                                      F.get("samples", i - 1)["x"], F.get("samples", i - 1)["y"]))).otherwise(0.0)
-    rows = (attach(windows, chunks).where(F.size("samples") > 0)
-            .withColumn("first", F.get("samples", F.lit(0))).withColumn("last", F.array_max("samples"))
-            .select(*KEY, "block", F.floor(F.col("block") / GROUP).alias("grp"), "samples", "first", "last",
-                    seg.alias("inner")))
-    rows = stage(rows)
-    in_group = Window.partitionBy(*KEY, "grp").orderBy("block")
-    groups = Window.partitionBy(*KEY).orderBy("grp")
-    heads = (rows.groupBy(*KEY, "grp").agg(F.min("first").alias("head"))
-             .withColumn("next_head", F.lead("head").over(groups)).drop("head"))
-    rows = (rows.withColumn("next", F.lead("first").over(in_group)).join(heads, [*KEY, "grp"])
-            .withColumn("next", F.coalesce("next", "next_head"))
-            .withColumn("length", F.col("inner") + F.coalesce(
-                distance(F.col("last.x"), F.col("last.y"), F.col("next.x"), F.col("next.y")), F.lit(0.0))))
-    sums = (rows.groupBy(*KEY, "grp").agg(F.sum("length").alias("grp_length"))
-            .withColumn("grp_start", F.sum("grp_length").over(groups.rowsBetween(Window.unboundedPreceding, -1)))
-            .withColumn("total", F.sum("grp_length").over(Window.partitionBy(*KEY)))
-            .drop("grp_length"))
-    before = F.sum("length").over(in_group.rowsBetween(Window.unboundedPreceding, -1))
-    return (rows.withColumn("before", F.coalesce(before, F.lit(0.0))).join(sums, [*KEY, "grp"])
-            .select(*KEY, "block", "samples", "next",
-                    (F.coalesce("grp_start", F.lit(0.0)) + F.col("before")).alias("start"), "total"))
+    inner = f"""aggregate(sequence(1, greatest(size(samples) - 1, 1)), 0D, (acc, i) -> acc + coalesce(
+        {between('get(samples, i)', 'get(samples, i - 1)')}, 0D)) as inner"""
+    rows = stage(attach(windows, chunks).where("size(samples) > 0").selectExpr(
+        *KEY, "block", f"floor(block / {GROUP}) as grp", "samples", "get(samples, 0) as first",
+        "get(samples, size(samples) - 1) as last", inner))
+    heads = rows.groupBy(*KEY, "grp").agg(F.expr("min(first) as head")).selectExpr(
+        *KEY, "grp", f"lead(head) over (partition by {_KEYS} order by grp) as next_head")
+    in_group = f"partition by {_KEYS}, grp order by block"
+    rows = (rows.selectExpr("*", f"lead(first) over ({in_group}) as nxt").join(heads, [*KEY, "grp"])
+            .selectExpr(*KEY, "grp", "block", "samples", "inner", "last", "coalesce(nxt, next_head) as next")
+            .selectExpr("*", f"inner + coalesce({between('last', 'next')}, 0D) as length"))
+    sums = rows.groupBy(*KEY, "grp").agg(F.expr("sum(length) as len")).selectExpr(
+        *KEY, "grp", f"coalesce(sum(len) over (partition by {_KEYS} order by grp {_BEFORE}), 0D) as grp_start",
+        f"sum(len) over (partition by {_KEYS}) as total")
+    return (rows.selectExpr("*", f"coalesce(sum(length) over ({in_group} {_BEFORE}), 0D) as before")
+            .join(sums, [*KEY, "grp"])
+            .selectExpr(*KEY, "block", "samples", "next", "grp_start + before as start", "total"))
 
 
 def arc_resample(windows: DataFrame, chunks: DataFrame, k: int = RESAMPLE_POINTS) -> DataFrame:
@@ -64,28 +60,21 @@ def arc_resample(windows: DataFrame, chunks: DataFrame, k: int = RESAMPLE_POINTS
     gives k copies of its first point.
     """
     linked = _linked_blocks(windows, chunks)
-    in_block = Window.partitionBy(*KEY, "block").orderBy("frame")
-    ends = linked.select(*KEY, "block", "start", "total", F.col("next").alias("nxt"), F.inline("samples"))
-    ends = (ends.withColumn("bx", F.coalesce(F.lead("x").over(in_block), F.col("nxt.x"), F.col("x")))
-            .withColumn("by", F.coalesce(F.lead("y").over(in_block), F.col("nxt.y"), F.col("y")))
-            .withColumn("seg", distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))))
-    ran = F.coalesce(F.sum("seg").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    step = F.col("total") / (k - 1)
-    slack = F.lit(1e-9)
-    moving = (ends.where(F.col("total") > STILL_M).withColumn("s", F.col("start") + ran).withColumn("step", step)
-              .withColumn("i0", F.greatest(F.ceil(F.col("s") / F.col("step") - slack), F.lit(0)))
-              .withColumn("i1", F.least(F.floor((F.col("s") + F.col("seg")) / F.col("step") + slack), F.lit(k - 1)))
-              .where("i0 <= i1").withColumn("i", F.explode(F.sequence("i0", "i1"))))
-    part = F.least(F.greatest((F.col("i") * F.col("step") - F.col("s")) / F.nullif("seg", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    part = F.when(F.col("seg") > 0, part).otherwise(0.0)
-    points = moving.select(*KEY, "i", F.struct(
-        F.col("frame"), (F.col("x") + part * (F.col("bx") - F.col("x"))).alias("x"),
-        (F.col("y") + part * (F.col("by") - F.col("y"))).alias("y")).alias("p"))
+    in_block = f"partition by {_KEYS}, block order by frame"
+    ends = (linked.where(f"total > {STILL_M}D").selectExpr(*KEY, "block", "start", f"total / {k - 1} as step", "next", "inline(samples)")
+            .selectExpr("*", f"coalesce(lead(x) over ({in_block}), next.x, x) as bx",
+                        f"coalesce(lead(y) over ({in_block}), next.y, y) as b_y")
+            .selectExpr("*", f"{distance('x', 'y', 'bx', 'b_y')} as seg")
+            .selectExpr("*", f"start + coalesce(sum(seg) over ({in_block} {_BEFORE}), 0D) as s"))
+    hit = (ends.selectExpr("*", "greatest(ceil(s / step - 1e-9D), 0L) as i0",
+                           f"least(floor((s + seg) / step + 1e-9D), {k - 1}L) as i1")
+           .where("i0 <= i1").selectExpr("*", "explode(sequence(i0, i1)) as i")
+           .selectExpr("*", "case when seg > 0 then least(greatest((i * step - s) / seg, 0D), 1D) else 0D end as part"))
     # A point on a sample is found from both adjoining segments, with the same value.
-    once = points.groupBy(*KEY, "i").agg(F.min("p").alias("p")).select(*KEY, "i", "p.x", "p.y")
-    still = (linked.where(F.col("total") <= STILL_M).select(*KEY, F.get("samples", F.lit(0)).alias("p"))
-             .groupBy(*KEY).agg(F.min("p").alias("p"))
-             .select(*KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("i"), "p.x", "p.y"))
+    once = (hit.selectExpr(*KEY, "i", "struct(frame, x + part * (bx - x) as x, y + part * (b_y - y) as y) as p")
+            .groupBy(*KEY, "i").agg(F.expr("min(p) as p")).selectExpr(*KEY, "i", "p.x", "p.y"))
+    still = (linked.where(f"total <= {STILL_M}D").groupBy(*KEY).agg(F.expr("min(get(samples, 0)) as p"))
+             .selectExpr(*KEY, f"explode(sequence(0L, {k - 1}L)) as i", "p.x", "p.y"))
     return once.unionByName(still)
 
 
@@ -94,19 +83,15 @@ def start_heading(windows: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Works on the RESAMPLE_POINTS resampled points, so each group is of fixed size.
     """
-    w = Window.partitionBy(*KEY).orderBy("i")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = f"partition by {_KEYS} order by i"
     arc = (arc_resample(windows, chunks)
-           .withColumn("d", F.coalesce(distance(F.col("x"), F.col("y"), F.lag("x").over(w), F.lag("y").over(w)), F.lit(0.0)))
-           .withColumn("s", F.sum("d").over(run)))
-    half = F.max("s").over(Window.partitionBy(*KEY)) * 0.5
-    arc = arc.withColumn("reach", F.least(F.lit(START_HEADING_M), half))
-    ends = arc.groupBy(*KEY).agg(
-        F.min(F.when(F.col("i") == 0, F.struct("x", "y"))).alias("a"),
-        F.min(F.when((F.col("i") >= 1) & (F.col("s") >= F.col("reach")), F.struct("i", "x", "y"))).alias("b"))
-    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
-    length = norm(dx, dy) + 1e-9
-    return ends.select(*KEY, (dx / length).alias("hx"), (dy / length).alias("hy"))
+           .selectExpr("*", f"coalesce({distance('x', 'y', f'lag(x) over ({w})', f'lag(y) over ({w})')}, 0D) as d")
+           .selectExpr("*", f"sum(d) over ({w}) as s")
+           .selectExpr("*", f"least({START_HEADING_M}D, 0.5D * max(s) over (partition by {_KEYS})) as reach"))
+    ends = arc.groupBy(*KEY).agg(F.expr("min(struct(x, y)) filter (where i = 0) as a"),
+                                 F.expr("min(struct(i, x, y)) filter (where i >= 1 and s >= reach) as b"))
+    return (ends.selectExpr(*KEY, "b.x - a.x as dx", "b.y - a.y as dy").selectExpr("*", f"{norm('dx', 'dy')} + 1e-9D as len")
+            .selectExpr(*KEY, "dx / len as hx", "dy / len as hy"))
 
 
 def theta_geometry(points: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -116,33 +101,27 @@ def theta_geometry(points: DataFrame, chunks: DataFrame) -> DataFrame:
     All added columns are NULL when a chord is shorter than 1 m. Only the few rows whose
     q_in lies within 1 m of the track start are resampled.
     """
-    l0 = distance(F.col("qm_x"), F.col("qm_y"), F.col("target_first.x"), F.col("target_first.y"))
-    near = points.where(l0 < NEAR_START_M).select(
-        *KEY, F.col("target").alias("track_id"), F.col("target_lo").alias("lo"), F.col("target_hi").alias("hi"))
-    rows = points.join(start_heading(near, chunks), KEY, "left").withColumn("l0", l0)
-    far = F.col("l0") >= NEAR_START_M
-
-    def direction(c: str) -> Column:
-        return F.when(far, (F.col(f"qm_{c}") - F.col(f"target_first.{c}")) / F.nullif("l0", F.lit(0.0))).otherwise(F.col(f"h{c}"))
-
-    v2 = [F.col(f"qc_{c}") - F.col(f"qm_{c}") for c in ("x", "y")]
-    v3 = [F.col(f"qp_{c}") - F.col(f"qc_{c}") for c in ("x", "y")]
-    rows = rows.withColumns({"u1_x": direction("x"), "u1_y": direction("y"), "L1": norm(*v2), "L2": norm(*v3)})
+    l0 = distance("qm_x", "qm_y", "target_first.x", "target_first.y")
+    near = points.where(f"{l0} < {NEAR_START_M}D").selectExpr(
+        *KEY, "target as track_id", "target_lo as lo", "target_hi as hi")
+    rows = points.join(start_heading(near, chunks), KEY, "left").selectExpr(
+        "*", f"{l0} as l0", "qc_x - qm_x as v2x", "qc_y - qm_y as v2y", "qp_x - qc_x as v3x", "qp_y - qc_y as v3y")
+    far = f"l0 >= {NEAR_START_M}D"
+    rows = rows.selectExpr("*", *[
+        f"case when {far} then (qm_{c} - target_first.{c}) / l0 else h{c} end as ux_{c}" for c in ("x", "y")],
+        f"{norm('v2x', 'v2y')} as c1", f"{norm('v3x', 'v3y')} as c2")
     out = {
-        "u1_source": F.when(far, "init_pt").otherwise("start_heading"),
-        "theta1_deg": signed_angle(F.col("u1_x"), F.col("u1_y"), *v2),
-        "theta2_deg": signed_angle(*v2, *v3),
-        "u1_x": F.col("u1_x"), "u1_y": F.col("u1_y"), "L1": F.col("L1"), "L2": F.col("L2"),
+        "u1_x": "ux_x", "u1_y": "ux_y", "u1_source": f"case when {far} then 'init_pt' else 'start_heading' end",
+        "L1": "c1", "L2": "c2", "theta1_deg": signed_angle("ux_x", "ux_y", "v2x", "v2y"),
+        "theta2_deg": signed_angle("v2x", "v2y", "v3x", "v3y"),
     }
-    long_enough = F.least("L1", "L2") >= MIN_CHORD_M
-    return rows.withColumns({c: F.when(long_enough, v) for c, v in out.items()}).drop("l0", "hx", "hy")
+    return rows.selectExpr(*points.columns, *[
+        f"case when least(c1, c2) >= {MIN_CHORD_M}D then {v} end as {c}" for c, v in out.items()])
 
 
 def theta_to_cps(df: DataFrame, theta1: str = "theta1_deg", theta2: str = "theta2_deg") -> DataFrame:
     """Rebuild the three points from the angles: adds p1_x, p1_y (q_in) .. p3_x, p3_y (q_out)."""
-    u = F.col("u1_x"), F.col("u1_y")
-    d1 = rotate(*u, F.col(theta1))
-    d2 = rotate(*u, F.col(theta1) + F.col(theta2))
-    cx, cy = F.col("qm_x") + F.col("L1") * d1[0], F.col("qm_y") + F.col("L1") * d1[1]
-    return df.withColumns({"p1_x": F.col("qm_x"), "p1_y": F.col("qm_y"), "p2_x": cx, "p2_y": cy,
-                           "p3_x": cx + F.col("L2") * d2[0], "p3_y": cy + F.col("L2") * d2[1]})
+    d1 = rotate("u1_x", "u1_y", theta1)
+    d2 = rotate("u1_x", "u1_y", f"{theta1} + {theta2}")
+    return (df.selectExpr("*", "qm_x as p1_x", "qm_y as p1_y", f"qm_x + L1 * {d1[0]} as p2_x", f"qm_y + L1 * {d1[1]} as p2_y")
+            .selectExpr("*", f"p2_x + L2 * {d2[0]} as p3_x", f"p2_y + L2 * {d2[1]} as p3_y"))

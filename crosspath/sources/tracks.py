@@ -35,12 +35,11 @@ def normalize_tracks(raw: DataFrame, recording_id: str | Column | None = None) -
         rec = F.col("recording_id") if "recording_id" in raw.columns else F.lit(DEFAULT_RECORDING)
     else:
         rec = recording_id if isinstance(recording_id, Column) else F.lit(recording_id)
-    doubles = [F.col(src).cast("double").alias(dst) for src, dst in (("xCenter", "x"), ("yCenter", "y"))]
-    plain = [F.col(c).cast("double").alias(c) for c in ("heading",)]
-    speed = norm(F.col("xVelocity").cast("double"), F.col("yVelocity").cast("double")).alias("speed")
-    size = [F.col(c).cast("double").alias(c) for c in ("length", "width")]
-    return raw.select(rec.alias("recording_id"), F.col("trackId").cast("bigint").alias("track_id"),
-                      F.col("frame").cast("bigint").alias("frame"), *doubles, *plain, speed, *size)
+    speed = norm("cast(xVelocity as double)", "cast(yVelocity as double)")
+    return raw.select(rec.alias("recording_id"), *map(F.expr, (
+        "cast(trackId as bigint) as track_id", "cast(frame as bigint) as frame", "cast(xCenter as double) as x",
+        "cast(yCenter as double) as y", "cast(heading as double) as heading", f"{speed} as speed",
+        "cast(length as double) as length", "cast(width as double) as width")))
 
 
 def read_tracks(
