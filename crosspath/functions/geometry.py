@@ -56,6 +56,13 @@ def box_gap_sq(a: str, b: str) -> str:
     return f"({gx} * {gx} + {gy} * {gy})"
 
 
+def point_gap_sq(p: str, box: str) -> str:
+    """Squared distance of a point (struct x, y) to a box; 0 inside it."""
+    gx = f"greatest({box}.x0 - {p}.x, {p}.x - {box}.x1, 0D)"
+    gy = f"greatest({box}.y0 - {p}.y, {p}.y - {box}.y1, 0D)"
+    return f"({gx} * {gx} + {gy} * {gy})"
+
+
 def circle_fraction(p: str, q: str, cx: str, cy: str, radius: str) -> str:
     """Fraction s in [0, 1] at which the segment p -> q (structs x, y) leaves the circle.
 

@@ -11,19 +11,23 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from ..schema import CONFLICT_THRESHOLD, FPS, KEY
+from ..staging import stage
 from .blocks import role_view
-from .closest import crossing_frame
+from .closest import closest_pair, crossing_frame
 from .lookup import nearest_sample
 from .pairs import Prepared
-from .pet import actor_anchor, pet
+from .pet import PAIR, actor_anchor, pet, pet_cases
 from .simultaneous import min_simultaneous
 
 
 def pet_anchor(prep: Prepared, threshold: float = CONFLICT_THRESHOLD, fps: float = FPS) -> DataFrame:
     """Target frame nearest to the PET boundary frame, or to the smallest same-time distance."""
-    crit = actor_anchor(pet(prep, threshold, fps)).selectExpr(*KEY, "anchor as anchor_kind", "crit_frame as at")
-    windows = role_view(prep.pairs, "target").join(crit, KEY)
-    near = nearest_sample(windows, prep.chunks, ["anchor_kind"])
+    return _snapped(pet(prep, threshold, fps), prep)
+
+
+def _snapped(pets: DataFrame, prep: Prepared) -> DataFrame:
+    crit = actor_anchor(pets).selectExpr(*KEY, "anchor as anchor_kind", "crit_frame as at")
+    near = nearest_sample(role_view(prep.pairs, "target").join(crit, KEY), prep.chunks, ["anchor_kind"])
     return near.selectExpr(*KEY, "anchor_kind", "near.frame as anchor_frame")
 
 
@@ -42,20 +46,19 @@ def given_anchor(prep: Prepared) -> DataFrame:
     return prep.pairs.where("anchor_frame is not null").selectExpr(*KEY, "'given' as anchor_kind", "anchor_frame")
 
 
-def find_anchor(prep: Prepared, threshold: float = CONFLICT_THRESHOLD, fps: float = FPS,
-                methods: list[str] | None = None) -> DataFrame:
+def find_anchor(prep: Prepared, threshold: float = CONFLICT_THRESHOLD, fps: float = FPS) -> DataFrame:
     """Dispatch on the pairs' ``anchor`` column.
 
-    Pairs are split by method before any join, so each is only searched with the
-    method it asks for. ``methods`` limits the branches that are planned at all.
+    Each pair is only searched the way its method asks for, but the methods share the two
+    expensive passes: same-time distances (pet, min_dist) and closest pairs (pet, cross).
     """
-    def only(method: str) -> Prepared:
-        return Prepared(prep.pairs.where(f"anchor_frame is null and anchor = '{method}'"), prep.chunks)
-
-    branch = {
-        "pet": lambda: pet_anchor(only("pet"), threshold, fps),
-        "cross": lambda: cross_anchor(only("cross")),
-        "min_dist": lambda: min_dist_anchor(only("min_dist")),
-    }
-    parts = [given_anchor(prep)] + [branch[m]() for m in (branch if methods is None else methods)]
-    return reduce(DataFrame.unionByName, parts)
+    search = prep.pairs.where("anchor_frame is null")
+    timed = stage(min_simultaneous(Prepared(search.where("anchor in ('pet', 'min_dist')"), prep.chunks), [*PAIR, "anchor"]))
+    cross = search.where("anchor = 'cross'").select(*KEY, *PAIR, "anchor")
+    paths = timed.where("anchor = 'pet'").unionByName(cross, allowMissingColumns=True)
+    closest = stage(closest_pair(Prepared(paths, prep.chunks), [*PAIR, "anchor", "nearest"], "anchor = 'cross'"))
+    pets = pet_cases(search.where("anchor = 'pet'"), closest.where("anchor = 'pet'"), prep, threshold, fps)
+    return reduce(DataFrame.unionByName, (
+        given_anchor(prep), _snapped(pets, prep),
+        closest.where("anchor = 'cross'").selectExpr(*KEY, "'cross' as anchor_kind", "best.target_frame as anchor_frame"),
+        timed.where("anchor = 'min_dist'").selectExpr(*KEY, "'min_dist' as anchor_kind", "nearest.frame as anchor_frame")))

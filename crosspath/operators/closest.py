@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box_gap_sq, distance_sq
+from ..functions.geometry import box_gap_sq, distance_sq, point_gap_sq
 from ..schema import KEY
 from . import blocks as B
 from .pairs import Prepared
@@ -25,7 +25,7 @@ from .pairs import Prepared
 SLACK = 1e-9
 
 _KEYS = ", ".join(KEY)
-_ENDS = ["ego", "target", "ego_lo", "ego_hi", "target_lo", "target_hi"]
+ENDS = ["ego", "target", "ego_lo", "ego_hi", "target_lo", "target_hi"]
 
 # A block row as a node: the box of the whole block (never too small) and one sample
 # that lies inside the window (NULL if there is none).
@@ -34,11 +34,12 @@ _NODE = """struct(x0, x1, y0, y1, case when f0 >= lo and f0 <= hi then get(sampl
 
 
 def _prune(pairs: DataFrame, keep: list[str]) -> DataFrame:
-    """Keep the node pairs (e, t) that can hold their interaction's minimum."""
+    """Keep the node pairs (e, t) that can hold their interaction's minimum; adds ``bound``,
+    which no closest pair exceeds."""
     seen = distance_sq("e.p.x", "e.p.y", "t.p.x", "t.p.y")
     return (pairs.selectExpr(*keep, f"{box_gap_sq('e', 't')} as gap", f"{seen} as seen")
-            .selectExpr("*", f"min(seen) over (partition by {_KEYS}) as best")
-            .where(f"gap <= best * {1 + SLACK}D + {SLACK * SLACK}D").select(*keep))
+            .selectExpr(*keep, "gap", f"min(seen) over (partition by {_KEYS}) * {1 + SLACK}D + {SLACK * SLACK}D as bound")
+            .where("gap <= bound").select(*keep, "bound"))
 
 
 def _super_nodes(prep: Prepared, role: str, short: str, carry: list[str]) -> DataFrame:
@@ -61,42 +62,41 @@ def _with_block(rows: DataFrame, prep: Prepared, role: str, block: str, *out: st
             .selectExpr("*", f"{role}_lo as lo", f"{role}_hi as hi").selectExpr(*out))
 
 
-def candidate_blocks(prep: Prepared) -> DataFrame:
-    """Block pairs that can hold the closest sample pair: (KEY, window columns, e_block, t_block)."""
-    sup = _super_nodes(prep, "ego", "e", _ENDS).join(_super_nodes(prep, "target", "t", []), KEY)
-    rows = (_prune(sup, [*KEY, *_ENDS, "e_from", "e_to", "t_from", "t_to"])
+def candidate_blocks(prep: Prepared, carry: list[str] = ()) -> DataFrame:
+    """Block pairs that can hold the closest sample pair: (KEY, window columns, carry, e_block,
+    t_block, e, t, bound), where e and t are the blocks' nodes."""
+    ends = list(dict.fromkeys([*ENDS, *carry]))
+    sup = _super_nodes(prep, "ego", "e", ends).join(_super_nodes(prep, "target", "t", []), KEY)
+    rows = (_prune(sup, [*KEY, *ends, "e_from", "e_to", "t_from", "t_to"])
             .selectExpr("*", "explode(sequence(e_from, e_to)) as e_block"))
-    rows = _with_block(rows, prep, "ego", "e_block", *KEY, *_ENDS, "e_block", f"{_NODE} as e",
+    rows = _with_block(rows, prep, "ego", "e_block", *KEY, *ends, "e_block", f"{_NODE} as e",
                        "explode(sequence(t_from, t_to)) as t_block")
-    rows = _with_block(rows, prep, "target", "t_block", *KEY, *_ENDS, "e_block", "t_block", "e", f"{_NODE} as t")
-    return _prune(rows, [*KEY, *_ENDS, "e_block", "t_block"])
-
-
-def _best_pair(prep: Prepared, candidate: str) -> DataFrame:
-    """Smallest ``candidate`` struct (of ego sample e and target sample t) of each interaction."""
-    rows = _with_block(candidate_blocks(prep), prep, "ego", "e_block",
-                       *KEY, *_ENDS, "t_block", f"{B.IN_WINDOW} as es")
-    rows = _with_block(rows, prep, "target", "t_block", *KEY, "es", f"{B.IN_WINDOW} as ts")
-    best = f"array_min(transform(es, e -> array_min(transform(ts, t -> {candidate})))) as best"
-    return rows.selectExpr(*KEY, best).groupBy(*KEY).agg(F.expr("min(best) as best"))
+    rows = _with_block(rows, prep, "target", "t_block", *KEY, *ends, "e_block", "t_block", "e", f"{_NODE} as t")
+    return _prune(rows, [*KEY, *ends, "e_block", "t_block", "e", "t"])
 
 
 _D2 = distance_sq("e.x", "e.y", "t.x", "t.y")
 
 
-def closest_pair(prep: Prepared) -> DataFrame:
+def closest_pair(prep: Prepared, carry: list[str] = (), by_target: str = "false") -> DataFrame:
     """Closest ego/target sample pair over all times.
 
-    Ties go to the lowest ego frame, then the lowest target frame.
-    (KEY, best: struct<d2, ego_frame, target_frame, ego_x, ego_y, target_x, target_y>)
+    Ties go to the lowest ego frame, then the lowest target frame. Where the condition
+    ``by_target`` holds, distances are compared as rounded square roots and ties go to the
+    lowest target frame (the order of the crossing anchor).
+    (KEY, carry, best: struct<rank, tie, d2, ego_frame, target_frame, ego_x, ego_y, target_x, target_y>)
     """
-    return _best_pair(prep, f"""struct({_D2} as d2, e.frame as ego_frame, t.frame as target_frame,
-        e.x as ego_x, e.y as ego_y, t.x as target_x, t.y as target_y)""")
+    ends = list(dict.fromkeys([*ENDS, *carry]))
+    near_t = f"filter({B.IN_WINDOW}, s -> {point_gap_sq('s', 't')} <= bound) as es"
+    near_e = f"filter({B.IN_WINDOW}, s -> {point_gap_sq('s', 'e')} <= bound) as ts"
+    rows = _with_block(candidate_blocks(prep, carry), prep, "ego", "e_block", *KEY, *ends, "t_block", "e", "bound", near_t)
+    rows = _with_block(rows.where("size(es) > 0"), prep, "target", "t_block", *KEY, *carry, "es", near_e)
+    pair = f"""struct(if({by_target}, sqrt({_D2}), {_D2}) as rank, if({by_target}, t.frame, e.frame) as tie, {_D2} as d2,
+        e.frame as ego_frame, t.frame as target_frame, e.x as ego_x, e.y as ego_y, t.x as target_x, t.y as target_y)"""
+    best = f"array_min(transform(es, e -> array_min(transform(ts, t -> {pair})))) as best"
+    return rows.selectExpr(*KEY, *carry, best).where("best is not null").groupBy(*KEY, *carry).agg(F.expr("min(best) as best"))
 
 
 def crossing_frame(prep: Prepared) -> DataFrame:
-    """Target frame closest to the ego path: (KEY, best: struct<distance, target_frame>).
-
-    Distances are compared as rounded square roots and ties go to the lowest target frame.
-    """
-    return _best_pair(prep, f"struct(sqrt({_D2}) as distance, t.frame as target_frame)")
+    """Target frame closest to the ego path: (KEY, best), see ``closest_pair``."""
+    return closest_pair(prep, by_target="true")

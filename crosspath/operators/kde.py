@@ -11,8 +11,6 @@ class, as the estimator is defined; nothing is sampled or cut off.
 
 from __future__ import annotations
 
-from math import pi
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -74,8 +72,13 @@ def _tiles(z: DataFrame, dims: int) -> DataFrame:
             .agg(F.collect_list(F.array(*zs, "w")).alias("points")))
 
 
+_SUMS = "class string, tile bigint, n bigint, at bigint, k bigint, h double, w double, part double"
+
+
 def _tile_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     """Kernel sums of one tile's vectors over one run of tiles, per bandwidth."""
+    if not pdf["home"].any():      # no vector hashed into this tile
+        return pd.DataFrame(columns=[c.split()[0] for c in _SUMS.split(", ")])
     home = pdf[pdf["home"]].iloc[0]
     points = np.stack(home["points"])
     x, w, hs = points[:, :-1], points[:, -1], np.asarray(home["hs"])
@@ -95,31 +98,21 @@ def _tile_sums(pdf: pd.DataFrame) -> pd.DataFrame:
                          "w": np.tile(w, len(hs)), "part": sums.ravel()})
 
 
-_SUMS = "class string, tile bigint, n bigint, at bigint, k bigint, h double, w double, part double"
-
-
 def _kernel_sums(tiles: DataFrame, grid: DataFrame) -> DataFrame:
     """Kernel sum of every distinct vector over the rest of its class, per bandwidth.
 
     grid: (class, n, hs). Result: (class, tile, at, n, k, h, w, total).
     """
-    placed = tiles.join(grid, "class")
-    runs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_tiles") - 1) / RUN)))
-    homes = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_tiles") - 1))
-    here = placed.select("class", "n", "hs", "tile", runs.alias("run"), F.col("tile").alias("source"), "points",
-                         F.lit(True).alias("home"))
-    there = placed.select("class", "n", F.array().cast("array<double>").alias("hs"), homes.alias("tile"),
-                          F.floor(F.col("tile") / RUN).alias("run"), F.col("tile").alias("source"), "points",
-                          F.lit(False).alias("home"))
-    # With very few vectors per class a hashed tile can be empty; it then has no home row.
-    groups = here.unionByName(there).join(placed.select("class", "tile"), ["class", "tile"], "left_semi")
+    home = f"transform(sequence(0L, floor((n_tiles - 1) / {RUN})), r -> struct(tile as tile, r as run, true as home))"
+    away = f"transform(sequence(0L, n_tiles - 1), t -> struct(t as tile, floor(tile / {RUN}) as run, false as home))"
+    groups = tiles.join(grid, "class").selectExpr(
+        "class", "n", "hs", "points", "tile as source", f"inline(concat({home}, {away}))")
     parts = groups.groupBy("class", "tile", "run").applyInPandas(_tile_sums, _SUMS)
     return parts.groupBy("class", "tile", "at", "n", "k", "h", "w").agg(F.sum("part").alias("total"))
 
 
 def _density(dims: int) -> Column:
-    scale = F.pow(F.lit(2 * pi), F.lit(dims / 2)) * F.pow("h", F.lit(float(dims)))
-    return F.col("total") / ((F.col("n") - 1) * scale)
+    return F.expr(f"total / ((n - 1) * power(2 * pi(), {dims / 2}D) * power(h, {dims}))")
 
 
 def loo_likelihood(tiles: DataFrame, grid: DataFrame, dims: int = len(PARAMETERS)) -> DataFrame:

@@ -9,12 +9,12 @@ from ..functions.geometry import footprint_touches_circle
 from ..schema import CONFLICT_THRESHOLD, FPS, KEY
 from ..staging import stage
 from .blocks import ROLES, attach
-from .closest import closest_pair
+from .closest import ENDS, closest_pair
 from .lookup import nearest_sample
 from .pairs import Prepared
 from .simultaneous import min_simultaneous
 
-_PAIR = ["ego", "target", "ego_lo", "ego_hi", "target_lo", "target_hi", "ego_first", "target_first"]
+PAIR = [*ENDS, "ego_first", "target_first"]
 
 
 def encounters(prep: Prepared) -> DataFrame:
@@ -22,8 +22,8 @@ def encounters(prep: Prepared) -> DataFrame:
 
     Pairs that share no frame leave before the closest-pair search.
     """
-    met = stage(min_simultaneous(prep, _PAIR))
-    return met.join(closest_pair(Prepared(met, prep.chunks)), KEY)
+    met = stage(min_simultaneous(prep, PAIR))
+    return closest_pair(Prepared(met, prep.chunks), [*PAIR, "nearest"])
 
 
 def conflict_zones(encounter: DataFrame, threshold: float = CONFLICT_THRESHOLD) -> DataFrame:
@@ -65,11 +65,15 @@ def pet(prep: Prepared, threshold: float = CONFLICT_THRESHOLD, fps: float = FPS)
     path_min_distance, zone1_x, zone1_y, zone2_x, zone2_y, min_distance,
     min_distance_frame, v1_mindist_x, v1_mindist_y, v2_mindist_x, v2_mindist_y)
     """
-    met = stage(encounters(prep).select(*KEY, *_PAIR, "nearest", "best"))
+    return pet_cases(prep.pairs, stage(encounters(prep)), prep, threshold, fps)
+
+
+def pet_cases(pairs: DataFrame, met: DataFrame, prep: Prepared, threshold: float, fps: float) -> DataFrame:
+    """``pet`` of the given pairs, from their (stored) encounters."""
     frames = zone_enter_exit(conflict_zones(met, threshold), prep)
     passed = """case when enter1 is null or enter2 is null then null when exit1 < enter2 then 1
         when exit2 < enter1 then 2 else 0 end as passed"""
-    rows = (prep.pairs.select(*KEY).join(met.select(*KEY, "nearest", "best"), KEY, "left")
+    rows = (pairs.select(*KEY).join(met.select(*KEY, "nearest", "best"), KEY, "left")
             .join(frames, KEY, "left").selectExpr("*", passed))
 
     def case(first: str, second: str, overlap: str) -> str:

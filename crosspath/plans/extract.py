@@ -30,9 +30,7 @@ def prepare_configured(tracks: DataFrame, scenarios: DataFrame) -> Prepared:
 
 def anchored_pairs(prep: Prepared, config: dict) -> DataFrame:
     """Pairs that have an anchor, with anchor_kind, anchor_frame and radius."""
-    used = {s.get("anchor") for s in [config.get("default") or {}, *(config.get("classes") or {}).values()]}
-    anchors = find_anchor(prep, float(config.get("conflict_threshold", CONFLICT_THRESHOLD)),
-                          float(config.get("fps", FPS)), [m for m in ("pet", "cross", "min_dist") if m in used])
+    anchors = find_anchor(prep, float(config.get("conflict_threshold", CONFLICT_THRESHOLD)), float(config.get("fps", FPS)))
     pairs = prep.pairs.select(*KEY, "target", "target_lo", "target_hi", "target_first", F.col("L_m").alias("radius"))
     return pairs.join(anchors, KEY)
 
@@ -43,22 +41,19 @@ def extract_params(tracks: DataFrame, scenarios: DataFrame, config: dict) -> Dat
     scenarios = configured(scenarios, config)
     prep = prepare_configured(tracks, scenarios)
     points = stage(disk_points(anchored_pairs(prep, config), prep.chunks))
-    angles = theta_geometry(points.where("status = 'ok'"), prep.chunks)
-    found = points.select(*KEY, "anchor_kind", F.col("anchor_frame").alias("found_frame"), "status", *POINT_COLUMNS,
-                          F.col("at.speed").alias("speed"))
-    gate = prep.pairs.select(*KEY, F.lit(True).alias("paired"))
-    rows = (scenarios.join(gate, KEY, "left").join(found, KEY, "left")
-            .join(angles.select(*KEY, *ANGLE_COLUMNS), KEY, "left"))
-    status = (F.when(F.col("paired").isNull(), "no_track").when(F.col("status").isNull(), "no_anchor")
-              .when((F.col("status") == "ok") & F.col("L1").isNull(), "degenerate_geometry").otherwise(F.col("status")))
-    method = F.when(F.col("anchor_kind") == "given", "given").otherwise(F.col("anchor"))
+    angles = theta_geometry(points.where("status = 'ok'"), prep.chunks).select(*KEY, *ANGLE_COLUMNS)
+    found = points.selectExpr(*KEY, "anchor_kind", "anchor_frame as found_frame", "status", *POINT_COLUMNS, "at.speed as speed")
+    gate = prep.pairs.selectExpr(*KEY, "true as paired")
+    rows = scenarios.join(gate, KEY, "left").join(found.join(angles, KEY, "left"), KEY, "left")
     computed = [*KEY, "anchor", "anchor_frame", "L_m", "middle_cp_weight"]
     passed = [c for c in scenarios.columns if c not in computed]
-    return (rows.withColumn("final", status).select(
-        *KEY, *passed, method.alias("anchor_method"), "L_m", F.col("final").alias("status"), "anchor_kind",
-        F.coalesce("found_frame", "anchor_frame").alias("anchor_frame"), *POINT_COLUMNS, *ANGLE_COLUMNS,
-        F.when(F.col("final") == "ok", F.col("speed") * KMH).alias("end_speed_kmh"),
-        F.when(F.col("final") == "ok", F.col("middle_cp_weight")).alias("middle_cp_weight")))
+    final = """case when paired is null then 'no_track' when status is null then 'no_anchor'
+        when status = 'ok' and L1 is null then 'degenerate_geometry' else status end as final"""
+    return rows.selectExpr("*", final).selectExpr(
+        *KEY, *passed, "if(anchor_kind = 'given', 'given', anchor) as anchor_method", "L_m", "final as status",
+        "anchor_kind", "coalesce(found_frame, anchor_frame) as anchor_frame", *POINT_COLUMNS, *ANGLE_COLUMNS,
+        f"case when final = 'ok' then speed * {KMH}D end as end_speed_kmh",
+        "case when final = 'ok' then middle_cp_weight end as middle_cp_weight")
 
 
 def status_counts(params: DataFrame) -> DataFrame:
