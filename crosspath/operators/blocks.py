@@ -7,7 +7,9 @@ an equi-join on (recording, track, block):
 
 * a very long track is many small rows spread over the cluster, never one group;
 * samples are shuffled once, however many interactions look at them;
-* what travels per interaction is one row per block instead of one per sample.
+* what travels per interaction is one row per block instead of one per sample;
+* blocks that very many interactions look at are stored in several salted copies, and
+  each interaction reads one of them, so no task serves all of them.
 """
 
 from __future__ import annotations
@@ -16,10 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY, SAMPLE_FIELDS
+from ..staging import stage_bucketed
 
 BLOCK = 16
 
-TRACK_BLOCK = ["recording_id", "track_id", "block"]
+# A block that more than HOT interactions look at is split into salted copies.
+HOT = 10_000
+
+TRACK_BLOCK = ["recording_id", "track_id", "block", "salt"]
 ROLES = ("ego", "target")
 
 
@@ -32,34 +38,48 @@ def referenced_tracks(scenarios: DataFrame) -> DataFrame:
     return scenarios.selectExpr("recording_id", "explode(array(ego, target)) as track_id").distinct()
 
 
-def chunk_tracks(tracks: DataFrame, fields: list[str] = SAMPLE_FIELDS) -> DataFrame:
-    """(recording_id, track_id, block, samples, x0, x1, y0, y1, f0, f1): one row per block.
+def salt_of(block: str, hot: str) -> str:
+    """Which copy of a block an interaction reads."""
+    return f"if({block} between {hot}.from and {hot}.to, pmod(xxhash64({', '.join(KEY)}), {hot}.salts), 0L)"
+
+
+def chunk_tracks(tracks: DataFrame, hot: DataFrame, fields: list[str] = SAMPLE_FIELDS) -> DataFrame:
+    """(recording_id, track_id, block, salt, samples, x0, x1, y0, y1, f0, f1), stored and bucketed.
 
     ``samples`` is in frame order; x0..y1 is the bounding box and f0, f1 the frame range.
     Samples without a position are left out (they have no distance to anything). Repeated
     rows of a frame are reduced to the smallest by ``fields`` order; that minimum is also
     taken before the shuffle, so a mass of copies never meets in one task, and a block
     never holds more than BLOCK samples. ``fields`` must be a prefix of SAMPLE_FIELDS to
-    keep the tie order.
-
-    The partition count is fixed by spark.sql.shuffle.partitions: the joins that follow
-    compute much more per byte than the size-based coalescing of partitions assumes.
+    keep the tie order. ``hot`` is the result of ``hot_ranges``.
     """
     n = int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = "min(sample) filter (where sample.x is not null and sample.y is not null and not isnan(sample.x) and not isnan(sample.y))"
     once = (tracks.where("recording_id is not null and track_id is not null and frame is not null")
             .selectExpr("recording_id", "track_id", "frame", f"struct(frame, {', '.join(fields)}) as sample")
             .groupBy("recording_id", "track_id", "frame").agg(F.expr(f"{placed} as sample")).where("sample is not null"))
-    blocks = once.selectExpr("recording_id", "track_id", f"{block_of('frame')} as block", "sample")
-    return blocks.repartition(n, *TRACK_BLOCK).groupBy(*TRACK_BLOCK).agg(*map(F.expr, (
+    copies = "explode(sequence(0L, if(block between hot.from and hot.to, hot.salts - 1, 0L))) as salt"
+    blocks = (once.selectExpr("recording_id", "track_id", f"{block_of('frame')} as block", "sample")
+              .join(hot, ["recording_id", "track_id"], "left")
+              .selectExpr("recording_id", "track_id", "block", "sample", copies))
+    return stage_bucketed(blocks.repartition(n, *TRACK_BLOCK).groupBy(*TRACK_BLOCK).agg(*map(F.expr, (
         "sort_array(collect_list(sample)) as samples", "min(sample.x) as x0", "max(sample.x) as x1",
-        "min(sample.y) as y0", "max(sample.y) as y1", "min(sample.frame) as f0", "max(sample.frame) as f1")))
+        "min(sample.y) as y0", "max(sample.y) as y1", "min(sample.frame) as f0", "max(sample.frame) as f1"))), TRACK_BLOCK)
 
 
-def track_extents(chunks: DataFrame) -> DataFrame:
+def track_extents(tracks: DataFrame) -> DataFrame:
     """First and last frame of every track."""
-    return chunks.groupBy("recording_id", "track_id").agg(
-        F.expr("min(f0) as first_frame"), F.expr("max(f1) as last_frame"))
+    return tracks.groupBy("recording_id", "track_id").agg(
+        F.expr("min(frame) as first_frame"), F.expr("max(frame) as last_frame"))
+
+
+def hot_ranges(windows: DataFrame) -> DataFrame:
+    """(recording_id, track_id, hot: struct<from, to, salts>): the block range of a track
+    that has blocks with more than HOT interactions, and into how many copies to split it."""
+    crowded = (_block_numbers(windows).groupBy("recording_id", "track_id", "block").count()
+               .where(f"count > {HOT}"))
+    return crowded.groupBy("recording_id", "track_id").agg(F.expr(
+        f"struct(min(block) as from, max(block) as to, cast(ceil(max(count) / {HOT}) as bigint) as salts) as hot"))
 
 
 # The samples of a block row with lo <= frame <= hi; only blocks at a window's edge are filtered.
@@ -74,16 +94,20 @@ def role_windows(scenarios: DataFrame, extents: DataFrame, carry: list[str] = ()
     return (scenarios.selectExpr(*KEY, *carry, "min_frame", "max_frame", f"inline(array({roles}))")
             .join(extents, ["recording_id", "track_id"])
             .selectExpr(*KEY, *carry, "role", "track_id", "greatest(min_frame, first_frame) as lo",
-                        "least(max_frame, last_frame) as hi"))
+                        "least(max_frame, last_frame) as hi").where("lo <= hi"))
 
 
-def explode_blocks(windows: DataFrame) -> DataFrame:
-    """One row per block that the frame range [lo, hi] of a row touches."""
+def _block_numbers(windows: DataFrame) -> DataFrame:
     return windows.where("lo <= hi").selectExpr("*", f"explode(sequence({block_of('lo')}, {block_of('hi')})) as block")
 
 
+def explode_blocks(windows: DataFrame) -> DataFrame:
+    """One row per block (with salt) that the frame range [lo, hi] of a row touches."""
+    return _block_numbers(windows).selectExpr("*", f"{salt_of('block', 'hot')} as salt")
+
+
 def in_blocks(windows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Window rows (recording_id, track_id, lo, hi, ...) joined to each block they touch."""
+    """Window rows (KEY, track_id, lo, hi, hot, ...) joined to each block they touch."""
     return explode_blocks(windows).join(chunks, TRACK_BLOCK)
 
 
@@ -95,4 +119,4 @@ def attach(windows: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def role_view(pairs: DataFrame, role: str, *extra: str) -> DataFrame:
     """Pairs as window rows of one role's track."""
-    return pairs.selectExpr(*KEY, *extra, f"{role} as track_id", f"{role}_lo as lo", f"{role}_hi as hi")
+    return pairs.selectExpr(*KEY, *extra, f"{role} as track_id", f"{role}_lo as lo", f"{role}_hi as hi", f"{role}_hot as hot")

@@ -25,7 +25,7 @@ from .pairs import Prepared
 SLACK = 1e-9
 
 _KEYS = ", ".join(KEY)
-ENDS = ["ego", "target", "ego_lo", "ego_hi", "target_lo", "target_hi"]
+ENDS = [f"{r}{c}" for r in B.ROLES for c in ("", "_lo", "_hi", "_hot")]
 
 # A block row as a node: the box of the whole block (never too small) and one sample
 # that lies inside the window (NULL if there is none).
@@ -58,7 +58,8 @@ def _super_nodes(prep: Prepared, role: str, short: str, carry: list[str]) -> Dat
 def _with_block(rows: DataFrame, prep: Prepared, role: str, block: str, *out: str) -> DataFrame:
     """Join one role's track block and select ``out``, where lo..hi is that role's window."""
     chunks = prep.chunks.withColumnsRenamed({"track_id": role, "block": block})
-    return (rows.join(chunks, ["recording_id", role, block])
+    salted = rows.selectExpr("*", f"{B.salt_of(block, f'{role}_hot')} as salt")
+    return (salted.join(chunks, ["recording_id", role, block, "salt"])
             .selectExpr("*", f"{role}_lo as lo", f"{role}_hi as hi").selectExpr(*out))
 
 

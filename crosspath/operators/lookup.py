@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY
-from .blocks import attach, block_of
+from .blocks import attach, block_of, salt_of
 
 
 def sample_at(rows: DataFrame, chunks: DataFrame, frame: str, out: str) -> DataFrame:
@@ -14,16 +14,16 @@ def sample_at(rows: DataFrame, chunks: DataFrame, frame: str, out: str) -> DataF
 
     At most one block can hold it, so this is one left equi-join and no aggregation.
     """
-    blocks = chunks.selectExpr("recording_id", "track_id as target", "block", "samples")
+    blocks = chunks.selectExpr("recording_id", "track_id as target", "block", "salt", "samples")
     hit = f"get(filter(samples, s -> s.frame = {frame} and s.frame between target_lo and target_hi), 0) as {out}"
-    return (rows.selectExpr("*", f"{block_of(frame)} as block")
-            .join(blocks, ["recording_id", "target", "block"], "left").selectExpr(*rows.columns, hit))
+    return (rows.selectExpr("*", f"{block_of(frame)} as block").selectExpr("*", f"{salt_of('block', 'target_hot')} as salt")
+            .join(blocks, ["recording_id", "target", "block", "salt"], "left").selectExpr(*rows.columns, hit))
 
 
 def nearest_sample(windows: DataFrame, chunks: DataFrame, carry: list[str] = ()) -> DataFrame:
     """Sample nearest in time to frame ``at`` of each window row; ties go to the lower frame.
 
-    windows: (KEY, carry, track_id, lo, hi, at), a row per (KEY, carry).
+    windows: (KEY, carry, track_id, lo, hi, hot, at), a row per (KEY, carry).
     Result: (KEY, carry, near: struct<gap, frame, x, y>).
     """
     near = "array_min(transform(samples, s -> struct(abs(s.frame - at) as gap, s.frame as frame, s.x as x, s.y as y))) as near"

@@ -33,23 +33,31 @@ def only_referenced(tracks: DataFrame, scenarios: DataFrame) -> DataFrame:
     return tracks.join(B.referenced_tracks(scenarios), ["recording_id", "track_id"], "left_semi")
 
 
+def windowed_chunks(
+    tracks: DataFrame, scenarios: DataFrame, fields: list[str] = SAMPLE_FIELDS, carry: list[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """Both roles' windows, and the referenced tracks as stored blocks."""
+    tracks = only_referenced(tracks, scenarios)
+    windows = stage(B.role_windows(scenarios, B.track_extents(tracks), carry))
+    hot = stage(B.hot_ranges(windows))
+    return windows.join(hot, ["recording_id", "track_id"], "left"), B.chunk_tracks(tracks, hot, fields)
+
+
 def window_samples(scenarios: DataFrame, tracks: DataFrame) -> DataFrame:
     """Long table of the samples inside each interaction's frame window, per role.
 
     Window bounds are inclusive; a frame appears once per (interaction, role).
     """
-    chunks = stage(B.chunk_tracks(only_referenced(tracks, scenarios)))
-    rows = B.attach(B.role_windows(scenarios, B.track_extents(chunks)), chunks)
-    return rows.selectExpr(*KEY, "role", "track_id", "inline(samples)")
+    return B.attach(*windowed_chunks(tracks, scenarios)).selectExpr(*KEY, "role", "track_id", "inline(samples)")
 
 
-def summarize(scenarios: DataFrame, chunks: DataFrame, carry: list[str] = ()) -> DataFrame:
+def summarize(windows: DataFrame, chunks: DataFrame, carry: list[str]) -> DataFrame:
     """One row per interaction with at least one sample: counts, frame ranges, first samples."""
-    carry = ["ego", "target", *carry]
-    rows = B.attach(B.role_windows(scenarios, B.track_extents(chunks), carry), chunks).selectExpr(
-        *KEY, *carry, "role", "size(samples) as n", "get(samples, 0) as first", "get(samples, size(samples) - 1).frame as last")
-    aggs = [F.expr(f"{agg} filter (where role = '{r}') as {r}_{name}") for r in B.ROLES
-            for agg, name in (("sum(n)", "n"), ("min(first.frame)", "lo"), ("max(last)", "hi"), ("min(first)", "first"))]
+    rows = B.attach(windows, chunks).selectExpr(
+        *KEY, *carry, "role", "hot", "size(samples) as n", "get(samples, 0) as first",
+        "get(samples, size(samples) - 1).frame as last")
+    aggs = [F.expr(f"{agg} filter (where role = '{r}') as {r}_{name}") for r in B.ROLES for agg, name in (
+        ("sum(n)", "n"), ("min(first.frame)", "lo"), ("max(last)", "hi"), ("min(first)", "first"), ("max(hot)", "hot"))]
     return rows.groupBy(*KEY, *carry).agg(*aggs)
 
 
@@ -61,6 +69,7 @@ def prepare(tracks: DataFrame, scenarios: DataFrame, fields: list[str] = SAMPLE_
     expensive) join sees them; ``plans.extract`` adds them back as ``no_track``.
     ``keep`` names scenario columns to carry along on the pairs.
     """
-    chunks = stage(B.chunk_tracks(only_referenced(tracks, scenarios), fields))
+    carry = ["ego", "target", *keep]
+    windows, chunks = windowed_chunks(tracks, scenarios, fields, carry)
     gate = f"ego_n >= {MIN_SAMPLES} and target_n >= {MIN_SAMPLES}"
-    return Prepared(stage(summarize(scenarios, chunks, keep).where(gate)), chunks)
+    return Prepared(stage(summarize(windows, chunks, carry).where(gate)), chunks)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import footprint_touches_circle
 from ..schema import CONFLICT_THRESHOLD, FPS, KEY
 from ..staging import stage
-from .blocks import ROLES, attach
+from .blocks import ROLES, attach, role_view
 from .closest import ENDS, closest_pair
 from .lookup import nearest_sample
 from .pairs import Prepared
@@ -33,7 +33,7 @@ def conflict_zones(encounter: DataFrame, threshold: float = CONFLICT_THRESHOLD)
     other vehicle's width.
     """
     sides = ", ".join(
-        f"""struct('{r}' as role, {r} as track_id, {r}_lo as lo, {r}_hi as hi, best.{r}_x as zone_x, best.{r}_y as zone_y,
+        f"""struct('{r}' as role, {r} as track_id, {r}_lo as lo, {r}_hi as hi, {r}_hot as hot, best.{r}_x as zone_x, best.{r}_y as zone_y,
         {other}_first.width as radius, {r}_first.length as length, {r}_first.width as width)"""
         for r, other in (("ego", "target"), ("target", "ego")))
     return encounter.where(f"sqrt(best.d2) <= {float(threshold)}D").selectExpr(*KEY, f"inline(array({sides}))")
@@ -98,7 +98,8 @@ def boundary_positions(pets: DataFrame, prep: Prepared) -> DataFrame:
     (KEY, v1_pet1_x, v1_pet1_y, v1_pet2_x, ..., v2_pet2_y)."""
     known = pets.where("pet is not null").select(*KEY, "pet_frame1", "pet_frame2").join(prep.pairs, KEY)
     names = [(v, p, role) for v, role in enumerate(ROLES, start=1) for p in (1, 2)]
-    probes = ", ".join(f"struct('v{v}_pet{p}' as probe, {r} as track_id, {r}_lo as lo, {r}_hi as hi, pet_frame{p} as at)"
+    probes = ", ".join(f"struct('v{v}_pet{p}' as probe, {r} as track_id, {r}_lo as lo, {r}_hi as hi, {r}_hot as hot, "
+                       f"pet_frame{p} as at)"
                        for v, p, r in names)
     near = nearest_sample(known.selectExpr(*KEY, f"inline(array({probes}))"), prep.chunks, ["probe"])
     return near.groupBy(*KEY).agg(*[F.expr(f"max(near.{c}) filter (where probe = 'v{v}_pet{p}') as v{v}_pet{p}_{c}")
@@ -120,7 +121,6 @@ def actor_position(pets: DataFrame, prep: Prepared, actor_is: int = 2) -> DataFr
         raise ValueError(f"actor_is must be 1 or 2, not {actor_is!r}")
     role = ROLES[actor_is - 1]
     at = actor_anchor(pets)
-    windows = at.join(prep.pairs, KEY).selectExpr(
-        *KEY, f"{role} as track_id", f"{role}_lo as lo", f"{role}_hi as hi", "crit_frame as at")
+    windows = role_view(prep.pairs, role).join(at.selectExpr(*KEY, "crit_frame as at"), KEY)
     near = nearest_sample(windows, prep.chunks)
     return at.join(near, KEY, "left").selectExpr(*KEY, "anchor", "crit_frame", "near.x as crit_x", "near.y as crit_y")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.blocks import attach, chunk_tracks, role_windows, track_extents
-from ..operators.pairs import only_referenced
+from ..operators.blocks import attach
+from ..operators.pairs import windowed_chunks
 from ..operators.theta import theta_to_cps
 from ..schema import CONTROL_POINT_WEIGHT, FPS, KEY, RUN_MARGIN_S
 
@@ -51,9 +51,9 @@ def control_points(params: DataFrame) -> DataFrame:
 def ego_replay(scenarios: DataFrame, tracks: DataFrame, fps: float = FPS) -> DataFrame:
     """Vertices of the ego's recorded path with absolute timing:
     (KEY, frame, time_s, x, y, heading_rad), rounded as they are written out."""
-    chunks = chunk_tracks(only_referenced(tracks, scenarios), ["x", "y", "heading"])
-    windows = role_windows(scenarios, track_extents(chunks)).where("role = 'ego'")
-    blocks = attach(windows, chunks).where(F.size("samples") > 0)
+    egos = scenarios.withColumn("target", F.col("ego"))
+    windows, chunks = windowed_chunks(tracks, egos, ["x", "y", "heading"])
+    blocks = attach(windows.where("role = 'ego'"), chunks).where(F.size("samples") > 0)
     start = blocks.groupBy(*KEY).agg(F.min(F.get("samples", F.lit(0))["frame"]).alias("start"))
     rows = blocks.join(start, KEY).select(*KEY, "start", F.inline("samples"))
     return rows.select(*KEY, "frame", F.round((F.col("frame") - F.col("start")) / F.lit(float(fps)), 6).alias("time_s"),

@@ -1,23 +1,42 @@
-"""Cut lineage through reliable storage, so lost executors never replay a whole job."""
+"""Store intermediate tables on reliable storage.
+
+Lost executors then never replay a whole job, and several passes read one stored table.
+Everything goes to the folder the cluster names in ``spark.checkpoint.dir``; a private one
+is set only where there is none (local runs and tests). Stored files outlive the session,
+like any checkpoint; clean the folder when the job is done.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
-
+from pyspark.sql import DataFrame, SparkSession
 
-def stage(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` once in the session's checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a private
-    one is set only when there is none (local runs and tests). The checkpointed
-    frame keeps its hash partitioning, so later joins on the same keys need no
-    further exchange on this side.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Materialize ``df`` once (an eager, reliable checkpoint)."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Materialize ``df`` as a parquet table bucketed by ``keys``.
+
+    Joins on the keys read it without an exchange, and each reads only the columns it
+    needs. Each task writes one bucket when ``df`` is already partitioned by the keys.
+    """
+    spark = df.sparkSession
+    name = f"crosspath_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.format("parquet").bucketBy(buckets, *keys)
+     .option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name))
+    return spark.table(name)
