@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crosspath.functions.geometry import signed_angle
-from crosspath.operators import anchors, circle, closest, kde, lookup, pairs, pet, sampling, simultaneous, theta
+from crosspath.operators import anchors, blocks, circle, closest, kde, lookup, pairs, pet, sampling, simultaneous, theta
 from crosspath.operators.blocks import role_view
 from crosspath.plans import extract, generate, sample
 from crosspath.schema import KEY, PARAMETERS
@@ -127,8 +127,7 @@ def q_track_normalize(s, d):
 
 @query
 def q_track_scan_referenced(s, d):
-    ids = scenarios(s, d).select("recording_id", F.explode(F.array("ego", "target")).alias("track_id")).distinct()
-    return track_source.scan_tracks(raw_tracks(s, d), ids)
+    return track_source.scan_tracks(raw_tracks(s, d), blocks.referenced_tracks(scenarios(s, d)))
 
 
 @query

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY, SAMPLE_FIELDS
-from ..staging import stage_bucketed
+from ..staging import stage, stage_bucketed
 
 BLOCK = 16
 
@@ -43,25 +43,26 @@ def salt_of(block: str, hot: str) -> str:
     return f"if({block} between {hot}.from and {hot}.to, pmod(xxhash64({', '.join(KEY)}), {hot}.salts), 0L)"
 
 
-def chunk_tracks(tracks: DataFrame, hot: DataFrame, fields: list[str] = SAMPLE_FIELDS) -> DataFrame:
+def chunk_tracks(tracks: DataFrame, needed: DataFrame, fields: list[str] = SAMPLE_FIELDS) -> DataFrame:
     """(recording_id, track_id, block, salt, samples, x0, x1, y0, y1, f0, f1), stored and bucketed.
 
     ``samples`` is in frame order; x0..y1 is the bounding box and f0, f1 the frame range.
     Samples without a position are left out (they have no distance to anything). Repeated
     rows of a frame are reduced to the smallest by ``fields`` order; that minimum is also
-    taken before the shuffle, so a mass of copies never meets in one task, and a block
-    never holds more than BLOCK samples. ``fields`` must be a prefix of SAMPLE_FIELDS to
-    keep the tie order. ``hot`` is the result of ``hot_ranges``.
+    taken before the shuffle, so a mass of copies never meets in one task. ``fields`` must
+    be a prefix of SAMPLE_FIELDS to keep the tie order.
+
+    ``needed`` (see ``needed_blocks``) keeps only blocks inside some interaction's window.
+    Samples are never shuffled by track alone, so a long track is spread over its blocks.
     """
     n = int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = "min(sample) filter (where sample.x is not null and sample.y is not null and not isnan(sample.x) and not isnan(sample.y))"
     once = (tracks.where("recording_id is not null and track_id is not null and frame is not null")
             .selectExpr("recording_id", "track_id", "frame", f"struct(frame, {', '.join(fields)}) as sample")
             .groupBy("recording_id", "track_id", "frame").agg(F.expr(f"{placed} as sample")).where("sample is not null"))
-    copies = "explode(sequence(0L, if(block between hot.from and hot.to, hot.salts - 1, 0L))) as salt"
     blocks = (once.selectExpr("recording_id", "track_id", f"{block_of('frame')} as block", "sample")
-              .join(hot, ["recording_id", "track_id"], "left")
-              .selectExpr("recording_id", "track_id", "block", "sample", copies))
+              .join(needed, ["recording_id", "track_id", "block"])
+              .selectExpr("recording_id", "track_id", "block", "explode(sequence(0L, salts - 1)) as salt", "sample"))
     return stage_bucketed(blocks.repartition(n, *TRACK_BLOCK).groupBy(*TRACK_BLOCK).agg(*map(F.expr, (
         "sort_array(collect_list(sample)) as samples", "min(sample.x) as x0", "max(sample.x) as x1",
         "min(sample.y) as y0", "max(sample.y) as y1", "min(sample.frame) as f0", "max(sample.frame) as f1"))), TRACK_BLOCK)
@@ -73,13 +74,20 @@ def track_extents(tracks: DataFrame) -> DataFrame:
         F.expr("min(frame) as first_frame"), F.expr("max(frame) as last_frame"))
 
 
-def hot_ranges(windows: DataFrame) -> DataFrame:
-    """(recording_id, track_id, hot: struct<from, to, salts>): the block range of a track
-    that has blocks with more than HOT interactions, and into how many copies to split it."""
-    crowded = (_block_numbers(windows).groupBy("recording_id", "track_id", "block").count()
-               .where(f"count > {HOT}"))
-    return crowded.groupBy("recording_id", "track_id").agg(F.expr(
-        f"struct(min(block) as from, max(block) as to, cast(ceil(max(count) / {HOT}) as bigint) as salts) as hot"))
+def needed_blocks(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which blocks the windows touch, and how crowded ones are split.
+
+    hot:    (recording_id, track_id, hot: struct<from, to, salts>), only for tracks with a
+            block that more than HOT windows touch: the range of such blocks, and into how
+            many copies each block of the range is split.
+    needed: (recording_id, track_id, block, salts), every touched block.
+    """
+    track = ["recording_id", "track_id"]
+    touched = stage(_block_numbers(windows).groupBy(*track, "block").count())
+    hot = stage(touched.where(f"count > {HOT}").groupBy(*track).agg(F.expr(
+        f"struct(min(block) as from, max(block) as to, cast(ceil(max(count) / {HOT}) as bigint) as salts) as hot")))
+    salts = "if(block between hot.from and hot.to, hot.salts, 1L) as salts"
+    return hot, touched.join(hot, track, "left").selectExpr(*track, "block", salts)
 
 
 # The samples of a block row with lo <= frame <= hi; only blocks at a window's edge are filtered.

@@ -28,19 +28,13 @@ class Prepared:
 MIN_SAMPLES = 2
 
 
-def only_referenced(tracks: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Semi-join of the tracks to the ids that occur in the scenario list."""
-    return tracks.join(B.referenced_tracks(scenarios), ["recording_id", "track_id"], "left_semi")
-
-
 def windowed_chunks(
     tracks: DataFrame, scenarios: DataFrame, fields: list[str] = SAMPLE_FIELDS, carry: list[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Both roles' windows, and the referenced tracks as stored blocks."""
-    tracks = only_referenced(tracks, scenarios)
+    """Both roles' windows, and the track blocks they touch."""
     windows = stage(B.role_windows(scenarios, B.track_extents(tracks), carry))
-    hot = stage(B.hot_ranges(windows))
-    return windows.join(hot, ["recording_id", "track_id"], "left"), B.chunk_tracks(tracks, hot, fields)
+    hot, needed = B.needed_blocks(windows)
+    return windows.join(hot, ["recording_id", "track_id"], "left"), B.chunk_tracks(tracks, needed, fields)
 
 
 def window_samples(scenarios: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -63,7 +57,7 @@ def summarize(windows: DataFrame, chunks: DataFrame, carry: list[str]) -> DataFr
 
 def prepare(tracks: DataFrame, scenarios: DataFrame, fields: list[str] = SAMPLE_FIELDS,
             keep: list[str] = ()) -> Prepared:
-    """Chunk the referenced tracks and summarize the interactions, each stored once.
+    """Chunk the tracks in use and summarize the interactions, each stored once.
 
     Interactions that fail the two-sample gate are left out, so no later (and more
     expensive) join sees them; ``plans.extract`` adds them back as ``no_track``.
