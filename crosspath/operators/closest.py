@@ -5,7 +5,8 @@ super-blocks of about sqrt(#blocks) blocks. A node keeps a bounding box and one
 sample. Node pairs give a lower bound (box gap) and an upper bound (distance of the
 two samples, so a distance that really occurs); pairs whose lower bound exceeds the
 best upper bound of their interaction cannot hold the minimum and are dropped before
-the next level opens them. Nothing is dropped that could tie for the minimum.
+the next level opens them. Nothing is dropped that could tie for the minimum, except ties that come later in the
+tie order.
 
 For windows of n samples the super level has about n / BLOCK node pairs, so the work
 grows with the window length rather than with its square.
@@ -27,19 +28,29 @@ SLACK = 1e-9
 _KEYS = ", ".join(KEY)
 ENDS = [f"{r}{c}" for r in B.ROLES for c in ("", "_lo", "_hi", "_hot")]
 
-# A block row as a node: the box of the whole block (never too small) and one sample
-# that lies inside the window (NULL if there is none).
+# A block row as a node: the box of the whole block (never too small) and its first sample
+# inside the window (NULL if there is none).
 _NODE = """struct(x0, x1, y0, y1, case when f0 >= lo and f0 <= hi then get(samples, 0)
     else get(filter(samples, s -> s.frame >= lo and s.frame <= hi), 0) end as p)"""
 
+# Both vehicles stand still in these nodes: every sample pair has exactly the same distance.
+_STILL = "e.x0 = e.x1 and e.y0 = e.y1 and t.x0 = t.x1 and t.y0 = t.y1"
 
-def _prune(pairs: DataFrame, keep: list[str]) -> DataFrame:
+
+def _prune(pairs: DataFrame, keep: list[str], by_target: str) -> DataFrame:
     """Keep the node pairs (e, t) that can hold their interaction's minimum; adds ``bound``,
-    which no closest pair exceeds."""
+    which no closest pair exceeds.
+
+    Of node pairs in which both vehicles stand still only the one with the smallest
+    distance and the first frames can hold it, so a parked pair does not keep all its blocks.
+    """
     seen = distance_sq("e.p.x", "e.p.y", "t.p.x", "t.p.y")
-    return (pairs.selectExpr(*keep, f"{box_gap_sq('e', 't')} as gap", f"{seen} as seen")
-            .selectExpr(*keep, "gap", f"min(seen) over (partition by {_KEYS}) * {1 + SLACK}D + {SLACK * SLACK}D as bound")
-            .where("gap <= bound").select(*keep, "bound"))
+    first = f"struct({seen} as seen, if({by_target}, t.p.frame, e.p.frame) as f1, if({by_target}, e.p.frame, t.p.frame) as f2)"
+    over = f"over (partition by {_KEYS})"
+    return (pairs.selectExpr(*keep, f"{box_gap_sq('e', 't')} as gap", f"{first} as first", f"{_STILL} as still")
+            .selectExpr(*keep, "gap", "first", "still", f"min(first.seen) {over} * {1 + SLACK}D + {SLACK * SLACK}D as bound",
+                        f"min(if(still and first.seen is not null, first, null)) {over} as still_first")
+            .where("gap <= bound and (not still or first = still_first)").select(*keep, "bound"))
 
 
 def _super_nodes(prep: Prepared, role: str, short: str, carry: list[str]) -> DataFrame:
@@ -52,7 +63,7 @@ def _super_nodes(prep: Prepared, role: str, short: str, carry: list[str]) -> Dat
             .where("n.p is not null").selectExpr("*", "least(from + span - 1, b1) as to"))
     node = ", ".join(f"{agg}(n.{c}) as {c}" for agg, c in (("min", "x0"), ("max", "x1"), ("min", "y0"), ("max", "y1")))
     return rows.groupBy(*KEY, *carry, F.col("from").alias(f"{short}_from"), F.col("to").alias(f"{short}_to")).agg(
-        F.expr(f"struct({node}, min(struct(n.p.x, n.p.y)) as p) as {short}"))
+        F.expr(f"struct({node}, min(struct(n.p.frame, n.p.x, n.p.y)) as p) as {short}"))
 
 
 def _with_block(rows: DataFrame, prep: Prepared, role: str, block: str, *out: str) -> DataFrame:
@@ -63,17 +74,20 @@ def _with_block(rows: DataFrame, prep: Prepared, role: str, block: str, *out: st
             .selectExpr("*", f"{role}_lo as lo", f"{role}_hi as hi").selectExpr(*out))
 
 
-def candidate_blocks(prep: Prepared, carry: list[str] = ()) -> DataFrame:
+def candidate_blocks(prep: Prepared, carry: list[str] = (), by_target: str = "false") -> DataFrame:
     """Block pairs that can hold the closest sample pair: (KEY, window columns, carry, e_block,
     t_block, e, t, bound), where e and t are the blocks' nodes."""
     ends = list(dict.fromkeys([*ENDS, *carry]))
     sup = _super_nodes(prep, "ego", "e", ends).join(_super_nodes(prep, "target", "t", []), KEY)
-    rows = (_prune(sup, [*KEY, *ends, "e_from", "e_to", "t_from", "t_to"])
+    rows = (_prune(sup, [*KEY, *ends, "e_from", "e_to", "t_from", "t_to", "t"], by_target).withColumnRenamed("t", "t_super")
             .selectExpr("*", "explode(sequence(e_from, e_to)) as e_block"))
-    rows = _with_block(rows, prep, "ego", "e_block", *KEY, *ends, "e_block", f"{_NODE} as e",
-                       "explode(sequence(t_from, t_to)) as t_block")
-    rows = _with_block(rows, prep, "target", "t_block", *KEY, *ends, "e_block", "t_block", "e", f"{_NODE} as t")
-    return _prune(rows, [*KEY, *ends, "e_block", "t_block", "e", "t"])
+    # The super level's bound already rules out most blocks, before they are paired.
+    rows = (_with_block(rows, prep, "ego", "e_block", *KEY, *ends, "e_block", f"{_NODE} as e", "t_super", "bound",
+                        "t_from", "t_to").where(f"{box_gap_sq('e', 't_super')} <= bound")
+            .selectExpr(*KEY, *ends, "e_block", "e", "bound", "explode(sequence(t_from, t_to)) as t_block"))
+    rows = (_with_block(rows, prep, "target", "t_block", *KEY, *ends, "e_block", "t_block", "e", f"{_NODE} as t", "bound")
+            .where(f"{box_gap_sq('e', 't')} <= bound"))
+    return _prune(rows, [*KEY, *ends, "e_block", "t_block", "e", "t"], by_target)
 
 
 _D2 = distance_sq("e.x", "e.y", "t.x", "t.y")
@@ -90,7 +104,7 @@ def closest_pair(prep: Prepared, carry: list[str] = (), by_target: str = "false"
     ends = list(dict.fromkeys([*ENDS, *carry]))
     near_t = f"filter({B.IN_WINDOW}, s -> {point_gap_sq('s', 't')} <= bound) as es"
     near_e = f"filter({B.IN_WINDOW}, s -> {point_gap_sq('s', 'e')} <= bound) as ts"
-    rows = _with_block(candidate_blocks(prep, carry), prep, "ego", "e_block", *KEY, *ends, "t_block", "e", "bound", near_t)
+    rows = _with_block(candidate_blocks(prep, carry, by_target), prep, "ego", "e_block", *KEY, *ends, "t_block", "e", "bound", near_t)
     rows = _with_block(rows.where("size(es) > 0"), prep, "target", "t_block", *KEY, *carry, "es", near_e)
     pair = f"""struct(if({by_target}, sqrt({_D2}), {_D2}) as rank, if({by_target}, t.frame, e.frame) as tie, {_D2} as d2,
         e.frame as ego_frame, t.frame as target_frame, e.x as ego_x, e.y as ego_y, t.x as target_x, t.y as target_y)"""

@@ -138,3 +138,15 @@ def test_crowding_does_not_change_results(spark, monkeypatch):
     plain = registry.params(spark, SF).toPandas()
     key = ["recording_id", "scenario_id"]
     pd.testing.assert_frame_equal(salted.sort_values(key).reset_index(drop=True), plain.sort_values(key).reset_index(drop=True))
+
+
+def test_parked_vehicles(spark):
+    """Thousands of equal distances: the first frames win and few block pairs are opened."""
+    n = 2000
+    tr = tracks(spark, straight(1, (0.0, 0.0), (0.0, 0.0), range(n), 0), straight(2, (3.0, 4.0), (0.0, 0.0), range(7, n), 0))
+    prep = pairs.prepare(tr, scenarios(spark, [("a", "x", 1, 2, 0, n, None), ("b", "x", 2, 1, 5, n, None)]))
+    got = closest.closest_pair(prep).select("scenario_id", "best.*").toPandas().set_index("scenario_id")
+    assert got.loc["a", ["d2", "ego_frame", "target_frame"]].tolist() == [25, 0, 7]
+    assert got.loc["b", ["d2", "ego_frame", "target_frame"]].tolist() == [25, 7, 5]
+    assert closest.crossing_frame(prep).selectExpr("best.target_frame as f").toPandas().f.tolist() in ([7, 5], [5, 7])
+    assert closest.candidate_blocks(prep).count() < 100
