@@ -10,14 +10,17 @@ from ..schema import DRAWS_PER_CLASS, PARAMETERS, SEED
 from .kde import kernel_index
 
 _STEP = 1000
+_SPREAD = 100_000        # draws per class above which the expansion is spread over all tasks
 
 
 def draw_numbers(model: DataFrame, n: int) -> DataFrame:
-    """n rows per class with draw = 1..n, expanded in two steps so no array grows with n."""
-    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((n - 1) // _STEP).cast("bigint"))).alias("block")
-    first = F.col("block") * _STEP + 1
-    last = F.least(first + (_STEP - 1), F.lit(n).cast("bigint"))
-    return (model.select("*", block).withColumn("draw", F.explode(F.sequence(first, last))).drop("block"))
+    """n rows per class with draw = 1..n, expanded in two steps and spread out in between, so
+    neither an array nor a task grows with n."""
+    parts = int(model.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = model.selectExpr("*", f"explode(sequence(0L, {(n - 1) // _STEP}L)) as step")
+    if n > _SPREAD:
+        steps = steps.repartition(parts, "class", "step")
+    return steps.selectExpr("*", f"explode(sequence(step * {_STEP} + 1, least((step + 1) * {_STEP}, {n}L))) as draw").drop("step")
 
 
 def _moved(df: DataFrame, seed: int, cols: list[str], scale: float) -> DataFrame:

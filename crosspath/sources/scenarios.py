@@ -51,8 +51,13 @@ def class_settings(spark: SparkSession, config: dict) -> DataFrame:
     def number(settings: dict, key: str) -> float | None:
         return None if settings.get(key) is None else float(settings[key])
 
+    kinds = {"class": "string", "anchor": "string", "L": "double", "middle_cp_weight": "double"}
     rows = [(name, s.get("anchor"), number(s, "L"), number(s, "middle_cp_weight")) for name, s in classes.items()]
-    return spark.createDataFrame(rows, "class string, anchor string, L double, middle_cp_weight double")
+    if not rows:
+        return spark.createDataFrame([], ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
+    # As literals the relation has a known, small size, so Spark joins it without a shuffle.
+    return spark.range(1).select(F.inline(F.array(*[
+        F.struct(*[F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(row, kinds.items())]) for row in rows])))
 
 
 def with_class_settings(scenarios: DataFrame, settings: DataFrame, default: dict) -> DataFrame:
