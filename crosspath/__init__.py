@@ -1,0 +1,10 @@
+"""Spark-native analytics for road user interactions and for training text.
+
+Functions that run in Python workers are sent by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,12 +2,13 @@
 
 Lost executors then never replay a whole job, and several passes read one stored table.
 Everything goes to the folder the cluster names in ``spark.checkpoint.dir``; a private one
-is set only where there is none (local runs and tests). Stored files outlive the session,
+is set only where there is none and all runs in one process (local runs and tests). Stored files outlive the session,
 like any checkpoint; clean the folder when the job is done.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,7 +19,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
