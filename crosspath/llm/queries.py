@@ -5,19 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash
+from . import chat, decontaminate, linededup, mixing, pii, quality, sharding, simhash
 from .common import read
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = chat.perspectives(read(spark, sf_dir, "conversations"))
+    return parts.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"])), ","))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (quality.verdicts(read(spark, sf_dir, "documents"))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (linededup.deduplicated(read(spark, sf_dir, "documents"))
+            .select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.md5(F.col("clean_text").cast("binary")).alias("clean_md5")))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read(spark, sf_dir, "documents"))
 
@@ -32,5 +46,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op5_quality, op7_sharding, op8_mixing, op10_simhash)}
-SQL = {"op8_mixing": mixing.sql()}
+QUERIES = {f.__name__: f for f in (op2_chat, op3_decontamination, op4_pii, op5_quality, op6_line_dedup, op7_sharding, op8_mixing, op10_simhash)}
+SQL = {"op2_chat": chat.sql(), "op6_line_dedup": linededup.sql(), "op8_mixing": mixing.sql()}
