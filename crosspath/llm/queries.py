@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, linededup, mixing, pii, quality, sharding, simhash
+from . import chat, decontaminate, langid, linededup, mixing, pages, pii, quality, sharding, simhash
 from .common import read
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and every page; trained on the language labels of all documents."""
+    docs = read(spark, sf_dir, "documents")
+    languages, model = langid.train(docs)
+    both = langid.from_documents(docs).unionByName(langid.from_pages(read(spark, sf_dir, "pages")), allowMissingColumns=True)
+    return langid.identify(both, languages, model)
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = chat.perspectives(read(spark, sf_dir, "conversations"))
     return parts.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"])), ","))
@@ -42,9 +50,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round("probability", 7).alias("probability"), "kept"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(read(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat, op3_decontamination, op4_pii, op5_quality, op6_line_dedup, op7_sharding, op8_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (
+    op1_language, op2_chat, op3_decontamination, op4_pii, op5_quality, op6_line_dedup, op7_sharding, op8_mixing, op9_main_text, op10_simhash)}
 SQL = {"op2_chat": chat.sql(), "op6_line_dedup": linededup.sql(), "op8_mixing": mixing.sql()}
