@@ -1,0 +1,52 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from crosspath.llm import pii
+
+from .helpers import SF, awkward, documents
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+            "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+ANCHORS = pii.automaton()
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (2 if k % 2 else 1), 10)) for k, c in enumerate(d[::-1])) % 10 == 0
+
+
+def base(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            if (kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "card" and 16 <= len(digits) <= 19 and luhn(digits)
+                    or kind == "phone" and 8 <= len(digits) <= 15):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text("0123456789+-. @()ab,é", max_size=40) | st.lists(st.sampled_from(["4111111111111111", "4111 1111-1111 1111", "1.2.3.4", ".5", "999.", "a@b", "@", ".c",
+                                                                                "+1 (555) 123-4567", " ", "-", "0"]), max_size=8).map("".join))
+def test_base_spans_equal_regular_expressions(text):
+    assert [s for s in pii.find(text, ANCHORS) if s[0] in pii.BASE] == base(text)
+
+
+def test_whole_table_and_awkward_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for rows, got in ((docs.collect(), pii.personal_data(docs).collect()), (awkward(), pii.personal_data(documents(spark)).collect())):
+        want = sorted((str(r[0]), hashlib.sha256(pii.written(base(r[1])).encode()).hexdigest(), len(base(r[1]))) for r in rows)
+        assert sorted((str(r.doc_id), r.base_sha256, r.n_email + r.n_ip + r.n_card + r.n_phone) for r in got) == want
+    assert pii.personal_data(documents(spark, [])).count() == 0
+
+
+def test_added_kinds_and_masking():
+    text = "see ftp://joe:pw1@host.org/x and IBAN DE89 3704 0044 0532 0130 00 or password=ab12cd34, user: somebody"
+    spans = pii.find(text, ANCHORS)
+    assert {(k, text[a:b]) for k, a, b in spans if k in pii.MORE} == {
+        ("url", "ftp://joe:pw1@host.org/x"), ("iban", "DE89 3704 0044 0532 0130 00"), ("account", "ab12cd34")}
+    assert pii.masked("mail a@b.org now", "email:5:12") == "mail [email] now"
+    assert pii.find("plain words, 12 of them: user manual and token ring", ANCHORS) == []
