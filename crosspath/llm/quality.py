@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, stored, with_python
+from .common import stored, with_python
 
 MIN_WORDS, MAX_REPEATED = 20, 30        # words; percent of words in repeated windows
 REPEAT_WINDOW = 8
 MIN_GROUP = 50          # smaller groups share one estimate per language, then one in all
 SHARE = 0.75            # of the rows of a group that an estimate is made of
-STEPS = 6
+STEPS = 5
 TAIL = 1e-9             # chi-square tail beyond which a document is an outlier
 # Smallest standard deviations of the vector's parts; differences below are no sign of anything.
 FLOORS = {"word_length": 0.1, "symbols": 0.04, "dup_lines": 0.12, "repeats": 0.12, "capitals": 0.08}
@@ -82,19 +82,17 @@ def text_counts(text: bytes | None) -> tuple[int, ...]:
             len(text.translate(None, _NOT_UPPER)))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, lang, source, *COUNTS, base_failed) per row."""
-    keyed = docs.select("doc_id", row_key("doc_id", "text", "lang", "source").alias("key"), "lang", "source", "text")
-    counted = with_python(keyed, "text", {c: T.LongType() for c in COUNTS},
+def with_statistics(rows: DataFrame) -> DataFrame:
+    """``rows`` without ``text``, plus (*COUNTS, base_failed)."""
+    counted = with_python(rows, "text", {c: T.LongType() for c in COUNTS},
                           lambda texts: list(zip(*map(text_counts, texts))) or [[] for _ in COUNTS], binary=True)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return counted.withColumn("base_failed", failed)
+    return counted.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words"))
 
 
 def vector() -> dict[str, Column]:
-    """The transformed statistics, defined for documents with words."""
-    n, chars = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
-    return {"word_length": F.ln(F.col("word_chars") / n), "symbols": F.sqrt(F.col("n_symbols") / chars),
+    """The transformed statistics; a text without words counts as one letter."""
+    n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    return {"word_length": F.ln(chars / n), "symbols": F.sqrt(F.col("n_symbols") / chars),
             "dup_lines": F.sqrt(F.col("n_dup_lines") / n), "repeats": F.sqrt(F.col("n_repeat_words") / n),
             "capitals": F.sqrt(F.col("n_capitals") / chars)}
 
@@ -185,42 +183,59 @@ def robust_scatter(rows: DataFrame, names: list[str], floors: list[float], share
     return current
 
 
-def verdicts(docs: DataFrame, share: float = SHARE, steps: int = STEPS, tail: float = TAIL, min_group: int = MIN_GROUP) -> DataFrame:
-    """(doc_id, key, *COUNTS, base_failed, kept, grp, distance) per row of ``docs`` (doc_id, text, lang, source, ...).
+def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+    """(its_lang, its_source, grp, center, inverse) for every language and source of ``rows`` (with_statistics).
 
-    base_failed: too few words or too many repeated ones. Estimates are made of the other
-    documents. A group below ``min_group`` of them joins the rest of its language, a rest
-    below it the rest of all; a rest of all below it gives no verdict. kept: not base_failed
-    and a squared distance within the chi-square bound (none: kept).
-
-    Null texts and texts without words are empty (base_failed). Null lang or source is a
-    value of its own. Repeated rows get equal verdicts. An empty table gives an empty
-    result. Other columns are not read. Texts are read whole.
+    Estimates are made of the documents that did not fail the counted limits. A group below
+    ``min_group`` of them joins the rest of its language, a rest below it the rest of all; a
+    rest of all below it has no estimate.
     """
-    rows = stored(statistics(docs))
     names, floors = list(FLOORS), list(FLOORS.values())
-    fine = rows.where("not base_failed")
+    fine = rows.where("not base_failed").select("lang", "source", *[c.alias(n) for n, c in vector().items()])
     sizes = stored(fine.groupBy("lang", "source").count())
     by_lang = sizes.where(F.col("count") < min_group).groupBy("lang").agg(F.sum("count").alias("rest"))
-    name = lambda *cols: F.to_json(F.array(*cols), {"ignoreNullFields": "false"})
+    name = lambda *cols: F.to_json(F.array(*cols))
     level = (F.when(F.col("count") >= min_group, name(F.col("s.lang"), F.col("s.source")))
              .when(F.col("rest") >= min_group, name(F.col("s.lang"))).otherwise(F.lit("rest")))
     groups = stored(sizes.alias("s").join(by_lang.alias("b"), F.col("s.lang").eqNullSafe(F.col("b.lang")), "left")
-                    .select("s.lang", "s.source", level.alias("grp")))
-    measured = (rows.alias("r").join(groups.alias("g"), F.col("r.lang").eqNullSafe(F.col("g.lang")) & F.col("r.source").eqNullSafe(F.col("g.source")), "left")
-                .select("r.*", F.when(~F.col("base_failed"), F.col("grp")).alias("grp")).withColumns(vector()))
-    measured = stored(measured)
-    enough = measured.where("grp is not null").groupBy("grp").count().where(F.col("count") >= min_group).select("grp")
-    known = measured.join(stored(enough), "grp", "left_semi").select("grp", *names)
-    scatter = robust_scatter(known, names, floors, share, steps)
-    bound = chi_square_quantile(len(names), 1 - tail)
-    scored = measured.join(scatter, "grp", "left").withColumn("distance", F.round(_distance(names), 6))
-    return scored.select("doc_id", "key", *COUNTS, "base_failed",
-                         (~F.col("base_failed") & F.coalesce(F.col("distance") <= bound, F.lit(True))).alias("kept"), "grp", "distance")
-
-
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``verdicts`` keeps, with all their columns."""
-    bad = stored(verdicts(docs, **options).where("not kept").select("doc_id", "key").distinct())
-    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), row_key("doc_id", "text", "lang", "source").alias("its_key"))
-    return marked.join(bad, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("its_key") == F.col("key")), "left_anti").select("row.*")
+                    .select(F.col("s.lang").alias("its_lang"), F.col("s.source").alias("its_source"), level.alias("grp"), "count"))
+    enough = groups.groupBy("grp").agg(F.sum("count").alias("n")).where(F.col("n") >= min_group).select("grp")
+    groups = stored(groups.join(enough, "grp").select("its_lang", "its_source", "grp"))
+    known = stored(fine.join(groups, _its_group()).select("grp", *names))
+    return stored(groups.join(robust_scatter(known, names, floors, share, steps), "grp"))
+
+
+def _its_group() -> Column:
+    return F.col("lang").eqNullSafe(F.col("its_lang")) & F.col("source").eqNullSafe(F.col("its_source"))
+
+
+def _judged(rows: DataFrame, fitted: DataFrame, tail: float) -> DataFrame:
+    """``rows`` (with_statistics) with (grp, distance, kept)."""
+    scored = rows.join(fitted, _its_group(), "left").withColumns(vector()).withColumn("distance", F.when(~F.col("base_failed"), F.round(_distance(list(FLOORS)), 6)))
+    bound = chi_square_quantile(len(FLOORS), 1 - tail)
+    return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= bound, F.lit(True)))
+
+
+def verdicts(docs: DataFrame, tail: float = TAIL, **options) -> DataFrame:
+    """(doc_id, *COUNTS, base_failed, kept, grp, distance) per row of ``docs`` (doc_id, text, lang, source, ...).
+
+    base_failed: too few words or too many repeated ones. kept: not base_failed and a squared
+    distance within the chi-square bound (none, for want of an estimate: kept). Options are
+    those of ``fit``.
+
+    Null texts and texts without words are empty (base_failed). Null lang or source is a
+    value of its own. Repeated rows get equal verdicts. An empty table gives an empty
+    result. Other columns are not read. Texts are read whole.
+    """
+    rows = stored(with_statistics(docs.select("doc_id", "lang", "source", "text")))
+    return _judged(rows, fit(rows, **options), tail).select("doc_id", *COUNTS, "base_failed", "kept", "grp", "distance")
+
+
+def keep_good(docs: DataFrame, tail: float = TAIL, **options) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` keeps, with all their columns.
+
+    The statistics are counted twice, once for the estimates and once beside each row, so
+    that no text is shuffled or stored.
+    """
+    fitted = fit(stored(with_statistics(docs.select("lang", "source", "text"))), **options)
+    return _judged(with_statistics(docs.select(F.struct("*").alias("row"), "lang", "source", "text")), fitted, tail).where("kept").select("row.*")
