@@ -235,7 +235,7 @@ def drop_near_duplicates(docs: DataFrame, bits: int = BITS, width: int = SHINGLE
     def found(side: DataFrame):
         return marked["id"].eqNullSafe(side["doc_id"]) & (marked["its_key"] == side["key"])
 
-    kept = marked.join(losers, found(losers), "left_anti")
+    kept = marked.join(losers.hint("merge"), found(losers), "left_anti")     # losers grow with the corpus
     if twins.isEmpty():
         return kept.select("row.*")
     once = kept.join(twins, found(twins), "left_semi").dropDuplicates(["id", "its_key"])
