@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.random import uniform
@@ -17,7 +18,7 @@ from .common import WORD, stored
 
 MARGINS = ["source", "lang", "topic"]
 TEMPER = 0.9            # default targets: shares of tokens to this power
-ROUNDS = 12             # at most
+ROUNDS = 8              # at most
 TOLERANCE = 1e-10       # of the factors in one round
 SEED = 2026
 
@@ -45,23 +46,34 @@ def default_targets(cells: DataFrame, temper: float = TEMPER) -> dict[str, DataF
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(*MARGINS, tokens, weight): the cells' tokens scaled until every margin adds up to its target.
 
-    Values without a target get weight 0. Targets that no weights can meet leave the
-    margin raked last (topic) right and the others as near as ``rounds`` rounds bring them.
+    A weight is tokens x a factor of the source x factors of lang and topic. The source's
+    factor follows from the other two, so a round only passes on a table of (lang, topic).
+    Values without a target get weight 0. Targets that no weights can meet leave the margin
+    raked last (topic) right and the others as near as ``rounds`` rounds bring them.
     """
-    current = stored(cells.select(*MARGINS, "tokens", F.col("tokens").cast("double").alias("weight")))
+    cells = cells.select(*MARGINS, "tokens")
+    for m in MARGINS:
+        side = targets[m].select(F.col("value").alias(f"its_{m}"), F.col("target").alias(f"to_{m}"))
+        cells = cells.join(side, F.col(m).eqNullSafe(F.col(f"its_{m}")), "left").drop(f"its_{m}")
+    cells = stored(cells.fillna(0.0, [f"to_{m}" for m in MARGINS]))
+    sized = "coalesce({0} / nullif({1}, 0D), 0D)"
+    factors = stored(cells.select(F.col("lang").alias("l"), F.col("topic").alias("t"), "to_lang", "to_topic").distinct()
+                     .selectExpr("*", "1D as factor", "1D as before", "1D as change"))
+
+    def scaled(by: str) -> DataFrame:
+        joined = cells.join(factors.select("l", "t", "before", "factor"), F.col("lang").eqNullSafe(F.col("l")) & F.col("topic").eqNullSafe(F.col("t")))
+        of_source = F.sum(F.col("tokens") * F.col(by)).over(W.partitionBy("source"))       # the cells of one source
+        return joined.withColumn("of_source", of_source).withColumn("weight", F.expr(f"tokens * factor * {sized.format('to_source', 'of_source')}"))
+
     for _ in range(rounds):
-        step, change = current.withColumn("change", F.lit(0.0)), F.lit(0.0)
-        for m in MARGINS:
-            sums = step.groupBy(F.col(m).alias("value")).agg(F.sum("weight").alias("total"))
-            factors = (sums.alias("s").join(targets[m].alias("t"), F.col("s.value").eqNullSafe(F.col("t.value")), "left")
-                       .select(F.col("s.value").alias("at"), F.coalesce(F.col("target") / F.nullif("total", F.lit(0.0)), F.lit(0.0)).alias("factor")))
-            change = F.greatest("change", F.abs(F.col("factor") - 1))
-            step = (step.join(factors, step[m].eqNullSafe(factors["at"]))
-                    .select(*MARGINS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"), change.alias("change")))
-        current = stored(step)
-        if (current.agg(F.max("change")).first()[0] or 0.0) <= tolerance:
+        held = scaled("factor").groupBy("lang", "topic", "to_lang", "to_topic", "factor").agg(F.sum("weight").alias("w"))
+        held = held.withColumn("by_lang", F.expr(sized.format("to_lang", "sum(w) over (partition by lang)")))
+        held = held.withColumn("by_topic", F.expr(sized.format("to_topic", "sum(w * by_lang) over (partition by topic)")))
+        factors = stored(held.selectExpr("lang as l", "topic as t", "to_lang", "to_topic", "factor * by_lang * by_topic as factor",
+                                         "factor as before", "greatest(abs(by_lang - 1), abs(by_topic - 1)) as change"))
+        if (factors.agg(F.max("change")).first()[0] or 0.0) <= tolerance:
             break
-    return current.select(*MARGINS, "tokens", "weight")
+    return scaled("before").select(*MARGINS, "tokens", "weight")
 
 
 def _described(docs: DataFrame) -> DataFrame:
