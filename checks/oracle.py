@@ -331,7 +331,8 @@ FINAL: dict[str, str] = {
         anchor_kind, anchor_frame, {_r(*POINTS)}, {GEOM}, {_r('end_speed_kmh')}, middle_cp_weight from params""",
     "extract_status": f"select {K}, status from params",
     "status_counts": "select status, count(*) as n from params group by status",
-    "kde_classes": """select class, n, n >= 2 and sigma > 0 as usable, case when n < 2 then 'needs_two_rows'
+    "kde_classes": f"""select class, n, (select count(*) from ok o where o.class = sig.class and ({" or ".join(f"o.{p} is null" for p in PARAMS)})) as missing_values,
+        n >= 2 and sigma > 0 as usable, case when n < 2 then 'needs_two_rows'
         when sigma = 0 then 'zero_variance' end as reason from sig""",
     "class_order": "select class, min(input_ordinal) as first_seen from ok group by class",
     "kde_standardize": f"select {K}, class, {_r('z1', 'z2', 'z3')} from z",
@@ -354,9 +355,10 @@ FINAL: dict[str, str] = {
         round(radians(heading), 5) + 0e0 as heading_rad
         from win where role = 'ego'""",
     "run_end_time": f"select {K}, round((max_frame - min_frame) / {FPS} + 1e0, 3) + 0e0 as t_end_s from scn",
-    "run_log": f"""select concat_ws('/', recording_id, scenario_id, role) as file, role as entity, round(frame / {FPS}, 6) as time_s,
+    "run_log": f"""select concat_ws('/', recording_id, scenario_id) as file, role as entity, round(frame / {FPS}, 6) as time_s,
         100e0 + frame as frame, {_r('x', 'y')}, round(degrees(heading * 0.01e0), 6) + 0e0 as heading_deg,
-        round(speed, 6) + 0e0 as speed_mps from win""",
+        round(speed, 6) + 0e0 as speed_mps from win w
+        where exists (select 1 from win o where (o.recording_id, o.scenario_id, o.frame) = (w.recording_id, w.scenario_id, w.frame) and o.role <> w.role)""",
 }
 
 SQL: dict[str, str] = {name: _with(final) for name, final in FINAL.items()}

@@ -377,13 +377,12 @@ def q_run_end_time(s, d):
 
 
 def run_lines(s: SparkSession, d: str) -> DataFrame:
-    """Every recorded window of both vehicles written out as the lines of a run log."""
+    """The frames that both vehicles of an interaction have, written out as the lines of its run log."""
     rows = pairs.window_samples(scenarios(s, d), tracks(s, d))
-    number = F.when(F.col("role") == "ego", 1).otherwise(2)
-    cells = F.concat(
-        F.concat_ws(", ", "frame", F.col("frame") / fixture.FPS), F.when(number == 2, ", " * 5).otherwise(""),
-        F.lit(", "), F.concat_ws(", ", F.col("role"), "x", "y", F.col("heading") * 0.01, "speed"), F.lit(", "))
-    body = rows.select(F.concat_ws("/", *ID, "role").alias("file"), F.col("frame").alias("ord"), cells.alias("line"))
+    cells = F.concat_ws(", ", F.col("role"), "x", "y", F.col("heading") * 0.01, "speed")
+    ego, target = (rows.where(F.col("role") == role).select(*ID, "frame", cells.alias(role)) for role in ("ego", "target"))
+    line = F.concat_ws(", ", "frame", F.col("frame") / fixture.FPS, "ego", "target", F.lit(""))
+    body = ego.join(target, [*ID, "frame"]).select(F.concat_ws("/", *ID).alias("file"), F.col("frame").alias("ord"), line.alias("line"))
     labels = ["Entity_Name [-]", "World_Position_X [m]", "World_Position_Y [m]", "World_Heading_Angle [rad]",
               "Current_Speed [m/s]"]
     head = ["Index [-]", "TimeStamp [s]"] + [f"#{n} {label}" for n in (1, 2) for label in labels]
@@ -395,4 +394,4 @@ def run_lines(s: SparkSession, d: str) -> DataFrame:
 @query
 def q_run_log(s, d):
     tidy = runlog.tidy_run_log(run_lines(s, d), 100, fixture.FPS)
-    return tidy.where("entity <> ''").select("file", "entity", "time_s", "frame", "x", "y", "heading_deg", "speed_mps")
+    return tidy.select("file", "entity", "time_s", "frame", "x", "y", "heading_deg", "speed_mps")

@@ -21,21 +21,21 @@ from ..schema import KEY, SAMPLE_FIELDS
 from ..staging import stage, stage_bucketed
 
 BLOCK = 16
+ROLES = ("ego", "target")
 
 # A block that more than HOT interactions look at is split into salted copies.
 HOT = 10_000
 
 TRACK_BLOCK = ["recording_id", "track_id", "block", "salt"]
-ROLES = ("ego", "target")
 
 
 def block_of(frame: str) -> str:
-    return f"floor({frame} / {BLOCK})"
+    return f"(({frame} - pmod({frame}, {BLOCK}L)) div {BLOCK})"
 
 
-def referenced_tracks(scenarios: DataFrame) -> DataFrame:
-    """Distinct (recording, track) that some interaction names as ego or target."""
-    return scenarios.selectExpr("recording_id", "explode(array(ego, target)) as track_id").distinct()
+def referenced_tracks(scenarios: DataFrame, roles: tuple[str, ...] = ROLES) -> DataFrame:
+    """Distinct (recording, track) that some interaction names in one of the roles."""
+    return scenarios.selectExpr("recording_id", f"explode(array({', '.join(roles)})) as track_id").distinct()
 
 
 def salt_of(block: str, hot: str) -> str:
@@ -52,17 +52,17 @@ def chunk_tracks(tracks: DataFrame, needed: DataFrame, fields: list[str] = SAMPL
     taken before the shuffle, so a mass of copies never meets in one task. ``fields`` must
     be a prefix of SAMPLE_FIELDS to keep the tie order.
 
-    ``needed`` (see ``needed_blocks``) keeps only blocks inside some interaction's window.
+    ``needed`` (see ``needed_blocks``) keeps only blocks inside some interaction's window, and
+    does so before samples are compared or shuffled for anything else.
     Samples are never shuffled by track alone, so a long track is spread over its blocks.
     """
     n = int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = "min(sample) filter (where sample.x is not null and sample.y is not null and not isnan(sample.x) and not isnan(sample.y))"
-    once = (tracks.where("recording_id is not null and track_id is not null and frame is not null")
-            .selectExpr("recording_id", "track_id", "frame", f"struct(frame, {', '.join(fields)}) as sample")
-            .groupBy("recording_id", "track_id", "frame").agg(F.expr(f"{placed} as sample")).where("sample is not null"))
-    blocks = (once.selectExpr("recording_id", "track_id", f"{block_of('frame')} as block", "sample")
-              .join(needed, ["recording_id", "track_id", "block"])
-              .selectExpr("recording_id", "track_id", "block", "explode(sequence(0L, salts - 1)) as salt", "sample"))
+    wanted = (tracks.where("frame is not null")
+              .selectExpr("recording_id", "track_id", f"{block_of('frame')} as block", "frame", f"struct(frame, {', '.join(fields)}) as sample")
+              .join(needed, ["recording_id", "track_id", "block"]))
+    once = wanted.groupBy("recording_id", "track_id", "block", "salts", "frame").agg(F.expr(f"{placed} as sample")).where("sample is not null")
+    blocks = once.selectExpr("recording_id", "track_id", "block", "explode(sequence(0L, salts - 1)) as salt", "sample")
     return stage_bucketed(blocks.repartition(n, *TRACK_BLOCK).groupBy(*TRACK_BLOCK).agg(*map(F.expr, (
         "sort_array(collect_list(sample)) as samples", "min(sample.x) as x0", "max(sample.x) as x1",
         "min(sample.y) as y0", "max(sample.y) as y1", "min(sample.frame) as f0", "max(sample.frame) as f1"))), TRACK_BLOCK)
@@ -95,10 +95,10 @@ IN_WINDOW = """case when f0 >= lo and f1 <= hi then samples
     else filter(samples, s -> s.frame >= lo and s.frame <= hi) end"""
 
 
-def role_windows(scenarios: DataFrame, extents: DataFrame, carry: list[str] = ()) -> DataFrame:
-    """(KEY, carry, role, track_id, lo, hi): both roles of each interaction, with the frame
+def role_windows(scenarios: DataFrame, extents: DataFrame, carry: list[str] = (), roles: tuple[str, ...] = ROLES) -> DataFrame:
+    """(KEY, carry, role, track_id, lo, hi): the roles of each interaction, with the frame
     window narrowed to the frames the track has."""
-    roles = ", ".join(f"struct('{r}' as role, {r} as track_id)" for r in ROLES)
+    roles = ", ".join(f"struct('{r}' as role, {r} as track_id)" for r in roles)
     return (scenarios.selectExpr(*KEY, *carry, "min_frame", "max_frame", f"inline(array({roles}))")
             .join(extents, ["recording_id", "track_id"])
             .selectExpr(*KEY, *carry, "role", "track_id", "greatest(min_frame, first_frame) as lo",

@@ -30,6 +30,11 @@ FLAT_SD = 1e-12
 MIN_DENSITY = 1e-300
 
 
+def complete(params: DataFrame, cols: list[str] = PARAMETERS) -> DataFrame:
+    """Rows with a number in every parameter; only these take part in a density."""
+    return params.where(" and ".join(f"{c} is not null and not isnan({c})" for c in cols))
+
+
 def class_moments(params: DataFrame, cols: list[str] = PARAMETERS) -> DataFrame:
     """(class, n, <col>_mean, <col>_sd, sigma): moments per class; a constant column has sd 1.
 
@@ -41,15 +46,21 @@ def class_moments(params: DataFrame, cols: list[str] = PARAMETERS) -> DataFrame:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_raw")]
     varies = [F.when(F.col(f"{c}_raw") < FLAT_SD, 0.0).otherwise(1.0) for c in cols]
     sds = [F.when(F.col(f"{c}_raw") < FLAT_SD, 1.0).otherwise(F.col(f"{c}_raw")).alias(f"{c}_sd") for c in cols]
-    return params.groupBy("class").agg(*aggs).select(
+    return complete(params, cols).groupBy("class").agg(*aggs).select(
         "class", "n", *[f"{c}_mean" for c in cols], *sds, (sum(varies) / len(cols)).alias("sigma"))
 
 
 def class_report(params: DataFrame, cols: list[str] = PARAMETERS) -> DataFrame:
-    """(class, n, usable, reason): classes that can be fitted and why others are skipped."""
-    m = class_moments(params, cols)
-    reason = F.when(F.col("n") < 2, "needs_two_rows").when(F.col("sigma") == 0, "zero_variance")
-    return m.select("class", "n", reason.isNull().alias("usable"), reason.alias("reason"))
+    """(class, n, missing_values, usable, reason): classes that can be fitted and why others are skipped.
+
+    n counts complete rows, missing_values the others.
+    """
+    m = class_moments(params, cols).select(F.col("class").alias("its_class"), "n", "sigma")
+    rows = params.groupBy("class").agg(F.count("*").alias("rows")).join(m, F.col("class").eqNullSafe(F.col("its_class")), "left")
+    n = F.coalesce("n", F.lit(0))
+    reason = (F.when((n < 2) & (F.col("rows") >= 2), "missing_values").when(n < 2, "needs_two_rows").when(F.col("sigma") == 0, "zero_variance"))
+    return rows.select("class", n.cast("bigint").alias("n"), (F.col("rows") - n).cast("bigint").alias("missing_values"), reason.isNull().alias("usable"),
+                       reason.alias("reason"))
 
 
 def usable_moments(params: DataFrame, cols: list[str] = PARAMETERS) -> DataFrame:
@@ -59,6 +70,7 @@ def usable_moments(params: DataFrame, cols: list[str] = PARAMETERS) -> DataFrame
 def standardize(params: DataFrame, moments: DataFrame, cols: list[str] = PARAMETERS) -> DataFrame:
     """Add z1..zp, the parameters in units of their class's standard deviation."""
     z = [((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd")).alias(f"z{j}") for j, c in enumerate(cols, start=1)]
+    params = complete(params, cols)
     return params.join(moments, "class").select(*[params[c] for c in params.columns], *z)
 
 
@@ -185,13 +197,13 @@ def loo_density(z: DataFrame, bandwidth: DataFrame, dims: int = len(PARAMETERS))
     return z.join(dens, ["class", *zs])
 
 
-def kernel_index(params: DataFrame, bucket: int = 65536) -> DataFrame:
-    """Add ``kernel``, the row's number 0..N-1 in its class by input order.
+def kernel_index(params: DataFrame, bucket: int = 65536, cols: list[str] = PARAMETERS) -> DataFrame:
+    """Complete rows with ``kernel``, the row's number 0..N-1 in its class by input order.
 
     Rows are numbered inside buckets of the ordinal and shifted by the counts of the
     earlier buckets, so a class that holds most rows is never ordered in one task.
     """
-    rows = params.withColumn("bucket", F.floor(F.col("input_ordinal") / bucket))
+    rows = complete(params, cols).withColumn("bucket", F.floor(F.col("input_ordinal") / bucket))
     before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = (rows.groupBy("class", "bucket").count()
              .select("class", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift")))

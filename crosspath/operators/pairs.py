@@ -30,9 +30,11 @@ MIN_SAMPLES = 2
 
 def windowed_chunks(
     tracks: DataFrame, scenarios: DataFrame, fields: list[str] = SAMPLE_FIELDS, carry: list[str] = (),
+    roles: tuple[str, ...] = B.ROLES,
 ) -> tuple[DataFrame, DataFrame]:
-    """Both roles' windows, and the track blocks they touch."""
-    windows = stage(B.role_windows(scenarios, B.track_extents(tracks), carry))
+    """The roles' windows, and the track blocks they touch. Tracks that no interaction names go first."""
+    tracks = tracks.join(B.referenced_tracks(scenarios, roles), ["recording_id", "track_id"], "left_semi")
+    windows = stage(B.role_windows(scenarios, B.track_extents(tracks), carry, roles))
     hot, needed = B.needed_blocks(windows)
     return windows.join(hot, ["recording_id", "track_id"], "left"), B.chunk_tracks(tracks, needed, fields)
 

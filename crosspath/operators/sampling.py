@@ -10,17 +10,18 @@ from ..schema import DRAWS_PER_CLASS, PARAMETERS, SEED
 from .kde import kernel_index
 
 _STEP = 1000
-_SPREAD = 100_000        # draws per class above which the expansion is spread over all tasks
 
 
 def draw_numbers(model: DataFrame, n: int) -> DataFrame:
     """n rows per class with draw = 1..n, expanded in two steps and spread out in between, so
-    neither an array nor a task grows with n."""
+    neither an array nor a task grows with n. No rows for n = 0."""
+    if n < 0:
+        raise ValueError("the number of draws is negative")
+    if n == 0:
+        return model.selectExpr("*", "0L as draw").where("false")
     parts = int(model.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     steps = model.selectExpr("*", f"explode(sequence(0L, {(n - 1) // _STEP}L)) as step")
-    if n > _SPREAD:
-        steps = steps.repartition(parts, "class", "step")
-    return steps.selectExpr("*", f"explode(sequence(step * {_STEP} + 1, least((step + 1) * {_STEP}, {n}L))) as draw").drop("step")
+    return steps.repartition(parts, "class", "step").selectExpr("*", f"explode(sequence(step * {_STEP} + 1, least((step + 1) * {_STEP}, {n}L))) as draw").drop("step")
 
 
 def _moved(df: DataFrame, seed: int, cols: list[str], scale: float) -> DataFrame:

@@ -36,7 +36,9 @@ def control_points(params: DataFrame) -> DataFrame:
     rounded to 4 decimals, the middle point takes the class's own weight if it has one.
     """
     if "base_xosc" not in params.columns:
-        raise ValueError("params need a base_xosc column (add it to the scenario list)")
+        raise ValueError("no base_xosc column: every scenario has to name the file its variants start from")
+    lack = F.concat(F.lit("no base_xosc for scenario "), F.coalesce("scenario_id", F.lit("null")))
+    params = params.withColumn("base_xosc", F.coalesce("base_xosc", F.raise_error(lack).cast("string")))
     rows = theta_to_cps(variants(params).withColumn("name", variant_name(params)))
     weight = F.lit(CONTROL_POINT_WEIGHT)
     points = F.array(*[F.struct(
@@ -51,9 +53,8 @@ def control_points(params: DataFrame) -> DataFrame:
 def ego_replay(scenarios: DataFrame, tracks: DataFrame, fps: float = FPS) -> DataFrame:
     """Vertices of the ego's recorded path with absolute timing:
     (KEY, frame, time_s, x, y, heading_rad), rounded as they are written out."""
-    egos = scenarios.withColumn("target", F.col("ego"))
-    windows, chunks = windowed_chunks(tracks, egos, ["x", "y", "heading"])
-    blocks = attach(windows.where("role = 'ego'"), chunks).where(F.size("samples") > 0)
+    windows, chunks = windowed_chunks(tracks, scenarios, ["x", "y", "heading"], roles=("ego",))
+    blocks = attach(windows, chunks).where(F.size("samples") > 0)
     start = blocks.groupBy(*KEY).agg(F.min(F.get("samples", F.lit(0))["frame"]).alias("start"))
     rows = blocks.join(start, KEY).select(*KEY, "start", F.inline("samples"))
     return rows.select(*KEY, "frame", F.round((F.col("frame") - F.col("start")) / F.lit(float(fps)), 6).alias("time_s"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 # Column name patterns of the log, as the simulator writes them (fixed values).
 HEADER_START = "Index"
 TIME = "TimeStamp [s]"
@@ -30,24 +32,31 @@ def tidy_run_log(lines: DataFrame, min_frame: Column | int, fps: float) -> DataF
     lines: (file, line, ord, ...). Everything up to the first line that starts with
     ``Index`` is skipped; that line is the header. An entity keeps the name of its first
     row. ``min_frame`` may be a column of ``lines``; frame = min_frame + time_s * fps.
+    The lines are stored once, so header and data see the same order. Where an entity's
+    columns stand is found once per file.
     """
+    lines = stage(lines)
     is_header = F.trim("line").startswith(HEADER_START)
     names = F.transform(F.split("line", ","), lambda cell: F.trim(cell))
     first = F.min(F.when(is_header, F.struct("ord", names.alias("names"))))
-    header = lines.groupBy("file").agg(first.alias("h")).where("h is not null").select("file", "h.ord", "h.names")
+    header = lines.groupBy("file").agg(first.alias("h")).where("h is not null").select("file", F.col("h.ord").alias("header_ord"), "h.names")
+    number = f"regexp_extract(name, r'{ENTITY}', 1)"
+    place = "cast(array_position(names, concat('#', {n}, ' {label}')) as int)"
+    fields = ", ".join(f"""'{c}', {place.format(n=number, label=label)}""" for c, label in FIELDS.items())
+    header = header.selectExpr(
+        "file", "header_ord", f"cast(array_position(names, '{TIME}') as int) as time_at",
+        f"transform(filter(names, name -> name rlike r'{ENTITY}'), name -> named_struct('n', {number}, {fields})) as entities")
     base = F.lit(min_frame).cast("double") if isinstance(min_frame, int) else min_frame.cast("double")
-    data = (lines.withColumn("min_frame", base).join(header.withColumnsRenamed({"ord": "header_ord"}), "file")
+    data = (lines.withColumn("min_frame", base).join(header, "file")
             .where((F.col("ord") > F.col("header_ord")) & (F.trim("line") != ""))
             .withColumn("values", F.transform(F.split("line", ","), lambda cell: F.trim(cell))))
-    number = F.regexp_extract(F.col("name"), ENTITY, 1)
-    rows = (data.withColumn("name", F.explode("names")).withColumn("n", number).where("n <> ''"))
+    rows = data.select("file", "ord", "min_frame", "values", "time_at", F.explode("entities").alias("at"))
 
-    def value(name: Column) -> Column:
-        return F.try_element_at("values", F.array_position("names", name).cast("int"))
+    def value(position: str) -> str:
+        return f"if({position} > 0, get(values, {position} - 1), null)"
 
-    fields = {c: value(F.concat(F.lit("#"), F.col("n"), F.lit(" " + label))) for c, label in FIELDS.items()}
-    wide = rows.select("file", "n", "ord", "min_frame", value(F.lit(TIME)).cast("double").alias("time_s"),
-                       *[(v if c == "entity" else F.nullif(v, F.lit("")).cast("double")).alias(c) for c, v in fields.items()])
+    wide = rows.selectExpr("file", "at.n as n", "ord", "min_frame", f"cast({value('time_at')} as double) as time_s", f"{value('at.entity')} as entity",
+                           *[f"cast(nullif({value('at.' + c)}, '') as double) as {c}" for c in FIELDS if c != "entity"])
     named = wide.groupBy("file", "n").agg(F.min(F.struct("ord", "entity")).alias("first"))
     return (wide.drop("entity").join(named.select("file", "n", "first.entity"), ["file", "n"])
             .select("file", "entity", "time_s", (F.col("min_frame") + F.col("time_s") * float(fps)).alias("frame"),

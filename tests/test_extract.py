@@ -86,7 +86,7 @@ def test_repeated_frames_and_broken_samples(spark):
 
 
 def test_unknown_method_is_rejected(spark):
-    with pytest.raises(ValueError, match="unknown anchor method"):
+    with pytest.raises(ValueError, match="no known anchor method"):
         class_settings(spark, {"classes": {"a": {"anchor": "nearest"}}})
 
 
