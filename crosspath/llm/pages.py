@@ -162,10 +162,7 @@ def extract(html: str | None, path: str | None) -> str:
     parts = parse(html or "")
     paths = {e.path for e, _ in parts}
     if path is None or not any(p == path or p.startswith(path + "/") for p in paths):
-        own = candidates(html)
-        if not own:
-            return ""
-        path = max(own, key=lambda c: (c[1], c[0]))[0]
+        path = max(candidates(html), key=lambda c: (c[1], c[0]), default=("", 0.0))[0]     # no container: the whole page
     inside = path + "/"
     blocks, current = [], []
     for element, text in parts:
