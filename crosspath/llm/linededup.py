@@ -56,7 +56,7 @@ def deduplicated(docs: DataFrame, width: int = LINES) -> DataFrame:
     """
     gone = stored(repeated_lines(docs, width))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), row_key("doc_id", "text").alias("its_key"))
-    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("its_key") == F.col("key")), "left")
+    joined = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("its_key") == F.col("key")), "left")     # gone grows with the corpus
     text = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(
         F.expr(r"array_join(filter(split(row.text, '\n'), (x, i) -> not array_contains(lines, i)), '\n')"))
     return joined.select("row", F.when(F.col("row.text").isNull(), 0).otherwise(F.size(_lines(F.col("row.text")))).cast("bigint").alias("n_lines"),
