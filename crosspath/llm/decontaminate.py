@@ -2,7 +2,7 @@
 
 The windows of all benchmark items form a hash set. Every window of every document is
 looked up in it by its hash, hits are verified word by word, and the covered words add up
-to spans. The hash set is broadcast when its counted size is within a bound, and joined by
+to spans. The hash set is broadcast when its counted windows and bytes are within bounds, and joined by
 hash otherwise. Built-in functions only.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import row_key, stored
 
 WINDOW = 10
-BROADCAST_WINDOWS = 200_000     # about 100 MB in memory at most
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 64 << 20      # both counted before a hash set is broadcast
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -45,8 +45,9 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """
     windows = stored(benchmark_windows(items, width))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())      # 1 to width
-    n_windows = windows.count()
-    side = F.broadcast(windows) if n_windows <= BROADCAST_WINDOWS else windows
+    octets = F.octet_length(F.array_join("gram", " ")) + F.octet_length(F.array_join("item_ids", ","))
+    n_windows, n_bytes = windows.agg(F.count("*"), F.coalesce(F.sum(octets), F.lit(0))).first()
+    side = F.broadcast(windows) if n_windows <= BROADCAST_WINDOWS and n_bytes <= BROADCAST_BYTES else windows
     split = docs.select("doc_id", row_key("doc_id", "text").alias("key"), words(F.col("text")).alias("w"))
     scans = []
     for size in sizes:

@@ -89,7 +89,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]
                 take(kind, start, m.end())
         elif kind == "ip":
             if at >= done[kind] and (m := _IP.match(text, _left(text, at, _DIGITS, done[kind]))):
-                take(kind, m.start(), m.end(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")))
+                take(kind, m.start(), m.end(), all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))))
         elif kind == "card":
             if at >= done[kind] and (m := _CARD.match(text, at)):
                 digits = m[0].replace(" ", "").replace("-", "")

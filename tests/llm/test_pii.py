@@ -50,3 +50,9 @@ def test_added_kinds_and_masking():
         ("url", "ftp://joe:pw1@host.org/x"), ("iban", "DE89 3704 0044 0532 0130 00"), ("account", "ab12cd34")}
     assert pii.masked("mail a@b.org now", "email:5:12") == "mail [email] now"
     assert pii.find("plain words, 12 of them: user manual and token ring", ANCHORS) == []
+
+
+def test_long_runs_of_digits():
+    zeros = "0" * 5000
+    for text in (f"{zeros}1.2.3.4", f"{'9' * 5000}.2.3.4", f"1.2.3.{zeros}"):
+        assert [x for x in pii.find(text, ANCHORS) if x[0] == "ip"] == ([] if text[0] == "9" else [("ip", 0, len(text))])
