@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY, SAMPLE_FIELDS
-from ..staging import stage, stage_bucketed
+from ..staging import bucket_count, stage, stage_bucketed
 
 BLOCK = 16
 ROLES = ("ego", "target")
+POSITION = "{0} is not null and {1} is not null and not isnan({0}) and not isnan({1})"
 
 # A block that more than HOT interactions look at is split into salted copies.
 HOT = 10_000
@@ -38,9 +39,14 @@ def referenced_tracks(scenarios: DataFrame, roles: tuple[str, ...] = ROLES) -> D
     return scenarios.selectExpr("recording_id", f"explode(array({', '.join(roles)})) as track_id").distinct()
 
 
+def copies_of(block: str, hot: str) -> str:
+    """In how many copies a block is stored."""
+    return f"coalesce(get(filter({hot}, h -> {block} between h.from and h.to), 0).salts, 1L)"
+
+
 def salt_of(block: str, hot: str) -> str:
     """Which copy of a block an interaction reads."""
-    return f"if({block} between {hot}.from and {hot}.to, pmod(xxhash64({', '.join(KEY)}), {hot}.salts), 0L)"
+    return f"if({hot} is null, 0L, pmod(xxhash64({', '.join(KEY)}), {copies_of(block, hot)}))"
 
 
 def chunk_tracks(tracks: DataFrame, needed: DataFrame, fields: list[str] = SAMPLE_FIELDS) -> DataFrame:
@@ -56,8 +62,8 @@ def chunk_tracks(tracks: DataFrame, needed: DataFrame, fields: list[str] = SAMPL
     does so before samples are compared or shuffled for anything else.
     Samples are never shuffled by track alone, so a long track is spread over its blocks.
     """
-    n = int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = "min(sample) filter (where sample.x is not null and sample.y is not null and not isnan(sample.x) and not isnan(sample.y))"
+    n = bucket_count(tracks.sparkSession)
+    placed = f"min(sample) filter (where {POSITION.format('sample.x', 'sample.y')})"
     wanted = (tracks.where("frame is not null")
               .selectExpr("recording_id", "track_id", f"{block_of('frame')} as block", "frame", f"struct(frame, {', '.join(fields)}) as sample")
               .join(needed, ["recording_id", "track_id", "block"]))
@@ -68,6 +74,13 @@ def chunk_tracks(tracks: DataFrame, needed: DataFrame, fields: list[str] = SAMPL
         "min(sample.y) as y0", "max(sample.y) as y1", "min(sample.frame) as f0", "max(sample.frame) as f1"))), TRACK_BLOCK)
 
 
+def rejected_samples(tracks: DataFrame) -> DataFrame:
+    """(recording_id, track_id, samples, rejected): how many rows of each track lack a frame or a
+    position, so that ``chunk_tracks`` leaves them out."""
+    return tracks.groupBy("recording_id", "track_id").agg(
+        F.count("*").alias("samples"), F.expr(f"count_if(not (frame is not null and {POSITION.format('x', 'y')}))").alias("rejected"))
+
+
 def track_extents(tracks: DataFrame) -> DataFrame:
     """First and last frame of every track."""
     return tracks.groupBy("recording_id", "track_id").agg(
@@ -77,17 +90,24 @@ def track_extents(tracks: DataFrame) -> DataFrame:
 def needed_blocks(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Which blocks the windows touch, and how crowded ones are split.
 
-    hot:    (recording_id, track_id, hot: struct<from, to, salts>), only for tracks with a
-            block that more than HOT windows touch: the range of such blocks, and into how
-            many copies each block of the range is split.
+    hot:    (recording_id, track_id, hot: array<struct<from, to, salts>>), only for tracks with
+            blocks that more than HOT windows touch: runs of such blocks that are split into
+            equally many copies.
     needed: (recording_id, track_id, block, salts), every touched block.
     """
     track = ["recording_id", "track_id"]
     touched = stage(_block_numbers(windows).groupBy(*track, "block").count())
-    hot = stage(touched.where(f"count > {HOT}").groupBy(*track).agg(F.expr(
-        f"struct(min(block) as from, max(block) as to, cast(ceil(max(count) / {HOT}) as bigint) as salts) as hot")))
-    salts = "if(block between hot.from and hot.to, hot.salts, 1L) as salts"
-    return hot, touched.join(hot, track, "left").selectExpr(*track, "block", salts)
+    crowded = touched.where(f"count > {HOT}").groupBy(*track).agg(F.expr(
+        f"sort_array(collect_list(struct(block, cast(ceil(count / {HOT}) as bigint) as salts))) as crowded"))
+    hot = stage(crowded.selectExpr(*track, f"{_RUNS} as hot"))
+    return hot, touched.join(hot, track, "left").selectExpr(*track, "block", f"{copies_of('block', 'hot')} as salts")
+
+
+# Crowded blocks in order -> runs of neighbours with equally many copies.
+_RUNS = """aggregate(crowded, cast(array() as array<struct<from: bigint, to: bigint, salts: bigint>>), (runs, b) ->
+    if(size(runs) > 0 and try_element_at(runs, -1).to = b.block - 1 and try_element_at(runs, -1).salts = b.salts,
+       concat(slice(runs, 1, size(runs) - 1), array(named_struct('from', try_element_at(runs, -1).from, 'to', b.block, 'salts', b.salts))),
+       concat(runs, array(named_struct('from', b.block, 'to', b.block, 'salts', b.salts)))))"""
 
 
 # The samples of a block row with lo <= frame <= hi; only blocks at a window's edge are filtered.

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import PARAMETERS
-from ..staging import stage
+from ..staging import small, stage
 
 TILE = 1024
 RUN = 16                 # tiles one task evaluates against its own tile
@@ -71,16 +71,16 @@ def standardize(params: DataFrame, moments: DataFrame, cols: list[str] = PARAMET
     """Add z1..zp, the parameters in units of their class's standard deviation."""
     z = [((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd")).alias(f"z{j}") for j, c in enumerate(cols, start=1)]
     params = complete(params, cols)
-    return params.join(moments, "class").select(*[params[c] for c in params.columns], *z)
+    return params.join(small(moments), "class").select(*[params[c] for c in params.columns], *z)
 
 
 def _tiles(z: DataFrame, dims: int) -> DataFrame:
     """(class, n_tiles, tile, points): distinct vectors with their multiplicity w, hashed into tiles."""
     zs = [f"z{j}" for j in range(1, dims + 1)]
-    distinct = z.groupBy("class", *zs).agg(F.count("*").cast("double").alias("w"))
+    distinct = stage(z.groupBy("class", *zs).agg(F.count("*").cast("double").alias("w")))
     sizes = distinct.groupBy("class").agg(F.ceil(F.count("*") / TILE).alias("n_tiles"))
     tile = F.pmod(F.xxhash64(*zs), F.col("n_tiles"))
-    return (distinct.join(sizes, "class").groupBy("class", "n_tiles", tile.alias("tile"))
+    return (distinct.join(small(stage(sizes)), "class").groupBy("class", "n_tiles", tile.alias("tile"))
             .agg(F.collect_list(F.array(*zs, "w")).alias("points")))
 
 
@@ -117,7 +117,7 @@ def _kernel_sums(tiles: DataFrame, grid: DataFrame) -> DataFrame:
     """
     home = f"transform(sequence(0L, floor((n_tiles - 1) / {RUN})), r -> struct(tile as tile, r as run, true as home))"
     away = f"transform(sequence(0L, n_tiles - 1), t -> struct(t as tile, floor(tile / {RUN}) as run, false as home))"
-    groups = tiles.join(grid, "class").selectExpr(
+    groups = tiles.join(small(grid), "class").selectExpr(
         "class", "n", "hs", "points", "tile as source", f"inline(concat({home}, {away}))")
     parts = groups.groupBy("class", "tile", "run").applyInPandas(_tile_sums, _SUMS)
     return parts.groupBy("class", "tile", "at", "n", "k", "h", "w").agg(F.sum("part").alias("total"))

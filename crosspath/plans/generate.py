@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.blocks import attach
@@ -11,15 +11,24 @@ from ..operators.theta import theta_to_cps
 from ..schema import CONTROL_POINT_WEIGHT, FPS, KEY, RUN_MARGIN_S
 
 ROLES_IN_RUN = ["q_in", "q_c", "q_out"]
+ORDINALS = 65536        # in a bucket that is ordered by itself
 
 
 def variants(params: DataFrame, limit: int | None = None) -> DataFrame:
-    """Rows with status ok, the first ``limit`` of them in input order (None or 0: all)."""
+    """Rows with status ok, the first ``limit`` of them in input order (None or 0: all).
+
+    Buckets of ordinals are counted first, and only those below the limit are put in order, each by itself.
+    """
     ok = params.where("status = 'ok'")
     if not limit:
         return ok
     order = [c for c in ("input_ordinal", "recording_id", "scenario_id", "sample_id") if c in params.columns]
-    return ok.orderBy(*order).limit(limit)
+    rows = ok.withColumn("bucket", F.floor(F.col("input_ordinal") / ORDINALS))
+    before = F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))     # one row per bucket
+    counts = rows.groupBy("bucket").count().select(F.col("bucket").alias("its_bucket"), F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
+    return (rows.join(counts.where(F.col("before") < limit), F.col("bucket").eqNullSafe(F.col("its_bucket")))
+            .withColumn("place", F.col("before") + place).where(F.col("place") <= limit).drop("bucket", "its_bucket", "before", "place"))
 
 
 def variant_name(params: DataFrame) -> Column:

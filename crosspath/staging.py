@@ -13,6 +13,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 10_000
+_tables: list[str] = []     # bucketed tables that are still in the catalog
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -41,7 +45,26 @@ def stage_bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
     """
     spark = df.sparkSession
     name = f"crosspath_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.write.format("parquet").bucketBy(buckets, *keys)
+    (df.write.format("parquet").bucketBy(bucket_count(spark), *keys)
      .option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name))
+    _tables.append(name)
     return spark.table(name)
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of a stored table: ``spark.crosspath.buckets``, else as many as shuffle partitions.
+
+    A bucket is one scan task, so set it to the size of the tracks in use over that of a task.
+    """
+    return int(spark.conf.get("spark.crosspath.buckets", None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Take the bucketed tables of this process out of the catalog, once no result needs them any more."""
+    while _tables:
+        spark.sql(f"drop table if exists {_tables.pop()}")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (short rows of bounded width) marked for broadcast if it is counted to have at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
