@@ -8,13 +8,14 @@ run through. Built-in functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored
 
 TURNS = 64                  # turn numbers in a part
+PARTS = 1024                # part numbers in a run
 SYSTEM = ["system"]         # roles that are not participants and keep their role
 UNNAMED = "unknown"         # name of a speaker whose role is null
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -50,15 +51,32 @@ def perspectives(turns: DataFrame, width: int = TURNS, system: list[str] = SYSTE
             array(named_struct('start', a.at + char_length(s.head), 'end', a.at + char_length(s.head) + char_length(s.body)))), a.masks))).masks, m -> true)""")
     made = shown.select("conv_id", "participant", "part", F.size("shown").cast("bigint").alias("n_turns"), text.alias("text"), ranges.alias("ranges"))
     made = stored(made.withColumn("chars", F.char_length("text").cast("bigint")))
-    before = W.partitionBy("conv_id", "participant").orderBy(F.col("part").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    sizes = made.select("conv_id", "participant", "part", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("char_start"))
-    places = stored(sizes).select(*[F.col(c).alias(f"its_{c}") for c in ("conv_id", "participant", "part")], "char_start")
+    places = stored(_starts(made)).select(*[F.col(c).alias(f"its_{c}") for c in ("conv_id", "participant", "part")], "char_start")
     same = [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in ("conv_id", "participant", "part")]
     return made.join(places, same[0] & same[1] & same[2]).select(
         "conv_id", "participant", "part", "n_turns", "text", "char_start", (F.col("char_start") + F.col("chars")).alias("char_end"),
         F.expr("transform(ranges, r -> named_struct('start', r.start + char_start, 'end', r.end + char_start))").alias("masks"))
 
 
+def _starts(made: DataFrame) -> DataFrame:
+    """(conv_id, participant, part, char_start): characters of the rendering before each part.
+
+    Runs of PARTS parts are summed and added up first, then the parts inside each run, so the
+    parts of a very long conversation are never ordered in one task.
+    """
+    rows = made.select("conv_id", "participant", "part", "chars", F.floor(F.col("part") / PARTS).alias("run"))
+
+    def before(size: str, order: str, *keys: str) -> Column:
+        window = W.partitionBy("conv_id", "participant", *keys).orderBy(F.col(order).asc_nulls_last())
+        return F.coalesce(F.sum(size).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    runs = rows.groupBy("conv_id", "participant", "run").agg(F.sum("chars").alias("chars"))
+    runs = runs.select(*[F.col(c).alias(f"of_{c}") for c in ("conv_id", "participant", "run")], before("chars", "run").alias("run_start"))
+    inside = rows.select("conv_id", "participant", "part", "run", before("chars", "part", "run").alias("inside"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in ("conv_id", "participant", "run")]
+    return inside.join(runs, same[0] & same[1] & same[2]).select("conv_id", "participant", "part", (F.col("run_start") + F.col("inside")).alias("char_start"))
+
+
 def sql(conversations: str = "conversations") -> str:
     """The same as DuckDB SQL, masks written as text."""
     return f"""with said as (select conv_id, turn, floor(turn / {TURNS})::bigint part, coalesce(role, '{UNNAMED}') speaker, coalesce(text, '') words from {conversations}),

@@ -165,3 +165,14 @@ def test_perspectives(spark):
     assert text.startswith("<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nhi") and "<|im_start|>user name=bob\n<|im_end|>" in text
     assert text.endswith("<|im_start|>user name=unknown\n?<|im_end|>\n")
     assert chat.perspectives(table.limit(0)).count() == 0
+
+
+def test_offsets_of_a_long_conversation_over_several_runs(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PARTS", 3)
+    rows = [("long", t, "ab"[t % 2], f"turn {t}") for t in range(40)] + [("long", None, "a", "late"), (None, 1, "b", "x")]
+    got = chat.perspectives(spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string"), width=4).collect()
+    for conv, person in {(r.conv_id, r.participant) for r in got}:
+        at = 0
+        for r in sorted((r for r in got if (r.conv_id, r.participant) == (conv, person)), key=lambda r: (r.part is None, r.part or 0)):
+            assert (r.char_start, r.char_end) == (at, at + len(r.text))
+            at = r.char_end
