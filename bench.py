@@ -24,7 +24,7 @@ QUERIES = {
     "prepare": [], "simultaneous_distance": ["prepared"], "closest_pair": ["prepared"], "pet": ["prepared"],
     "find_anchor": ["prepared"], "circle_crossing": ["prepared"], "arc_resample": ["prepared"],
     "extract_params": [], "kde_loo_grid": ["params"], "kde_bandwidth": ["params"], "sample_table": ["params", "model"],
-    "control_points": ["params"], "ego_replay": [],
+    "sample_params": ["params"], "control_points": ["params"], "ego_replay": [], "run_log_files": ["run_files"],
 }
 
 

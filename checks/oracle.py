@@ -224,6 +224,13 @@ def _normal(j: int) -> str:
 CTES |= {
     "band": """select class, n, round(exp(case when k0 < kb and kb < k2 and la - 2 * lb + lc < 0
           then hb + (hc - ha) / 2 * (la - lc) / (2 * (la - 2 * lb + lc)) else hb end), 5) as h from c3""",
+    # An own search: four dense grids of 201 points, each around the best point of the one before.
+    "dense0": "select class, n, ln(h0) as best, 3e0 as reach from (select class, n, sigma * power(4e0 / (5 * n), 1e0 / 7) as h0 from fit) f",
+    **{f"dense{r}": f"""select class, n, max_by(lh, ll) as best, max(reach) / 50 as reach from (
+        select class, n, lh, reach, sum(ln(greatest(s / ((n - 1) * power(2 * pi(), 1.5) * exp(3 * lh)), 1e-300))) as ll
+        from (select p.class, p.n, g.lh, g.reach, p.kernel, sum(exp(-p.d2 / (2 * exp(2 * g.lh)))) as s from pair p
+              join (select class, best + reach * k / 100e0 as lh, reach from dense{r - 1}, (select unnest(range(-100, 101)) as k) i) g using (class)
+              group by all) q group by all) l group by class, n""" for r in (1, 2, 3, 4)},
     "draws": f"""select class, h, n, draw, {', '.join(f'm{j}, sd{j}' for j in (1, 2, 3))},
         cast(floor({_hash('0')} * n) as bigint) as kernel,
         {', '.join(f'{_normal(j)} as e{j}' for j in (1, 2, 3))}
@@ -340,7 +347,7 @@ FINAL: dict[str, str] = {
         from z join (select p.class, p.kernel, b.h, sum(exp(-p.d2 / (2 * b.h * b.h))) as s from pair p join band b using (class)
                      group by all) q using (class, kernel)""",
     "kde_loo_grid": f"select class, k, {_r('h', 'll')} from l0",
-    "kde_bandwidth": f"select class, n, {_r('h')} from band",
+    "kde_bandwidth": "select class, n, round(exp(best), 5) as h from dense4",
     "kernel_index": f"select {K}, class, row_number() over (partition by class order by input_ordinal) - 1 as kernel from ok",
     "kde_sample": "select class, draw, kernel, " + ", ".join(
         f"round(new{j}, 6) + 0e0 as {c}" for j, c in enumerate(PARAMS, 1)) + " from drawn",
@@ -361,4 +368,15 @@ FINAL: dict[str, str] = {
         where exists (select 1 from win o where (o.recording_id, o.scenario_id, o.frame) = (w.recording_id, w.scenario_id, w.frame) and o.role <> w.role)""",
 }
 
+FINAL |= {
+    "track_parquet_files": FINAL["track_normalize"],
+    "track_csv_files": FINAL["track_normalize"],
+    "scenario_csv_files": f"""select {K}, class, ego, target, min_frame, max_frame, anchor_frame, base_xosc,
+        row_number() over (partition by recording_id order by input_ordinal) as place from scn""",
+    "params_parquet_files": FINAL["extract_params"],
+    "samples_csv_files": FINAL["sample_table"],
+    "sample_params": f"select sample_id, {K}, class, {_r(*[f'center_{c}' for c in PARAMS], 'kde_bandwidth')} from samples",
+    "run_log_files": FINAL["run_log"].replace("concat_ws('/'", "concat_ws('-'"),
+}
+
 SQL: dict[str, str] = {name: _with(final) for name, final in FINAL.items()}

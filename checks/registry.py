@@ -8,17 +8,20 @@ as the steps of the pipeline do.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from crosspath.functions.geometry import signed_angle
 from crosspath.operators import anchors, blocks, circle, closest, kde, lookup, pairs, pet, sampling, simultaneous, theta
 from crosspath.operators.blocks import role_view
 from crosspath.plans import extract, generate, sample
 from crosspath.schema import KEY, PARAMETERS
-from crosspath.sources import runlog, scenarios as scenario_source, tracks as track_source
-from crosspath.staging import stage
+from crosspath.sources import runlog, scenarios as scenario_source, tables, tracks as track_source
+from crosspath.staging import checkpoint_folder, stage
 
 from . import fixture
 
@@ -395,3 +398,71 @@ def run_lines(s: SparkSession, d: str) -> DataFrame:
 def q_run_log(s, d):
     tidy = runlog.tidy_run_log(run_lines(s, d), 100, fixture.FPS)
     return tidy.select("file", "entity", "time_s", "frame", "x", "y", "heading_deg", "speed_mps")
+
+
+# ---------------------------------------------------------------- files: whole relations written and read back
+
+def _folder(s: SparkSession) -> str:
+    return f"{checkpoint_folder(s)}/files-{uuid.uuid4().hex}"
+
+
+@query
+def q_track_parquet_files(s, d):
+    path = _folder(s)
+    raw_tracks(s, d).write.parquet(path)
+    return track_source.read_tracks(s, path)
+
+
+@query
+def q_track_csv_files(s, d):
+    path = _folder(s)
+    raw_tracks(s, d).write.csv(path, header=True)
+    return track_source.read_tracks(s, path, "csv")
+
+
+@query
+def q_scenario_csv_files(s, d):
+    """The list in input order without its ordinals, which the file order has to give back."""
+    path = _folder(s)
+    scenarios(s, d).orderBy("input_ordinal").drop("input_ordinal").write.csv(path, header=True)
+    place = F.row_number().over(Window.partitionBy("recording_id").orderBy("input_ordinal"))
+    return scenario_source.read_scenarios(s, path).withColumn("place", place).drop("input_ordinal")
+
+
+@query
+def q_params_parquet_files(s, d):
+    path = _folder(s)
+    tables.write_table(params(s, d), path)
+    return tables.read_table(s, path).drop("input_ordinal")
+
+
+@query
+def q_samples_csv_files(s, d):
+    path, rows = _folder(s), _samples(s, d)
+    tables.write_table(rows, path, "csv")
+    return tables.read_table(s, path, "csv", rows.schema).select(
+        "sample_id", *ID, "class", *PARAMETERS, *[f"center_{c}" for c in PARAMETERS], "kde_bandwidth")
+
+
+@query
+def q_sample_params(s, d):
+    """Step 2 as a whole: all fitted classes in one table. The draws themselves hang on the last digits of h."""
+    return sample.sample_params(params(s, d), DRAWS, SEED).select(
+        "sample_id", *ID, "class", *[f"center_{c}" for c in PARAMETERS], F.round("kde_bandwidth", 5).alias("kde_bandwidth"))
+
+
+def run_files(s: SparkSession, d: str) -> str:
+    """Folder with one log per run."""
+    def write() -> str:
+        path = _folder(s)
+        lines = run_lines(s, d).withColumn("run", F.translate("file", "/", "-"))
+        (lines.repartition("run").sortWithinPartitions("run", "ord").select("run", "line").write.partitionBy("run").text(path))
+        return path
+
+    return _once("run_files", s, d, write)
+
+
+@query
+def q_run_log_files(s, d):
+    tidy = runlog.tidy_run_log(runlog.read_run_lines(s, run_files(s, d)), 100, fixture.FPS)
+    return tidy.withColumn("file", F.regexp_extract("file", "run=([^/]+)/", 1))
