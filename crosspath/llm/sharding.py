@@ -19,6 +19,7 @@ from .common import row_key, stored
 SLOTS = 4096
 SHARDS = 24
 _PARTS = 64             # of a slot, for row numbers
+_PIECE = 1 << 16        # places of a mass of repeated rows that are listed at once
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -118,6 +119,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, current:
     parts = stored(parts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows"))
     inside = W.partitionBy(*cut).orderBy("key", "doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
     placed = recs.join(parts, cut).withColumn("first", F.col("before") + F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-                         F.explode(F.sequence("first", F.col("first") + F.col("copies") - 1)).alias("slot"),
+    # A record's copies take consecutive places, listed piece by piece: no array grows with their number.
+    pieces = placed.withColumn("piece", F.explode(F.expr(f"sequence(0L, (copies - 1) div {_PIECE})")))
+    places = F.expr(f"sequence(first + piece * {_PIECE}, first + least(copies, (piece + 1) * {_PIECE}) - 1)")
+    return pieces.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.explode(places).alias("slot"),
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))

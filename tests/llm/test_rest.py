@@ -50,6 +50,12 @@ def test_shards_hold_all_rows_and_near_equal_bytes(spark):
     assert sharding.sharded(documents(spark, [])).count() == 0
 
 
+def test_a_mass_of_repeated_rows_is_listed_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "_PIECE", 3)
+    rows = [(1, "same")] * 10 + [(2, "same")] * 3 + [(3, None)] * 4 + [(4, "one")]
+    check_shards(sharding.sharded(documents(spark, rows), shards=2).collect(), rows, 2)
+
+
 def test_the_map_is_edited_slot_by_slot(spark, tmp_path):
     rng = random.Random(2)
     sizes = {s: rng.randrange(100, 1000) for s in range(sharding.SLOTS)}
