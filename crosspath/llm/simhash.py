@@ -225,7 +225,11 @@ def drop_near_duplicates(docs: DataFrame, bits: int = BITS, width: int = SHINGLE
     All columns are kept. Of several texts with this doc_id the one with the smallest hash
     stays, of repeated rows any one. A doc_id that is null comes after all others.
     """
-    rows = stored(_grouped(docs, bits, width).select("doc_id", "key", "grp"))
+    return keep_first(docs, stored(_grouped(docs, bits, width).select("doc_id", "key", "grp")))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The row of the smallest doc_id of each group; ``rows`` (doc_id, key, grp) name the group of every row of ``docs``."""
     keep = stored(rows.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("kept")))
     losers = stored(rows.join(keep, "grp").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key"))))
                     .select("doc_id", "key").distinct())
