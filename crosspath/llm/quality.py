@@ -26,9 +26,11 @@ REPEAT_WINDOW = 8
 MIN_GROUP = 50          # smaller groups share one estimate per language, then one in all
 SHARE = 0.75            # of the rows of a group that an estimate is made of
 STEPS = 5
-TAIL = 1e-9             # chi-square tail beyond which a document is an outlier
-# Smallest standard deviations of the vector's parts; differences below are no sign of anything.
-FLOORS = {"word_length": 0.1, "symbols": 0.04, "dup_lines": 0.12, "repeats": 0.12, "capitals": 0.08}
+TAIL = 1e-3             # chi-square tail beyond which a document is an outlier
+# Smallest standard deviations of the vector's parts. Those that are 0 in most documents have no scatter to estimate,
+# so one symbol or line would be an outlier; the others only need a regular matrix, by their deviation in all rows.
+FLOORS = {"word_length": 0.0, "symbols": 0.04, "dup_lines": 0.03, "repeats": 0.12, "capitals": 0.0}
+RELATIVE, LEAST = 0.01, 1e-6
 _BINS = 8               # distance bins per factor e
 _SPACE = b" \t\n\v\f\r"
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
@@ -190,7 +192,7 @@ def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS, min_group: in
     ``min_group`` of them joins the rest of its language, a rest below it the rest of all; a
     rest of all below it has no estimate.
     """
-    names, floors = list(FLOORS), list(FLOORS.values())
+    names = list(FLOORS)
     fine = rows.where("not base_failed").select("lang", "source", *[c.alias(n) for n, c in vector().items()])
     sizes = stored(fine.groupBy("lang", "source").count())
     by_lang = sizes.where(F.col("count") < min_group).groupBy("lang").agg(F.sum("count").alias("rest"))
@@ -202,6 +204,8 @@ def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS, min_group: in
     enough = groups.groupBy("grp").agg(F.sum("count").alias("n")).where(F.col("n") >= min_group).select("grp")
     groups = stored(groups.join(enough, "grp").select("its_lang", "its_source", "grp"))
     known = stored(fine.join(groups, _its_group()).select("grp", *names))
+    spreads = known.agg(*[F.stddev_pop(n) for n in names]).first()
+    floors = [max(f, RELATIVE * (s or 0.0), LEAST) for f, s in zip(FLOORS.values(), spreads)]
     return stored(groups.join(robust_scatter(known, names, floors, share, steps), "grp"))
 
 
