@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exactdedup, langid, linededup, mixing, pages, pii, quality, sharding, simhash
+from . import chat, decontaminate, exactdedup, langid, linededup, mixing, pages, pii, prefixtrie, quality, sharding, simhash
 from .common import read
 
 
@@ -58,12 +58,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_chat, op3_decontamination, op4_pii, op5_quality, op6_line_dedup, op7_sharding, op8_mixing, op9_main_text, op10_simhash,
-    op13_exact_dedup)}
+    op12_prefix_trie, op13_exact_dedup)}
 SQL = {"op2_chat": chat.sql(), "op6_line_dedup": linededup.sql(), "op8_mixing": mixing.sql(),
-       "op13_exact_dedup": exactdedup.SQL}
+       "op12_prefix_trie": prefixtrie.sql(), "op13_exact_dedup": exactdedup.SQL}
