@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exactdedup, langid, linededup, mixing, pages, pii, prefixtrie, quality, sharding, simhash
+from . import chat, decontaminate, exactdedup, hardnegatives, langid, linededup, mixing, pages, pii, prefixtrie, quality, sharding, simhash
 from .common import read
 
 
@@ -58,6 +58,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardnegatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.trie(read(spark, sf_dir, "conversations"))
 
@@ -68,6 +72,6 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_chat, op3_decontamination, op4_pii, op5_quality, op6_line_dedup, op7_sharding, op8_mixing, op9_main_text, op10_simhash,
-    op12_prefix_trie, op13_exact_dedup)}
+    op11_hard_negatives, op12_prefix_trie, op13_exact_dedup)}
 SQL = {"op2_chat": chat.sql(), "op6_line_dedup": linededup.sql(), "op8_mixing": mixing.sql(),
-       "op12_prefix_trie": prefixtrie.sql(), "op13_exact_dedup": exactdedup.SQL}
+       "op11_hard_negatives": hardnegatives.SQL, "op12_prefix_trie": prefixtrie.sql(), "op13_exact_dedup": exactdedup.SQL}
