@@ -26,7 +26,7 @@ def _leaving(circle: DataFrame, chunks: DataFrame) -> DataFrame:
     struct<out, inner>. ``inner`` is the sample before it on the walk, if in the same block."""
     outside = f"filter(points, s -> {distance('s.x', 's.y', 'at.x', 'at.y')} >= radius)"
     keep = [c for c in circle.columns if c not in KEY]
-    windows = circle.selectExpr("*", "target as track_id", "target_lo as lo", "target_hi as hi", "target_hot as hot")
+    windows = circle.selectExpr("*", "target as track_id", "target_lo as lo", "target_hi as hi", "target_cover as cover")
     rows = (attach(windows, chunks).selectExpr(*KEY, *keep, f"{_points('samples')} as points")
             .selectExpr("*", f"{outside} as outside")
             .selectExpr("*", "array_max(filter(outside, s -> s.frame < at.frame)) as b",
@@ -40,9 +40,9 @@ def _leaving(circle: DataFrame, chunks: DataFrame) -> DataFrame:
 def _inner_elsewhere(walked: DataFrame, chunks: DataFrame) -> DataFrame:
     """The sample before ``out`` on the walk where a block border (or gap) lies between the two."""
     windows = walked.selectExpr(*KEY, """inline(array(
-        struct('back' as side, target as track_id, target_hot as hot, back.out.frame + 1 as lo, at.frame as hi,
+        struct('back' as side, target as track_id, target_cover as cover, back.out.frame + 1 as lo, at.frame as hi,
                back.out is not null and back.inner is null as open),
-        struct('fwd' as side, target as track_id, target_hot as hot, at.frame as lo, fwd.out.frame - 1 as hi,
+        struct('fwd' as side, target as track_id, target_cover as cover, at.frame as lo, fwd.out.frame - 1 as hi,
                fwd.out is not null and fwd.inner is null as open)))""").where("open")
     rows = attach(windows, chunks).selectExpr(*KEY, "side", f"{_points('samples')} as points")
     return rows.groupBy(*KEY).agg(F.expr("min(array_min(points)) filter (where side = 'back') as back_inner"),
@@ -52,7 +52,7 @@ def _inner_elsewhere(walked: DataFrame, chunks: DataFrame) -> DataFrame:
 def circle_crossings(anchored: DataFrame, chunks: DataFrame) -> DataFrame:
     """Locate the anchor sample and both crossings.
 
-    anchored: (KEY, target, target_lo, target_hi, target_hot, anchor_frame, radius, ...), other columns
+    anchored: (KEY, target, target_lo, target_hi, target_cover, anchor_frame, radius, ...), other columns
     are kept. Adds at (the anchor sample or NULL) and q_in, q_out: struct<x, y, frame>.
     """
     located = sample_at(anchored, chunks, "anchor_frame", "at")

@@ -1,15 +1,15 @@
 """Any-time closest pair of ego and target samples, exact and without pairing all samples.
 
-Each window is a three-level hierarchy: samples, blocks of BLOCK frames, and
-super-blocks of about sqrt(#blocks) blocks. A node keeps a bounding box and one real
-sample. Node pairs give a lower bound (box gap) and an upper bound (distance of the
-two samples, so a distance that really occurs); pairs whose lower bound exceeds the
-best upper bound of their interaction cannot hold the minimum and are dropped before
-the next level opens them. Nothing is dropped that could tie for the minimum, except ties that come later in the
-tie order.
-
-For windows of n samples the super level has about n / BLOCK node pairs, so the work
-grows with the window length rather than with its square.
+Each track is a tree: samples, blocks of BLOCK frames, and nodes of 2^FANOUT_BITS nodes of the level
+below. A node keeps a bounding box and its first sample. Node pairs give a lower bound (box gap) and an
+upper bound (distance of the two first samples in the window, so a distance that really occurs). The search
+goes down in rounds, one level each: the bound of an interaction is the minimum over its node pairs,
+combined before the shuffle and joined back; pairs whose lower bound exceeds it
+cannot hold the minimum and are dropped before their children are opened. Nothing is dropped that could tie for the
+minimum, except ties that come later in the tie order.
+
+The search starts where no window has more than a few nodes, so the number of rounds is the logarithm of the
+longest window, and the work of a round is the node pairs that are still close enough.
 """
 
 from __future__ import annotations
@@ -19,24 +19,64 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box_gap_sq, distance_sq, point_gap_sq
 from ..schema import KEY
+from ..staging import stage
 from . import blocks as B
 from .pairs import Prepared
 
 # Rounding slack on the lower bound, so that a tie in the last bit is never pruned.
 SLACK = 1e-9
 
-_KEYS = ", ".join(KEY)
-ENDS = [f"{r}{c}" for r in B.ROLES for c in ("", "_lo", "_hi", "_hot")]
+TOP = 4             # the search starts at the level where a window spans at most 2^TOP nodes
 
-# A block row as a node: the box of the whole block (never too small) and its first sample
-# inside the window (NULL if there is none).
-_NODE = """struct(x0, x1, y0, y1, case when f0 >= lo and f0 <= hi then get(samples, 0)
-    else get(filter(samples, s -> s.frame >= lo and s.frame <= hi), 0) end as p)"""
+ENDS = [f"{r}{c}" for r in B.ROLES for c in ("", "_lo", "_hi", "_cover", "_first")]
 
 # Both vehicles stand still in these nodes: every sample pair has exactly the same distance.
 _STILL = "e.x0 = e.x1 and e.y0 = e.y1 and t.x0 = t.x1 and t.y0 = t.y1"
 
 
+def _node(role: str) -> str:
+    """A node row as struct: its box (never too small) and its first sample inside the window, which is that of
+    the window where the node begins before it."""
+    return f"""struct(x0, x1, y0, y1, if(f0 >= {role}_lo, struct(f0 as frame, px as x, py as y),
+        struct({role}_first.frame as frame, {role}_first.x as x, {role}_first.y as y)) as p)"""
+
+
+def _nodes(chunks: DataFrame, level: int) -> DataFrame:
+    """(recording_id, track_id, node, x0, x1, y0, y1, f0, px, py): the nodes of a level above the blocks."""
+    box = [f"{agg}({c}) as {c}" for agg, c in (("min", "x0"), ("max", "x1"), ("min", "y0"), ("max", "y1"))]
+    rows = chunks.where("salt = 0").groupBy(*B.TRACK, F.expr(f"shiftright(block, {level * B.FANOUT_BITS})").alias("node")).agg(
+        *map(F.expr, (*box, "min(struct(f0, px, py)) as p")))
+    return rows.selectExpr(*B.TRACK, "node", "x0", "x1", "y0", "y1", "p.*")
+
+
+def _in_node(role: str, level: int, parent: str | None = None) -> str:
+    """Array of a window's nodes of a level: those that hold blocks of the window, under node ``parent`` of the level above."""
+    low, high = (B.block_of(f"{role}_{end}") for end in ("lo", "hi"))
+    if parent:
+        bits = (level + 1) * B.FANOUT_BITS
+        low, high = f"greatest({low}, shiftleft({parent}, {bits}))", f"least({high}, shiftleft({parent} + 1L, {bits}) - 1L)"
+    bits = level * B.FANOUT_BITS
+    spans = f"filter({role}_cover.runs, r -> r.to >= {low} and r.from <= {high})"
+    return f"""array_distinct(flatten(transform({spans}, r -> sequence(
+        shiftright(greatest(r.from, {low}), {bits}), shiftright(least(r.to, {high}), {bits})))))"""
+
+
+def _with_block(rows: DataFrame, prep: Prepared, role: str, block: str, *out: str) -> DataFrame:
+    """Join one role's track block and select ``out``, where lo..hi is that role's window."""
+    chunks = prep.chunks.withColumnsRenamed({"track_id": role, "block": block})
+    salted = rows.selectExpr("*", f"{B.salt_of(block, f'{role}_cover')} as salt")
+    return (salted.join(chunks, ["recording_id", role, block, "salt"])
+            .selectExpr("*", f"{role}_lo as lo", f"{role}_hi as hi").selectExpr(*out))
+
+
+def _with_node(rows: DataFrame, prep: Prepared, role: str, name: str, level: int, *out: str) -> DataFrame:
+    """Join the node of a level that column ``name`` says and select ``out``."""
+    if level == 0:
+        return _with_block(rows, prep, role, name, *out)
+    nodes = _nodes(prep.chunks, level).withColumnsRenamed({"track_id": role, "node": name})
+    return rows.join(nodes, ["recording_id", role, name]).selectExpr(*out)
+
+
 def _prune(pairs: DataFrame, keep: list[str], by_target: str) -> DataFrame:
     """Keep the node pairs (e, t) that can hold their interaction's minimum; adds ``bound``,
     which no closest pair exceeds.
@@ -46,48 +86,38 @@ def _prune(pairs: DataFrame, keep: list[str], by_target: str) -> DataFrame:
     """
     seen = distance_sq("e.p.x", "e.p.y", "t.p.x", "t.p.y")
     first = f"struct({seen} as seen, if({by_target}, t.p.frame, e.p.frame) as f1, if({by_target}, e.p.frame, t.p.frame) as f2)"
-    over = f"over (partition by {_KEYS})"
-    return (pairs.selectExpr(*keep, f"{box_gap_sq('e', 't')} as gap", f"{first} as first", f"{_STILL} as still")
-            .selectExpr(*keep, "gap", "first", "still", f"min(first.seen) {over} * {1 + SLACK}D + {SLACK * SLACK}D as bound",
-                        f"min(if(still and first.seen is not null, first, null)) {over} as still_first")
-            .where("gap <= bound and (not still or first = still_first)").select(*keep, "bound"))
-
-
-def _super_nodes(prep: Prepared, role: str, short: str, carry: list[str]) -> DataFrame:
-    """Super-blocks of one role: (KEY, carry, <short>_from, <short>_to, node struct <short>)."""
-    windows = B.role_view(prep.pairs, role, *carry).selectExpr(
-        "*", f"{B.block_of('lo')} as b0", f"{B.block_of('hi')} as b1").selectExpr(
-        "*", "cast(ceil(sqrt(b1 - b0 + 1)) as bigint) as span")
-    rows = (B.in_blocks(windows, prep.chunks)
-            .selectExpr(*KEY, *carry, "b0 + (block - b0) div span * span as from", "span", "b1", f"{_NODE} as n")
-            .where("n.p is not null").selectExpr("*", "least(from + span - 1, b1) as to"))
-    node = ", ".join(f"{agg}(n.{c}) as {c}" for agg, c in (("min", "x0"), ("max", "x1"), ("min", "y0"), ("max", "y1")))
-    return rows.groupBy(*KEY, *carry, F.col("from").alias(f"{short}_from"), F.col("to").alias(f"{short}_to")).agg(
-        F.expr(f"struct({node}, min(struct(n.p.frame, n.p.x, n.p.y)) as p) as {short}"))
-
-
-def _with_block(rows: DataFrame, prep: Prepared, role: str, block: str, *out: str) -> DataFrame:
-    """Join one role's track block and select ``out``, where lo..hi is that role's window."""
-    chunks = prep.chunks.withColumnsRenamed({"track_id": role, "block": block})
-    salted = rows.selectExpr("*", f"{B.salt_of(block, f'{role}_hot')} as salt")
-    return (salted.join(chunks, ["recording_id", role, block, "salt"])
-            .selectExpr("*", f"{role}_lo as lo", f"{role}_hi as hi").selectExpr(*out))
+    rows = stage(pairs.selectExpr(*keep, f"{box_gap_sq('e', 't')} as gap", f"{first} as first", f"{_STILL} as still"))
+    least = rows.groupBy(*KEY).agg(F.expr(f"min(first.seen) * {1 + SLACK}D + {SLACK * SLACK}D as bound"),
+                                   F.expr("min(first) filter (where still) as still_first"))
+    return rows.join(least, KEY).where("gap <= bound and (not still or first = still_first)").select(*keep, "bound")
 
 
 def candidate_blocks(prep: Prepared, carry: list[str] = (), by_target: str = "false") -> DataFrame:
     """Block pairs that can hold the closest sample pair: (KEY, window columns, carry, e_block,
     t_block, e, t, bound), where e and t are the blocks' nodes."""
     ends = list(dict.fromkeys([*ENDS, *carry]))
-    sup = _super_nodes(prep, "ego", "e", ends).join(_super_nodes(prep, "target", "t", []), KEY)
-    rows = (_prune(sup, [*KEY, *ends, "e_from", "e_to", "t_from", "t_to", "t"], by_target).withColumnRenamed("t", "t_super")
-            .selectExpr("*", "explode(sequence(e_from, e_to)) as e_block"))
-    # The super level's bound already rules out most blocks, before they are paired.
-    rows = (_with_block(rows, prep, "ego", "e_block", *KEY, *ends, "e_block", f"{_NODE} as e", "t_super", "bound",
-                        "t_from", "t_to").where(f"{box_gap_sq('e', 't_super')} <= bound")
-            .selectExpr(*KEY, *ends, "e_block", "e", "bound", "explode(sequence(t_from, t_to)) as t_block"))
-    rows = (_with_block(rows, prep, "target", "t_block", *KEY, *ends, "e_block", "t_block", "e", f"{_NODE} as t", "bound")
-            .where(f"{box_gap_sq('e', 't')} <= bound"))
-    return _prune(rows, [*KEY, *ends, "e_block", "t_block", "e", "t"], by_target)
+    spans = ", ".join(f"{B.block_of(f'{r}_hi')} - {B.block_of(f'{r}_lo')}" for r in B.ROLES)
+    longest = prep.pairs.agg(F.expr(f"max(greatest({spans}))")).first()[0] or 0
+    level = 0
+    while longest >> (level * B.FANOUT_BITS) >= 1 << TOP:
+        level += 1
+    rows = prep.pairs.select(*KEY, *ends).selectExpr("*", f"explode({_in_node('ego', level)}) as e_block")
+    rows = _with_node(rows, prep, "ego", "e_block", level, *KEY, *ends, "e_block", f"{_node('ego')} as e")
+    rows = rows.selectExpr("*", f"explode({_in_node('target', level)}) as t_block")
+    rows = _with_node(rows, prep, "target", "t_block", level, *KEY, *ends, "e_block", "t_block", "e", f"{_node('target')} as t")
+    keep = [*KEY, *ends, "e_block", "t_block", "e", "t"]
+    rows = _prune(rows, keep, by_target)
+    while level:
+        level -= 1
+        # The bound of the level above already rules out most children of one side before the other side's are opened.
+        rows = rows.selectExpr(*KEY, *ends, "t_block as t_up", "t as t_over", "bound", f"explode({_in_node('ego', level, 'e_block')}) as e_block")
+        rows = (_with_node(rows, prep, "ego", "e_block", level, *KEY, *ends, "e_block", f"{_node('ego')} as e", "t_up", "t_over", "bound")
+                .where(f"{box_gap_sq('e', 't_over')} <= bound")
+                .selectExpr(*KEY, *ends, "e_block", "e", "bound", f"explode({_in_node('target', level, 't_up')}) as t_block"))
+        rows = (_with_node(rows, prep, "target", "t_block", level, *KEY, *ends, "e_block", "t_block", "e", f"{_node('target')} as t", "bound")
+                .where(f"{box_gap_sq('e', 't')} <= bound"))
+        rows = _prune(rows, keep, by_target)
+    return rows
 
 
 _D2 = distance_sq("e.x", "e.y", "t.x", "t.y")

@@ -32,11 +32,27 @@ def windowed_chunks(
     tracks: DataFrame, scenarios: DataFrame, fields: list[str] = SAMPLE_FIELDS, carry: list[str] = (),
     roles: tuple[str, ...] = B.ROLES,
 ) -> tuple[DataFrame, DataFrame]:
-    """The roles' windows, and the track blocks they touch. Tracks that no interaction names go first."""
-    tracks = tracks.join(B.referenced_tracks(scenarios, roles), ["recording_id", "track_id"], "left_semi")
-    windows = stage(B.role_windows(scenarios, B.track_extents(tracks), carry, roles))
-    hot, needed = B.needed_blocks(windows)
-    return windows.join(hot, ["recording_id", "track_id"], "left"), B.chunk_tracks(tracks, needed, fields)
+    """The roles' windows that hold samples, and the track blocks they touch.
+
+    windows: (KEY, carry, role, track_id, n, lo, hi, cover), narrowed to the frames there are. cover
+    says which blocks exist (runs) and which of them are stored in copies (hot).
+    The scan drops what no interaction names, windows meet the catalogue, and only then samples
+    of the pages they touch are shuffled, once.
+    """
+    used = B.in_use(tracks, scenarios, roles)
+    seen = stage(B.seen_pages(B.role_windows(scenarios, carry, roles), B.catalogue(used)))
+    touched = seen.groupBy(*B.TRACK, "page").count()
+    needed, (busiest,) = B.bitmap(touched, [*B.TRACK, "page"], "max(count)")
+    paged = used.selectExpr("*", f"{B.page_of(B.block_of('frame'))} as page").where(needed).drop("page")
+    crowded = B.crowded_blocks(seen) if (busiest or 0) > B.HOT else None
+    windows = seen.groupBy(*KEY, *carry, "role", "track_id").agg(*map(F.expr, (
+        "sum(n) as n", "min(first) as lo", "max(last) as hi", "sort_array(flatten(collect_list(runs))) as runs")))
+    if crowded is None:
+        windows = windows.withColumn("hot", F.expr(B._NO_RUNS))
+    else:
+        windows = windows.join(B.hot_runs(crowded), B.TRACK, "left")
+    windows = windows.selectExpr(*KEY, *carry, "role", "track_id", "n", "lo", "hi", "struct(runs, hot) as cover")
+    return windows, B.chunk_tracks(paged, crowded, fields)
 
 
 def window_samples(scenarios: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -48,13 +64,19 @@ def window_samples(scenarios: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def summarize(windows: DataFrame, chunks: DataFrame, carry: list[str]) -> DataFrame:
-    """One row per interaction with at least one sample: counts, frame ranges, first samples."""
-    rows = B.attach(windows, chunks).selectExpr(
-        *KEY, *carry, "role", "hot", "size(samples) as n", "get(samples, 0) as first",
-        "get(samples, size(samples) - 1).frame as last")
-    aggs = [F.expr(f"{agg} filter (where role = '{r}') as {r}_{name}") for r in B.ROLES for agg, name in (
-        ("sum(n)", "n"), ("min(first.frame)", "lo"), ("max(last)", "hi"), ("min(first)", "first"), ("max(hot)", "hot"))]
-    return rows.groupBy(*KEY, *carry).agg(*aggs)
+    """One row per interaction that passes the two-sample gate: counts, frame ranges, first samples.
+
+    Counts come from the catalogue; only the block of each role's first frame is opened.
+    """
+    names = ("n", "lo", "hi", "cover")
+    aggs = [F.expr(f"any_value({c}) filter (where role = '{r}') as {r}_{c}") for r in B.ROLES for c in names]
+    rows = windows.groupBy(*KEY, *carry).agg(*aggs).where(f"ego_n >= {MIN_SAMPLES} and target_n >= {MIN_SAMPLES}")
+    for r in B.ROLES:
+        first = chunks.selectExpr("recording_id", f"track_id as {r}", "block", "salt", "samples")
+        rows = (rows.selectExpr("*", f"{B.block_of(f'{r}_lo')} as block").selectExpr("*", f"{B.salt_of('block', f'{r}_cover')} as salt")
+                .join(first, ["recording_id", r, "block", "salt"])
+                .selectExpr(*[c for c in rows.columns], f"get(filter(samples, s -> s.frame = {r}_lo), 0) as {r}_first"))
+    return rows
 
 
 def prepare(tracks: DataFrame, scenarios: DataFrame, fields: list[str] = SAMPLE_FIELDS,
@@ -67,5 +89,4 @@ def prepare(tracks: DataFrame, scenarios: DataFrame, fields: list[str] = SAMPLE_
     """
     carry = ["ego", "target", *keep]
     windows, chunks = windowed_chunks(tracks, scenarios, fields, carry)
-    gate = f"ego_n >= {MIN_SAMPLES} and target_n >= {MIN_SAMPLES}"
-    return Prepared(stage(summarize(windows, chunks, carry).where(gate)), chunks)
+    return Prepared(stage(summarize(windows, chunks, carry)), chunks)

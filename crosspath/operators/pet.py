@@ -14,7 +14,7 @@ from .lookup import nearest_sample
 from .pairs import Prepared
 from .simultaneous import min_simultaneous
 
-PAIR = [*ENDS, "ego_first", "target_first"]
+PAIR = ENDS
 
 
 def encounters(prep: Prepared) -> DataFrame:
@@ -33,7 +33,7 @@ def conflict_zones(encounter: DataFrame, threshold: float = CONFLICT_THRESHOLD)
     other vehicle's width.
     """
     sides = ", ".join(
-        f"""struct('{r}' as role, {r} as track_id, {r}_lo as lo, {r}_hi as hi, {r}_hot as hot, best.{r}_x as zone_x, best.{r}_y as zone_y,
+        f"""struct('{r}' as role, {r} as track_id, {r}_lo as lo, {r}_hi as hi, {r}_cover as cover, best.{r}_x as zone_x, best.{r}_y as zone_y,
         {other}_first.width as radius, {r}_first.length as length, {r}_first.width as width)"""
         for r, other in (("ego", "target"), ("target", "ego")))
     return encounter.where(f"sqrt(best.d2) <= {float(threshold)}D").selectExpr(*KEY, f"inline(array({sides}))")
@@ -98,7 +98,7 @@ def boundary_positions(pets: DataFrame, prep: Prepared) -> DataFrame:
     (KEY, v1_pet1_x, v1_pet1_y, v1_pet2_x, ..., v2_pet2_y)."""
     known = pets.where("pet is not null").select(*KEY, "pet_frame1", "pet_frame2").join(prep.pairs, KEY)
     names = [(v, p, role) for v, role in enumerate(ROLES, start=1) for p in (1, 2)]
-    probes = ", ".join(f"struct('v{v}_pet{p}' as probe, {r} as track_id, {r}_lo as lo, {r}_hi as hi, {r}_hot as hot, "
+    probes = ", ".join(f"struct('v{v}_pet{p}' as probe, {r} as track_id, {r}_lo as lo, {r}_hi as hi, {r}_cover as cover, "
                        f"pet_frame{p} as at)"
                        for v, p, r in names)
     near = nearest_sample(known.selectExpr(*KEY, f"inline(array({probes}))"), prep.chunks, ["probe"])

@@ -17,14 +17,14 @@ _COMMON = """filter(transform(ego_samples, s -> struct(s as e, at_frame[s.frame]
 def common_blocks(prep: Prepared, carry: list[str] = ()) -> DataFrame:
     """Blocks both windows touch, with an array ``both`` of the (ego, target) samples that
     share a frame: (KEY, carry, both)."""
-    keep = list(dict.fromkeys(["ego", "target", "target_hot", *carry]))
-    windows = prep.pairs.selectExpr(*KEY, *keep, "ego_hot as hot", "greatest(ego_lo, target_lo) as lo",
+    keep = list(dict.fromkeys(["ego", "target", "target_cover", *carry]))
+    windows = prep.pairs.selectExpr(*KEY, *keep, "ego_cover as cover", "greatest(ego_lo, target_lo) as lo",
                                     "least(ego_hi, target_hi) as hi")
     ego = prep.chunks.selectExpr("recording_id", "track_id as ego", "block", "salt", "samples as ego_samples")
     target = prep.chunks.selectExpr("recording_id", "track_id as target", "block", "salt",
                                     "map_from_arrays(samples.frame, samples) as at_frame")
     rows = explode_blocks(windows).join(ego, ["recording_id", "ego", "block", "salt"]).selectExpr(
-        *KEY, *keep, "lo", "hi", "block", f"{salt_of('block', 'target_hot')} as salt", "ego_samples")
+        *KEY, *keep, "lo", "hi", "block", f"{salt_of('block', 'target_cover')} as salt", "ego_samples")
     return (rows.join(target, ["recording_id", "target", "block", "salt"])
             .selectExpr(*KEY, *carry, f"{_COMMON} as both"))
 

@@ -56,7 +56,7 @@ def _linked_blocks(windows: DataFrame, chunks: DataFrame) -> DataFrame:
 def arc_resample(windows: DataFrame, chunks: DataFrame, k: int = RESAMPLE_POINTS) -> DataFrame:
     """k points at equal arc length along each window track: (KEY, i, x, y), i = 0..k-1.
 
-    windows: (KEY, track_id, lo, hi, hot). Linear interpolation; a track that does not move
+    windows: (KEY, track_id, lo, hi, cover). Linear interpolation; a track that does not move
     gives k copies of its first point.
     """
     linked = _linked_blocks(windows, chunks)
@@ -97,13 +97,13 @@ def start_heading(windows: DataFrame, chunks: DataFrame) -> DataFrame:
 def theta_geometry(points: DataFrame, chunks: DataFrame) -> DataFrame:
     """Add u1_x, u1_y, u1_source, L1, L2, theta1_deg, theta2_deg to rows with three points.
 
-    points: (KEY, target, target_lo, target_hi, target_hot, target_first, qm_*, qc_*, qp_*, ...).
+    points: (KEY, target, target_lo, target_hi, target_cover, target_first, qm_*, qc_*, qp_*, ...).
     All added columns are NULL when a chord is shorter than 1 m. Only the few rows whose
     q_in lies within 1 m of the track start are resampled.
     """
     l0 = distance("qm_x", "qm_y", "target_first.x", "target_first.y")
     near = points.where(f"{l0} < {NEAR_START_M}D").selectExpr(
-        *KEY, "target as track_id", "target_lo as lo", "target_hi as hi", "target_hot as hot")
+        *KEY, "target as track_id", "target_lo as lo", "target_hi as hi", "target_cover as cover")
     rows = points.join(start_heading(near, chunks), KEY, "left").selectExpr(
         "*", f"{l0} as l0", "qc_x - qm_x as v2x", "qc_y - qm_y as v2y", "qp_x - qc_x as v3x", "qp_y - qc_y as v3y")
     far = f"l0 >= {NEAR_START_M}D"

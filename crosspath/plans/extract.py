@@ -31,7 +31,7 @@ def prepare_configured(tracks: DataFrame, scenarios: DataFrame) -> Prepared:
 def anchored_pairs(prep: Prepared, config: dict) -> DataFrame:
     """Pairs that have an anchor, with anchor_kind, anchor_frame and radius."""
     anchors = find_anchor(prep, float(config.get("conflict_threshold", CONFLICT_THRESHOLD)), float(config.get("fps", FPS)))
-    pairs = prep.pairs.select(*KEY, "target", "target_lo", "target_hi", "target_hot", "target_first", F.col("L_m").alias("radius"))
+    pairs = prep.pairs.select(*KEY, "target", "target_lo", "target_hi", "target_cover", "target_first", F.col("L_m").alias("radius"))
     return pairs.join(anchors, KEY)
 
 

@@ -48,6 +48,17 @@ def stage_bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
     (df.write.format("parquet").bucketBy(bucket_count(spark), *keys)
      .option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name))
     _tables.append(name)
+    table = spark.table(name)
+    table._crosspath_table = name
+    return table
+
+
+def append_bucketed(table: DataFrame, more: DataFrame) -> DataFrame:
+    """``more`` (same columns) added to a table of ``stage_bucketed``, in the same buckets."""
+    spark = table.sparkSession
+    name = table._crosspath_table
+    more.select(*table.columns).write.insertInto(name)
+    spark.catalog.refreshTable(name)
     return spark.table(name)
 
 
