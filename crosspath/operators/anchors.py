@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from ..schema import CONFLICT_THRESHOLD, FPS, KEY
-from ..staging import stage
+from ..staging import store
 from .blocks import role_view
 from .closest import closest_pair, crossing_frame
 from .lookup import nearest_sample
@@ -53,10 +53,10 @@ def find_anchor(prep: Prepared, threshold: float = CONFLICT_THRESHOLD, fps: floa
     expensive passes: same-time distances (pet, min_dist) and closest pairs (pet, cross).
     """
     search = prep.pairs.where("anchor_frame is null")
-    timed = stage(min_simultaneous(Prepared(search.where("anchor in ('pet', 'min_dist')"), prep.chunks), [*PAIR, "anchor"]))
+    timed = store(min_simultaneous(Prepared(search.where("anchor in ('pet', 'min_dist')"), prep.chunks), [*PAIR, "anchor"]))
     cross = search.where("anchor = 'cross'").select(*KEY, *PAIR, "anchor")
     paths = timed.where("anchor = 'pet'").unionByName(cross, allowMissingColumns=True)
-    closest = stage(closest_pair(Prepared(paths, prep.chunks), [*PAIR, "anchor", "nearest"], "anchor = 'cross'"))
+    closest = store(closest_pair(Prepared(paths, prep.chunks), [*PAIR, "anchor", "nearest"], "anchor = 'cross'"))
     pets = pet_cases(search.where("anchor = 'pet'"), closest.where("anchor = 'pet'"), prep, threshold, fps)
     return reduce(DataFrame.unionByName, (
         given_anchor(prep), _snapped(pets, prep),

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY, SAMPLE_FIELDS
-from ..staging import append_bucketed, bucket_count, stage, stage_bucketed
+from ..staging import append_bucketed, bucket_count, stage_bucketed, store
 
 BLOCK = 16
 PAGE_BITS = 10                  # a page is 2^10 block numbers
@@ -32,6 +32,7 @@ POSITION = "{0} is not null and {1} is not null and not isnan({0}) and not isnan
 
 # Size of the bitmap that the scan of samples tests; more keys than bits only make it let more rows pass.
 FILTER_BITS = 1 << 20
+FILL = 16
 
 # A block that more than HOT interactions look at is split into salted copies.
 HOT = 10_000
@@ -80,10 +81,13 @@ def bitmap(keys: DataFrame, columns: list[str], *more: str) -> tuple[str, list]:
     dense = [0] * (FILTER_BITS // 64)
     for r in words:
         dense[r.word] = r.bits
-    while len(dense) > 1 and not dense[-1]:
-        dense.pop()
+    # As small as it can be with at most one bit in FILL set: the bit of a key modulo half the size is in the halves' union.
+    while len(dense) > 1 and FILL * sum(w.bit_count() if w >= 0 else (w & (1 << 64) - 1).bit_count() for w in dense) <= 32 * len(dense):
+        half = len(dense) // 2
+        dense = [a | b for a, b in zip(dense[:half], dense[half:])]
     bits = f"cast(split('{','.join(map(str, dense))}', ',') as array<bigint>)"
-    found = f"get({bits}, cast({_bit(columns)} div 64 as int)) & shiftleft(1L, cast({_bit(columns)} % 64 as int))"
+    bit = f"pmod(xxhash64({', '.join(columns)}), {64 * len(dense)})"
+    found = f"get({bits}, cast({bit} div 64 as int)) & shiftleft(1L, cast({bit} % 64 as int))"
     best = [(min if m.startswith("min") else max)((r[f"m{i}"] for r in words if r[f"m{i}"] is not None), default=None) for i, m in enumerate(more)]
     return f"coalesce({found}, 0L) <> 0", best
 
@@ -105,7 +109,7 @@ def catalogue(tracks: DataFrame) -> DataFrame:
     position, in order, with bit k of ``mask`` set if the k-th frame is there. Rows are combined before each shuffle."""
     blocks = (tracks.where("frame is not null").where(POSITION.format("x", "y"))
               .groupBy(*TRACK, F.expr(f"{block_of('frame')} as block")).agg(F.expr(f"bit_or(shiftleft(1, cast(pmod(frame, {BLOCK}L) as int))) as mask")))
-    return stage(blocks.groupBy(*TRACK, F.expr(f"{page_of('block')} as page")).agg(F.expr("sort_array(collect_list(struct(block, mask))) as blocks")))
+    return store(blocks.groupBy(*TRACK, F.expr(f"{page_of('block')} as page")).agg(F.expr("sort_array(collect_list(struct(block, mask))) as blocks")))
 
 
 def _node_levels(low: str, high: str, levels: int) -> str:
@@ -165,7 +169,7 @@ def crowded_blocks(seen: DataFrame) -> DataFrame:
     busy = seen.groupBy(*TRACK, "page").count().where(f"count > {HOT}").drop("count")
     touched = seen.join(busy, [*TRACK, "page"], "left_semi").selectExpr(
         *TRACK, "explode(flatten(transform(runs, r -> sequence(r.from, r.to)))) as block")
-    return stage(touched.groupBy(*TRACK, "block").count().where(f"count > {HOT}").selectExpr(
+    return store(touched.groupBy(*TRACK, "block").count().where(f"count > {HOT}").selectExpr(
         *TRACK, "block", f"cast(ceil(count / {HOT}) as bigint) as salts"))
 
 
@@ -207,7 +211,7 @@ def chunk_tracks(tracks: DataFrame, crowded: DataFrame | None = None, fields: li
     if crowded is not None:
         copies = table.drop("salt").join(crowded, [*TRACK, "block"]).selectExpr(*TRACK, "block", "explode(sequence(1L, salts - 1)) as salt",
                                                                              *[c for c in table.columns if c not in TRACK_BLOCK])
-        table = append_bucketed(table, stage(copies.repartition(bucket_count(spark), *TRACK_BLOCK)))
+        table = append_bucketed(table, store(copies.repartition(bucket_count(spark), *TRACK_BLOCK)))
     return table
 
 

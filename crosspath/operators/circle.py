@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import circle_fraction, distance
 from ..schema import KEY
-from ..staging import stage
+from ..staging import store
 from .blocks import attach
 from .lookup import sample_at
 
@@ -56,7 +56,7 @@ def circle_crossings(anchored: DataFrame, chunks: DataFrame) -> DataFrame:
     are kept. Adds at (the anchor sample or NULL) and q_in, q_out: struct<x, y, frame>.
     """
     located = sample_at(anchored, chunks, "anchor_frame", "at")
-    walked = stage(_leaving(located, chunks))
+    walked = store(_leaving(located, chunks))
     rows = walked.join(_inner_elsewhere(walked, chunks), KEY, "left").selectExpr(
         *located.columns, "back.out as b_out", "coalesce(back.inner, back_inner) as b_in",
         "fwd.out as f_out", "coalesce(fwd.inner, fwd_inner) as f_in")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box_gap_sq, distance_sq, point_gap_sq
 from ..schema import KEY
-from ..staging import stage
+from ..staging import store
 from . import blocks as B
 from .pairs import Prepared
 
@@ -86,7 +86,7 @@ def _prune(pairs: DataFrame, keep: list[str], by_target: str) -> DataFrame:
     """
     seen = distance_sq("e.p.x", "e.p.y", "t.p.x", "t.p.y")
     first = f"struct({seen} as seen, if({by_target}, t.p.frame, e.p.frame) as f1, if({by_target}, e.p.frame, t.p.frame) as f2)"
-    rows = stage(pairs.selectExpr(*keep, f"{box_gap_sq('e', 't')} as gap", f"{first} as first", f"{_STILL} as still"))
+    rows = store(pairs.selectExpr(*keep, f"{box_gap_sq('e', 't')} as gap", f"{first} as first", f"{_STILL} as still"))
     least = rows.groupBy(*KEY).agg(F.expr(f"min(first.seen) * {1 + SLACK}D + {SLACK * SLACK}D as bound"),
                                    F.expr("min(first) filter (where still) as still_first"))
     return rows.join(least, KEY).where("gap <= bound and (not still or first = still_first)").select(*keep, "bound")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY, SAMPLE_FIELDS
-from ..staging import stage
+from ..staging import store
 from . import blocks as B
 
 
@@ -40,7 +40,7 @@ def windowed_chunks(
     of the pages they touch are shuffled, once.
     """
     used = B.in_use(tracks, scenarios, roles)
-    seen = stage(B.seen_pages(B.role_windows(scenarios, carry, roles), B.catalogue(used)))
+    seen = store(B.seen_pages(B.role_windows(scenarios, carry, roles), B.catalogue(used)))
     touched = seen.groupBy(*B.TRACK, "page").count()
     needed, (busiest,) = B.bitmap(touched, [*B.TRACK, "page"], "max(count)")
     paged = used.selectExpr("*", f"{B.page_of(B.block_of('frame'))} as page").where(needed).drop("page")
@@ -89,4 +89,4 @@ def prepare(tracks: DataFrame, scenarios: DataFrame, fields: list[str] = SAMPLE_
     """
     carry = ["ego", "target", *keep]
     windows, chunks = windowed_chunks(tracks, scenarios, fields, carry)
-    return Prepared(stage(summarize(windows, chunks, carry)), chunks)
+    return Prepared(store(summarize(windows, chunks, carry)), chunks)

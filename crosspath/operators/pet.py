@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import footprint_touches_circle
 from ..schema import CONFLICT_THRESHOLD, FPS, KEY
-from ..staging import stage
+from ..staging import store
 from .blocks import ROLES, attach, role_view
 from .closest import ENDS, closest_pair
 from .lookup import nearest_sample
@@ -22,7 +22,7 @@ def encounters(prep: Prepared) -> DataFrame:
 
     Pairs that share no frame leave before the closest-pair search.
     """
-    met = stage(min_simultaneous(prep, PAIR))
+    met = store(min_simultaneous(prep, PAIR))
     return closest_pair(Prepared(met, prep.chunks), [*PAIR, "nearest"])
 
 
@@ -65,7 +65,7 @@ def pet(prep: Prepared, threshold: float = CONFLICT_THRESHOLD, fps: float = FPS)
     path_min_distance, zone1_x, zone1_y, zone2_x, zone2_y, min_distance,
     min_distance_frame, v1_mindist_x, v1_mindist_y, v2_mindist_x, v2_mindist_y)
     """
-    return pet_cases(prep.pairs, stage(encounters(prep)), prep, threshold, fps)
+    return pet_cases(prep.pairs, store(encounters(prep)), prep, threshold, fps)
 
 
 def pet_cases(pairs: DataFrame, met: DataFrame, prep: Prepared, threshold: float, fps: float) -> DataFrame:

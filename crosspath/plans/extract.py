@@ -11,7 +11,7 @@ from ..operators.pairs import Prepared, prepare
 from ..operators.theta import theta_geometry
 from ..schema import CONFLICT_THRESHOLD, FPS, KEY
 from ..sources.scenarios import class_settings, with_class_settings
-from ..staging import stage
+from ..staging import store
 
 POINT_COLUMNS = ["qc_x", "qc_y", "qm_x", "qm_y", "t_in_frame", "qp_x", "qp_y", "t_out_frame"]
 ANGLE_COLUMNS = ["u1_x", "u1_y", "u1_source", "L1", "L2", "theta1_deg", "theta2_deg"]
@@ -40,7 +40,7 @@ def extract_params(tracks: DataFrame, scenarios: DataFrame, config: dict) -> Dat
     anchor, points, angles and end speed as could be determined."""
     scenarios = configured(scenarios, config)
     prep = prepare_configured(tracks, scenarios)
-    points = stage(disk_points(anchored_pairs(prep, config), prep.chunks))
+    points = store(disk_points(anchored_pairs(prep, config), prep.chunks))
     angles = theta_geometry(points.where("status = 'ok'"), prep.chunks).select(*KEY, *ANGLE_COLUMNS)
     found = points.selectExpr(*KEY, "anchor_kind", "anchor_frame as found_frame", "status", *POINT_COLUMNS, "at.speed as speed")
     gate = prep.pairs.selectExpr(*KEY, "true as paired")

@@ -37,6 +37,17 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Materialize ``df`` once as Parquet, for results that grow with the data.
+
+    Later reads take only the columns they need, are split anew, and know the true size.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stage_bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
     """Materialize ``df`` as a parquet table bucketed by ``keys``.
 
