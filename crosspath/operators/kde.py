@@ -2,25 +2,32 @@
 
 The leave-one-out likelihood sums a kernel over all pairs of a class. Pairs never
 become rows: equal vectors are merged into weights first, the distinct vectors of a
-class are hashed into tiles of about TILE vectors, and a task evaluates one tile
-against a bounded run of tiles with array arithmetic, for all bandwidths of a search
-round at once. A class of any size, or one that holds most of the data, is spread over
-(tiles x runs) independent tasks. The work is quadratic in the distinct vectors of a
-class, as the estimator is defined; nothing is sampled or cut off.
+class are ordered along a k-d curve and cut into tiles of up to TILE vectors, and RUN tiles
+that follow one another travel as a group. A task evaluates one pair of groups with array arithmetic, for all
+bandwidths of a search round at once; as the kernel is symmetric, each pair is evaluated once and serves
+both sides. Pairs of groups and of tiles so far apart that every kernel is exactly 0.0 in double precision are
+skipped. Sums return as one array per tile, and are added up tile by tile. A class of any size, or one that holds most of
+the data, is spread over (groups x groups / 2) independent tasks. The work is quadratic in the distinct
+vectors of a class, as the estimator is defined; nothing is sampled or cut off.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import PARAMETERS
-from ..staging import small, stage
+from ..staging import BROADCAST_ROWS, stage
 
 TILE = 1024
-RUN = 16                 # tiles one task evaluates against its own tile
+RUN = 8                 # tiles in a group
+ZERO = -745.2            # exp of anything below is 0.0
+SPAN = 16.0              # the curve tells vectors apart within so many standard deviations; beyond, boxes are only larger
 
 GRID = 60                # bandwidths in the first search round
 REFINE = 16              # bandwidths in each later round
@@ -71,67 +78,151 @@ def standardize(params: DataFrame, moments: DataFrame, cols: list[str] = PARAMET
     """Add z1..zp, the parameters in units of their class's standard deviation."""
     z = [((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd")).alias(f"z{j}") for j, c in enumerate(cols, start=1)]
     params = complete(params, cols)
-    return params.join(small(moments), "class").select(*[params[c] for c in params.columns], *z)
+    return params.join(_per_class(moments)(moments), "class").select(*[params[c] for c in params.columns], *z)
+
+
+def _per_class(moments: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How tables of one short row per class are joined: broadcast if the classes are counted to be few."""
+    return F.broadcast if moments.select("class").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
+
+
+def _curve(dims: int) -> str:
+    """Place of a vector on a k-d curve: the bits of all coordinates, interleaved from the highest on."""
+    bits = min(16, 60 // dims)
+    cell = [f"cast(least(greatest(floor((z{j} + {SPAN / 2}D) * {(1 << bits) / SPAN}D), 0L), {(1 << bits) - 1}L) as bigint)" for j in range(1, dims + 1)]
+    mixed = " | ".join(f"shiftleft(shiftright({c}, i) & 1L, i * {dims} + {j})" for j, c in enumerate(cell))
+    return f"aggregate(sequence(0, {bits - 1}), 0L, (acc, i) -> acc | {mixed})"
+
+
+_TILE = "class string, tile bigint, points array<double>, low array<double>, high array<double>"
+
+
+def _cut_tiles(dims: int):
+    """Ordered vectors (class, z.., w) to tiles; points holds the vectors and their weights one after another."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, rest = TaskContext.get().partitionId() << 32, None
+
+        def made(part: pd.DataFrame) -> tuple:
+            x = part.iloc[:, 1:].to_numpy(np.float64)
+            return part["class"].iloc[0], x.ravel(), x[:, :dims].min(0), x[:, :dims].max(0)
+
+        for frame in frames:
+            frame, rows = frame if rest is None else pd.concat([rest, frame]), []
+            cuts = np.flatnonzero((frame["class"].to_numpy()[1:] != frame["class"].to_numpy()[:-1])) + 1
+            ends = [*cuts, len(frame)]
+            start = 0
+            for end in ends:
+                while end - start > TILE or (end - start and end != len(frame)):
+                    rows.append((*made(frame.iloc[start:min(end, start + TILE)]), number + len(rows)))
+                    start = min(end, start + TILE)
+            rest, number = frame.iloc[start:], number + len(rows)
+            yield pd.DataFrame(rows, columns=["class", "points", "low", "high", "tile"])[["class", "tile", "points", "low", "high"]]
+        if rest is not None and len(rest):
+            yield pd.DataFrame([(*made(rest), number)], columns=["class", "points", "low", "high", "tile"])[["class", "tile", "points", "low", "high"]]
+
+    return run
 
 
 def _tiles(z: DataFrame, dims: int) -> DataFrame:
-    """(class, n_tiles, tile, points): distinct vectors with their multiplicity w, hashed into tiles."""
+    """(class, tile, grp, points, low, high), stored: distinct vectors with their multiplicity, in tiles with their boxes."""
     zs = [f"z{j}" for j in range(1, dims + 1)]
-    distinct = stage(z.groupBy("class", *zs).agg(F.count("*").cast("double").alias("w")))
-    sizes = distinct.groupBy("class").agg(F.ceil(F.count("*") / TILE).alias("n_tiles"))
-    tile = F.pmod(F.xxhash64(*zs), F.col("n_tiles"))
-    return (distinct.join(small(stage(sizes)), "class").groupBy("class", "n_tiles", tile.alias("tile"))
-            .agg(F.collect_list(F.array(*zs, "w")).alias("points")))
-
-
-_SUMS = "class string, tile bigint, n bigint, at bigint, k bigint, h double, w double, part double"
-
-
-def _tile_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Kernel sums of one tile's vectors over one run of tiles, per bandwidth."""
-    if not pdf["home"].any():      # no vector hashed into this tile
-        return pd.DataFrame(columns=[c.split()[0] for c in _SUMS.split(", ")])
-    home = pdf[pdf["home"]].iloc[0]
-    points = np.stack(home["points"])
-    x, w, hs = points[:, :-1], points[:, -1], np.asarray(home["hs"])
-    sums = np.zeros((len(hs), len(x)))
-    for source, other in pdf.loc[~pdf["home"], ["source", "points"]].itertuples(index=False):
-        y = np.stack(other)
-        d2 = ((x[:, None, :] - y[None, :, :-1]) ** 2).sum(-1)
-        if source == home["tile"]:
-            # A vector leaves itself out but keeps its copies, which are at distance 0.
-            np.fill_diagonal(d2, np.inf)
-            sums += w - 1.0
-        for k, h in enumerate(hs):
-            sums[k] += np.exp(d2 * (-0.5 / (h * h))) @ y[:, -1]
-    at = np.tile(np.arange(len(x)), len(hs))
-    return pd.DataFrame({"class": home["class"], "tile": home["tile"], "n": home["n"], "at": at,
-                         "k": np.repeat(np.arange(len(hs)), len(x)), "h": np.repeat(hs, len(x)),
-                         "w": np.tile(w, len(hs)), "part": sums.ravel()})
-
-
-def _kernel_sums(tiles: DataFrame, grid: DataFrame) -> DataFrame:
-    """Kernel sum of every distinct vector over the rest of its class, per bandwidth.
-
-    grid: (class, n, hs). Result: (class, tile, at, n, k, h, w, total).
+    distinct = z.where("class is not null").groupBy("class", *zs).agg(F.count("*").cast("double").alias("w")).withColumn("place", F.expr(_curve(dims)))
+    ordered = distinct.repartitionByRange("class", "place").sortWithinPartitions("class", "place", *zs).select("class", *zs, "w")
+    tiles = stage(ordered.mapInPandas(_cut_tiles(dims), _TILE))
+    order = F.row_number().over(Window.partitionBy("class").orderBy("tile"))
+    numbers = tiles.select("class", "tile").withColumn("grp", F.floor((order - 1) / RUN))
+    return stage(tiles.join(numbers, ["class", "tile"]))
+
+
+_SUMS = "class string, tile bigint, n bigint, hs array<double>, points array<double>, sums array<double>"
+
+
+def _pair_sums(dims: int):
+    """Kernel sums of the vectors of a pair of groups (a, b) over each other, per bandwidth: an array per tile."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, hs = pdf["a"].iloc[0], pdf["b"].iloc[0], np.asarray(pdf["hs"].iloc[0])
+        scale = -0.5 / (hs * hs)
+        points = [np.asarray(p).reshape(-1, dims + 1) for p in pdf["points"]]
+        sums = [np.zeros((len(hs), len(p))) for p in points]
+        side = [np.flatnonzero(pdf["grp"].to_numpy() == g) for g in (a, b)]
+        for i in side[0]:
+            for j in side[1]:
+                if a == b and j < i:
+                    continue
+                gap = np.maximum(0.0, np.maximum(pdf["low"].iloc[j] - pdf["high"].iloc[i], pdf["low"].iloc[i] - pdf["high"].iloc[j]))
+                near = np.flatnonzero(scale * (gap @ gap) > ZERO)
+                if not len(near):
+                    continue
+                (x, w), (y, v) = ((p[:, :dims], p[:, dims]) for p in (points[i], points[j]))
+                d2 = ((x[:, None, :] - y[None, :, :]) ** 2).sum(-1)
+                if i == j:
+                    # A vector leaves itself out but keeps its copies, which are at distance 0.
+                    np.fill_diagonal(d2, np.inf)
+                    sums[i] += w - 1.0
+                for k in near:
+                    kernel = np.exp(d2 * scale[k])
+                    sums[i][k] += kernel @ v
+                    if i != j:
+                        sums[j][k] += w @ kernel
+        return pd.DataFrame({"class": pdf["class"], "tile": pdf["tile"], "n": pdf["n"], "hs": pdf["hs"],
+                             "points": pdf["points"] if a == b else None, "sums": [s.ravel() for s in sums]})
+
+    return run
+
+
+def _added_up(finish: Callable):
+    """Adds the arrays of each tile as they stream by; ``finish(class, n, hs, points, sums)`` makes the rows of a tile."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, points, total = None, None, None, None
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                at = (r[0], r.tile)
+                if at != key:
+                    if key is not None:
+                        out.append(finish(key[0], held.n, held.hs, points, total))
+                    key, held, points, total = at, r, None, np.zeros(len(r.sums))
+                total = total + r.sums
+                points = r.points if r.points is not None else points
+            if out:
+                yield pd.concat(out)
+        if key is not None:
+            yield finish(key[0], held.n, held.hs, points, total)
+
+    return run
+
+
+def _kernel_sums(tiles: DataFrame, grid: DataFrame, finish: Callable, schema: str, dims: int, per_class: Callable) -> DataFrame:
+    """What ``finish`` makes of each tile's kernel sums over the rest of its class.
+
+    grid: (class, n, hs). Groups are paired once, and only where their boxes are near enough for the largest bandwidth.
     """
-    home = f"transform(sequence(0L, floor((n_tiles - 1) / {RUN})), r -> struct(tile as tile, r as run, true as home))"
-    away = f"transform(sequence(0L, n_tiles - 1), t -> struct(t as tile, floor(tile / {RUN}) as run, false as home))"
-    groups = tiles.join(small(grid), "class").selectExpr(
-        "class", "n", "hs", "points", "tile as source", f"inline(concat({home}, {away}))")
-    parts = groups.groupBy("class", "tile", "run").applyInPandas(_tile_sums, _SUMS)
-    return parts.groupBy("class", "tile", "at", "n", "k", "h", "w").agg(F.sum("part").alias("total"))
+    box = [F.expr(f"array({', '.join(f'{agg}({c}[{d}])' for d in range(dims))}) as {c}") for agg, c in (("min", "low"), ("max", "high"))]
+    groups = tiles.groupBy("class", "grp").agg(*box)
+    other = groups.select("class", F.col("grp").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    gap = " + ".join(f"power(greatest(low_b[{d}] - high[{d}], low[{d}] - high_b[{d}], 0D), 2)" for d in range(dims))
+    pairs = (groups.withColumnRenamed("grp", "a").join(other, "class").where("a <= b").join(per_class(grid), "class")
+             .where(f"-0.5D * ({gap}) / power(array_max(hs), 2) > {ZERO}D").select("class", "n", "hs", "a", "b"))
+    sided = pairs.selectExpr("*", "explode(if(a = b, array(a), array(a, b))) as grp")
+    parts = tiles.join(sided, ["class", "grp"]).groupBy("class", "a", "b").applyInPandas(_pair_sums(dims), _SUMS)
+    return parts.repartition("class", "tile").sortWithinPartitions("class", "tile").mapInPandas(_added_up(finish), schema)
 
 
-def _density(dims: int) -> Column:
-    return F.expr(f"total / ((n - 1) * power(2 * pi(), {dims / 2}D) * power(h, {dims}))")
+def _densities(n: int, hs: np.ndarray, sums: np.ndarray, dims: int) -> np.ndarray:
+    """(bandwidths, vectors) leave-one-out densities."""
+    hs = np.asarray(hs)
+    return sums.reshape(len(hs), -1) / ((n - 1) * (2 * np.pi) ** (dims / 2) * hs[:, None] ** dims)
 
 
-def loo_likelihood(tiles: DataFrame, grid: DataFrame, dims: int = len(PARAMETERS)) -> DataFrame:
+def loo_likelihood(tiles: DataFrame, grid: DataFrame, dims: int = len(PARAMETERS), per_class: Callable | None = None) -> DataFrame:
     """Leave-one-out log-likelihood: (class, k, h, ll) for every bandwidth of ``grid``."""
-    dens = F.greatest(_density(dims), F.lit(MIN_DENSITY))
-    return (_kernel_sums(tiles, grid).groupBy("class", "k", "h")
-            .agg(F.sum(F.col("w") * F.ln(dens)).alias("ll")))
+    def finish(name, n, hs, points, sums):
+        w = np.asarray(points).reshape(-1, dims + 1)[:, dims]
+        part = np.log(np.maximum(_densities(n, hs, sums, dims), MIN_DENSITY)) @ w
+        return pd.DataFrame({"class": name, "k": np.arange(len(hs)), "h": hs, "part": part})
+
+    parts = _kernel_sums(tiles, grid, finish, "class string, k bigint, h double, part double", dims, per_class or _per_class(grid))
+    return parts.groupBy("class", "k", "h").agg(F.sum("part").alias("ll"))
 
 
 def initial_grid(moments: DataFrame, dims: int = len(PARAMETERS), size: int = GRID) -> DataFrame:
@@ -172,11 +263,11 @@ def loo_bandwidth(z: DataFrame, moments: DataFrame, dims: int = len(PARAMETERS))
     point, then the parabola through the last three points. All classes share each round,
     and a round's bracket stays a DataFrame: nothing is collected.
     """
-    tiles = stage(_tiles(z, dims))
-    sizes = moments.select("class", "n")
+    tiles, per_class = _tiles(z, dims), _per_class(moments)
+    sizes = per_class(moments.select("class", "n"))
     grid, size = initial_grid(moments, dims), GRID
     for _ in range(ROUNDS + 1):
-        top = stage(_top(loo_likelihood(tiles, grid, dims), size))
+        top = stage(_top(loo_likelihood(tiles, grid, dims, per_class), size))
         bracket = top.select("class", F.col("a.lh").alias("lo"), F.col("c.lh").alias("hi")).join(sizes, "class")
         grid, size = _log_grid(bracket, REFINE), REFINE
     return top.join(sizes, "class").select("class", "n", _vertex().alias("h"))
@@ -188,12 +279,13 @@ def loo_density(z: DataFrame, bandwidth: DataFrame, dims: int = len(PARAMETERS))
     bandwidth: (class, n, h).
     """
     zs = [f"z{j}" for j in range(1, dims + 1)]
-    tiles = stage(_tiles(z, dims))
-    sums = _kernel_sums(tiles, bandwidth.select("class", "n", F.array("h").alias("hs")))
-    points = tiles.select("class", "tile", F.posexplode("points").alias("at", "p"))
-    known = points.select("class", "tile", F.col("at").cast("bigint").alias("at"),
-                          *[F.get("p", F.lit(j)).alias(c) for j, c in enumerate(zs)])
-    dens = sums.join(known, ["class", "tile", "at"]).select("class", *zs, _density(dims).alias("density"))
+
+    def finish(name, n, hs, points, sums):
+        x = np.asarray(points).reshape(-1, dims + 1)
+        return pd.DataFrame({"class": name, **{c: x[:, j] for j, c in enumerate(zs)}, "density": _densities(n, hs, sums, dims)[0]})
+
+    schema = f"class string, {', '.join(f'{c} double' for c in zs)}, density double"
+    dens = _kernel_sums(_tiles(z, dims), bandwidth.select("class", "n", F.array("h").alias("hs")), finish, schema, dims, _per_class(bandwidth))
     return z.join(dens, ["class", *zs])
 
 

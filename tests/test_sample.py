@@ -121,3 +121,24 @@ def test_sample_table(spark, groups):
     assert got.center_theta1_deg.isin(df.toPandas().theta1_deg).all()
     with pytest.raises(ValueError, match="no class"):
         sample_params(usable_params(df, ["one", "flat"]))
+
+
+def test_far_tiles_are_skipped_and_pairs_evaluated_once(spark, monkeypatch):
+    """Two clusters far apart: the sums stay those of all pairs, and no pair of groups is evaluated twice or across the gap."""
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(0, 1, (120, 3)), rng.normal(900, 1, (120, 3))])
+    df = params(spark, {"a": v.tolist()})
+    moments = kde.usable_moments(df)
+    z = kde.standardize(df, moments)
+    monkeypatch.setattr(kde, "TILE", 16)
+    monkeypatch.setattr(kde, "RUN", 2)
+    grid = moments.select("class", "n", F.array(F.lit(0.001), F.lit(0.01)).alias("hs"))
+    asked, original = [], kde._pair_sums
+    monkeypatch.setattr(kde, "_pair_sums", lambda dims: asked.append(dims) or original(dims))
+    got = {r.h: r.ll for r in kde.loo_likelihood(kde._tiles(z, 3), grid).collect()}
+    points = z.select("z1", "z2", "z3").toPandas().to_numpy()
+    for h in (0.001, 0.01):
+        assert got[h] == pytest.approx(loo(points, h), rel=1e-9)
+    tiles = kde._tiles(z, 3)
+    groups = tiles.groupBy("grp").agg(F.min(F.col("low")[0]).alias("low"), F.max(F.col("high")[0]).alias("high")).collect()
+    assert asked and len(groups) >= 8 and sum(g.high - g.low > 1 for g in groups) <= 1      # groups are compact: at most one spans the gap
