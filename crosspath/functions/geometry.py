@@ -63,6 +63,13 @@ def point_gap_sq(p: str, box: str) -> str:
     return f"({gx} * {gx} + {gy} * {gy})"
 
 
+def point_reach_sq(p: str, box: str) -> str:
+    """Squared distance of a point (struct x, y) to the farthest corner of a box."""
+    rx = f"greatest(abs({p}.x - {box}.x0), abs({p}.x - {box}.x1))"
+    ry = f"greatest(abs({p}.y - {box}.y0), abs({p}.y - {box}.y1))"
+    return f"({rx} * {rx} + {ry} * {ry})"
+
+
 def circle_fraction(p: str, q: str, cx: str, cy: str, radius: str) -> str:
     """Fraction s in [0, 1] at which the segment p -> q (structs x, y) leaves the circle.
 

@@ -256,6 +256,16 @@ def attach(windows: DataFrame, chunks: DataFrame) -> DataFrame:
     return in_blocks(windows, chunks).selectExpr(*TRACK_BLOCK, *keep, f"{IN_WINDOW} as samples")
 
 
+def boxes(chunks: DataFrame) -> DataFrame:
+    """The blocks without their samples; a scan of a few short columns."""
+    return chunks.drop("samples")
+
+
+def opened(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows that name a block (TRACK_BLOCK, lo, hi, f0, f1) with its ``samples``, clipped to the window."""
+    return rows.join(chunks.select(*TRACK_BLOCK, "samples"), TRACK_BLOCK).selectExpr(*rows.columns, f"{IN_WINDOW} as samples")
+
+
 def role_view(pairs: DataFrame, role: str, *extra: str) -> DataFrame:
     """Pairs as window rows of one role's track."""
     return pairs.selectExpr(*KEY, *extra, f"{role} as track_id", f"{role}_lo as lo", f"{role}_hi as hi", f"{role}_cover as cover")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import footprint_touches_circle
+from ..functions.geometry import footprint_touches_circle, point_gap_sq
 from ..schema import CONFLICT_THRESHOLD, FPS, KEY
 from ..staging import store
-from .blocks import ROLES, attach, role_view
-from .closest import ENDS, closest_pair
+from .blocks import ROLES, attach, boxes, in_blocks, opened, role_view
+from .closest import ENDS, SLACK, closest_pair
 from .lookup import nearest_sample
 from .pairs import Prepared
 from .simultaneous import min_simultaneous
@@ -48,9 +48,16 @@ def zone_overlap(zones: DataFrame, prep: Prepared) -> DataFrame:
         *KEY, "role", f"inline(transform(samples, s -> struct(s.frame as frame, {_INSIDE} as inside)))")
 
 
+def zone_blocks(zones: DataFrame, prep: Prepared) -> DataFrame:
+    """Blocks whose box lies so near to the zone that a footprint in it can touch the circle; the others are not opened."""
+    reach = "(radius + sqrt(length * length + width * width) / 2)"
+    return in_blocks(zones, boxes(prep.chunks)).where(
+        f"{point_gap_sq('struct(zone_x as x, zone_y as y)', 'struct(x0, x1, y0, y1)')} <= {reach} * {reach} * {1 + SLACK}D + {SLACK}D")
+
+
 def zone_enter_exit(zones: DataFrame, prep: Prepared) -> DataFrame:
     """First and last frame in the zone per vehicle: (KEY, enter1, exit1, enter2, exit2)."""
-    rows = (attach(zones, prep.chunks).selectExpr(*KEY, "role", f"filter(samples, s -> {_INSIDE}).frame as frames")
+    rows = (opened(zone_blocks(zones, prep), prep.chunks).selectExpr(*KEY, "role", f"filter(samples, s -> {_INSIDE}).frame as frames")
             .selectExpr(*KEY, "role", "array_min(frames) as enter", "array_max(frames) as exit"))
     return rows.groupBy(*KEY).agg(*[
         F.expr(f"{agg} filter (where role = '{role}') as {name}{i}") for i, role in enumerate(ROLES, start=1)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from crosspath.operators import blocks, closest, lookup, pairs
+from crosspath.operators import blocks, circle, closest, lookup, pairs, pet
 from crosspath.schema import KEY
 
 from .helpers import scenarios, straight, tracks
@@ -97,3 +97,20 @@ def test_closest_pair_by_rounds(spark):
     least = min((((e - p) ** 2).sum(1).min(), 0) for p in t)[0]
     assert best.d2 == pytest.approx(least) and len(KEY) == 3
     assert closest.candidate_blocks(prep).count() < 0.02 * (n / 16) ** 2
+
+
+def test_circle_and_zone_open_only_blocks_at_their_border(spark):
+    """A long straight track: of hundreds of blocks only those near the circle's or the zone's border are opened."""
+    n = 6400
+    tr = tracks(spark, straight(1, (-3200.0, 0.0), (1.0, 0.0), range(n), 0), straight(2, (3200.0, -3200.0), (0.0, 1.0), range(n), 90))
+    prep = pairs.prepare(tr, scenarios(spark, [("a", "x", 2, 1, 0, n, None)]))
+    at = prep.pairs.selectExpr("*", "3000L as anchor_frame", "500D as radius")
+    located = circle.sample_at(at, prep.chunks, "anchor_frame", "at")
+    assert circle.crossing_blocks(located, prep.chunks).count() <= 6
+    got = circle.circle_crossings(at, prep.chunks).first()
+    assert got.q_in.x == pytest.approx(-700) and got.q_out.x == pytest.approx(300) and (got.q_in.frame, got.q_out.frame) == (2500, 3500)
+    zones = prep.pairs.selectExpr(*KEY, "'target' as role", "target as track_id", "target_lo as lo", "target_hi as hi", "target_cover as cover",
+                                  "0D as zone_x", "0D as zone_y", "2D as radius", "4D as length", "2D as width")
+    assert pet.zone_blocks(zones, prep).count() <= 2
+    got = pet.zone_enter_exit(zones, prep).first()
+    assert (got.enter2, got.exit2) == (3196, 3204) and got.enter1 is None
