@@ -3,9 +3,12 @@
 Each document becomes a short vector of transformed statistics. For every (lang, source)
 a minimum-covariance-determinant estimate of center and scatter is found by concentration
 steps: compute all Mahalanobis distances, keep the closest share, take their mean and
-covariance, repeat. One step is one aggregate over all documents: moments are summed per
-group and distance bin, and the bins up to the wanted share make the next estimate, the
+covariance, repeat. Several starts take two steps each, the one of the smallest determinant goes on
+until its determinant stops falling. One step is one aggregate over all documents: moments are summed per
+group, start and distance bin, and the bins up to the wanted share make the next estimate, the
 last one in part. Nothing is sampled and no group is gathered.
+
+The bound is that of normal data, or wider where the bulk of a group's own distances is spread more widely.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ MIN_WORDS, MAX_REPEATED = 20, 30        # words; percent of words in repeated wi
 REPEAT_WINDOW = 8
 MIN_GROUP = 50          # smaller groups share one estimate per language, then one in all
 SHARE = 0.75            # of the rows of a group that an estimate is made of
-STEPS = 5
+TRIALS = 2              # steps of every start before the best one goes on
+FALL = 1e-3             # the logarithm of the determinant has to fall by so much for another step
 TAIL = 1e-3             # chi-square tail beyond which a document is an outlier
 # Smallest standard deviations of the vector's parts. Those that are 0 in most documents have no scatter to estimate,
 # so one symbol or line would be an outlier; the others only need a regular matrix, by their deviation in all rows.
@@ -139,7 +143,7 @@ def _estimates(p: int, share: float, floors: list[float]):
     def run(frames):
         for frame in frames:
             out = []
-            for grp, bins in zip(frame["grp"], frame["bins"]):
+            for grp, start, bins in zip(frame["grp"], frame["start"], frame["bins"]):
                 bins = sorted(bins, key=lambda b: b["bin"])
                 sizes = np.array([b["n"] for b in bins], float)
                 moments = np.array([b["moments"] for b in bins], float)
@@ -154,39 +158,60 @@ def _estimates(p: int, share: float, floors: list[float]):
                 square *= correction
                 spread = np.maximum(np.sqrt(np.clip(np.diag(square), 0, None)), floors)
                 np.fill_diagonal(square, spread ** 2 * (1 + 1e-9))
-                out.append((grp, mean.tolist(), np.linalg.inv(square).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["grp", "center", "inverse"])
+                out.append((grp, start, mean.tolist(), np.linalg.inv(square).ravel().tolist(), np.linalg.slogdet(square)[1]))
+            yield pd.DataFrame(out, columns=["grp", "start", "center", "inverse", "size"])
 
     return run
 
 
-def robust_scatter(rows: DataFrame, names: list[str], floors: list[float], share: float = SHARE, steps: int = STEPS) -> DataFrame:
+def _starts(rows: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
+    """(grp, start, center, inverse): medians with median deviations, lower quartiles with the same, means with deviations."""
+    p = len(names)
+    ranks = rows.groupBy("grp").agg(*[F.array(*[F.percentile_approx(c, q, 1000) for c in names]).alias(a) for a, q in (("center", 0.5), ("low", 0.25))],
+                                    F.array(*[F.avg(c) for c in names]).alias("mean"), F.array(*[F.stddev_pop(c) for c in names]).alias("sd"))
+    ranks = stored(ranks)
+    mad = rows.join(ranks, "grp").groupBy("grp").agg(
+        F.array(*[F.percentile_approx(F.abs(F.col(c) - F.col("center")[i]), 0.5, 1000) * 1.4826 for i, c in enumerate(names)]).alias("mad"))
+    known = ranks.join(mad, "grp").select("grp", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("start"), F.col(at).alias("center"), F.col(spread).alias("spread"))
+        for k, (at, spread) in enumerate((("center", "mad"), ("low", "mad"), ("mean", "sd")))])))
+    diagonal = [F.pow(F.greatest(F.col("spread")[i], F.lit(floors[i])), -2) if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
+    return known.select("grp", "start", "center", F.array(*diagonal).alias("inverse"))
+
+
+def robust_scatter(rows: DataFrame, names: list[str], floors: list[float], share: float = SHARE, steps: int | None = None) -> DataFrame:
     """(grp, center, inverse): minimum-covariance-determinant estimates of each group of ``rows`` (grp, *names).
 
-    Starts from medians and median deviations. A part that does not vary gets its floor as
-    standard deviation, so equal or repeated rows make no singular matrix.
+    A part that does not vary gets its floor as standard deviation, so equal or repeated rows make no singular matrix.
+    ``steps`` ends the search early; None goes on until no determinant falls.
     """
     p = len(names)
     run = _estimates(p, share, floors)
-    medians = rows.groupBy("grp").agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in names]).alias("center"))
-    medians = stored(medians)
-    spread = rows.join(medians, "grp").groupBy("grp", "center").agg(
-        F.array(*[F.percentile_approx(F.abs(F.col(c) - F.col("center")[i]), 0.5, 1000) for i, c in enumerate(names)]).alias("mad"))
-    diagonal = [F.pow(F.greatest(F.col("mad")[i] * 1.4826, F.lit(floors[i])), -2) if i == j else F.lit(0.0)
-                for i in range(p) for j in range(p)]
-    current = stored(spread.select("grp", "center", F.array(*diagonal).alias("inverse")))
     summed = [*names, *(f"{names[i]} * {names[j]}" for i in range(p) for j in range(i, p))]
     moments = F.expr(f"array({', '.join(f'sum({x})' for x in summed)})")
-    for _ in range(steps):
-        distance = rows.join(current, "grp").withColumn("bin", F.floor(F.ln(_distance(names) + 1e-6) * _BINS))
-        sums = distance.groupBy("grp", "bin").agg(F.count("*").alias("n"), moments.alias("moments"))
-        bins = sums.groupBy("grp").agg(F.collect_list(F.struct("bin", "n", "moments")).alias("bins"))
-        current = stored(bins.mapInPandas(run, "grp string, center array<double>, inverse array<double>"))
-    return current
 
-
-def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
-    """(its_lang, its_source, grp, center, inverse) for every language and source of ``rows`` (with_statistics).
+    def step(current: DataFrame) -> DataFrame:
+        distance = rows.join(current.select("grp", "start", "center", "inverse"), "grp").withColumn("bin", F.floor(F.ln(_distance(names) + 1e-6) * _BINS))
+        sums = distance.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), moments.alias("moments"))
+        bins = sums.groupBy("grp", "start").agg(F.collect_list(F.struct("bin", "n", "moments")).alias("bins"))
+        return stored(bins.mapInPandas(run, "grp string, start int, center array<double>, inverse array<double>, size double"))
+
+    current = stored(_starts(rows, names, floors))
+    for _ in range(TRIALS):
+        current = step(current)
+    best = stored(current.groupBy("grp").agg(F.min(F.struct("size", "start", "center", "inverse")).alias("b")).select("grp", "b.*"))
+    falling = best
+    taken = TRIALS
+    while (steps is None or taken < steps) and not falling.isEmpty():                # ends, as every step lowers a determinant that the floors bound
+        after, taken = step(falling), taken + 1
+        old = best.select("grp", F.col("size").alias("old"))
+        falling = stored(after.join(old, "grp").where(F.col("size") < F.col("old") - FALL).drop("old"))
+        best = stored(best.join(falling.select("grp"), "grp", "left_anti").unionByName(falling))
+    return best.select("grp", "center", "inverse")
+
+
+def fit(rows: DataFrame, share: float = SHARE, min_group: int = MIN_GROUP, tail: float = TAIL) -> DataFrame:
+    """(its_lang, its_source, grp, center, inverse, bound) for every language and source of ``rows`` (with_statistics).
 
     Estimates are made of the documents that did not fail the counted limits. A group below
     ``min_group`` of them joins the rest of its language, a rest below it the rest of all; a
@@ -206,25 +231,50 @@ def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS, min_group: in
     known = stored(fine.join(groups, _its_group()).select("grp", *names))
     spreads = known.agg(*[F.stddev_pop(n) for n in names]).first()
     floors = [max(f, RELATIVE * (s or 0.0), LEAST) for f, s in zip(FLOORS.values(), spreads)]
-    return stored(groups.join(robust_scatter(known, names, floors, share, steps), "grp"))
+    scatter = robust_scatter(known, names, floors, share)
+    return stored(groups.join(scatter.join(bounds(known, scatter, names, tail), "grp"), "grp"))
+
+
+def _scaled_bounds(p: int, tail: float):
+    """Median and upper quartile of a group's squared distances -> its bound.
+
+    The distances are taken as those of a scaled chi-square number whose scale and degrees of freedom give these two;
+    parts that are 0 in most rows leave fewer degrees than there are parts. Never below the chi-square bound of all parts.
+    """
+    degrees = np.geomspace(p, 0.25, 40)
+    at = np.array([[chi_square_quantile(d, q) for q in (0.5, 0.75, 1 - tail)] for d in degrees])
+    ratio, least = at[:, 1] / at[:, 0], chi_square_quantile(p, 1 - tail)
+
+    def run(frames):
+        for frame in frames:
+            q = np.maximum(np.stack(frame["q"]), 1e-9) if len(frame) else np.empty((0, 2))
+            found = q[:, 0] * np.exp(np.interp(q[:, 1] / q[:, 0], ratio, np.log(at[:, 2] / at[:, 0])))
+            yield pd.DataFrame({"grp": frame["grp"], "bound": np.maximum(found, least)})
+
+    return run
+
+
+def bounds(rows: DataFrame, scatter: DataFrame, names: list[str], tail: float) -> DataFrame:
+    """(grp, bound): the squared distance beyond which a row is an outlier, from the bulk of the group's own distances."""
+    ranks = rows.join(scatter, "grp").groupBy("grp").agg(F.percentile_approx(_distance(names), [0.5, 0.75], 1000).alias("q"))
+    return ranks.mapInPandas(_scaled_bounds(len(names), tail), "grp string, bound double")
 
 
 def _its_group() -> Column:
     return F.col("lang").eqNullSafe(F.col("its_lang")) & F.col("source").eqNullSafe(F.col("its_source"))
 
 
-def _judged(rows: DataFrame, fitted: DataFrame, tail: float) -> DataFrame:
+def _judged(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """``rows`` (with_statistics) with (grp, distance, kept)."""
     scored = rows.join(fitted, _its_group(), "left").withColumns(vector()).withColumn("distance", F.when(~F.col("base_failed"), F.round(_distance(list(FLOORS)), 6)))
-    bound = chi_square_quantile(len(FLOORS), 1 - tail)
-    return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= bound, F.lit(True)))
+    return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("bound"), F.lit(True)))
 
 
 def verdicts(docs: DataFrame, tail: float = TAIL, **options) -> DataFrame:
     """(doc_id, *COUNTS, base_failed, kept, grp, distance) per row of ``docs`` (doc_id, text, lang, source, ...).
 
     base_failed: too few words or too many repeated ones. kept: not base_failed and a squared
-    distance within the chi-square bound (none, for want of an estimate: kept). Options are
+    distance within the group's bound (none, for want of an estimate: kept). Options are
     those of ``fit``.
 
     Null texts and texts without words are empty (base_failed). Null lang or source is a
@@ -232,14 +282,14 @@ def verdicts(docs: DataFrame, tail: float = TAIL, **options) -> DataFrame:
     result. Other columns are not read. Texts are read whole.
     """
     rows = stored(with_statistics(docs.select("doc_id", "lang", "source", "text")))
-    return _judged(rows, fit(rows, **options), tail).select("doc_id", *COUNTS, "base_failed", "kept", "grp", "distance")
+    return _judged(rows, fit(rows, tail=tail, **options)).select("doc_id", *COUNTS, "base_failed", "kept", "grp", "distance")
 
 
 def keep_good(docs: DataFrame, tail: float = TAIL, **options) -> DataFrame:
-    """The rows of ``docs`` that ``verdicts`` keeps, with all their columns.
+    """The rows of ``docs`` that ``verdicts`` keeps, with all their columns; nulls, empty texts and tables as there.
 
     The statistics are counted twice, once for the estimates and once beside each row, so
     that no text is shuffled or stored.
     """
-    fitted = fit(stored(with_statistics(docs.select("lang", "source", "text"))), **options)
-    return _judged(with_statistics(docs.select(F.struct("*").alias("row"), "lang", "source", "text")), fitted, tail).where("kept").select("row.*")
+    fitted = fit(stored(with_statistics(docs.select("lang", "source", "text"))), tail=tail, **options)
+    return _judged(with_statistics(docs.select(F.struct("*").alias("row"), "lang", "source", "text")), fitted).where("kept").select("row.*")
