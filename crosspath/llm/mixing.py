@@ -18,8 +18,9 @@ from .common import WORD, stored
 
 MARGINS = ["source", "lang", "topic"]
 TEMPER = 0.9            # default targets: shares of tokens to this power
-ROUNDS = 8              # at most
-TOLERANCE = 1e-10       # of the factors in one round
+ROUNDS = 200            # of the SQL, which cannot tell when it is done
+TOLERANCE = 1e-13       # of the factors in one round
+STALL = 0.99            # raking ends where three rounds in turn leave more than this of the change before: targets that contradict
 SEED = 2026
 
 
@@ -43,13 +44,14 @@ def default_targets(cells: DataFrame, temper: float = TEMPER) -> dict[str, DataF
     return targets
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(*MARGINS, tokens, weight): the cells' tokens scaled until every margin adds up to its target.
 
     A weight is tokens x a factor of the source x factors of lang and topic. The source's
     factor follows from the other two, so a round only passes on a table of (lang, topic).
-    Values without a target get weight 0. Targets that no weights can meet leave the margin
-    raked last (topic) right and the others as near as ``rounds`` rounds bring them.
+    Rounds go on until no factor changes by more than ``tolerance``, or changes no longer shrink, or after
+    ``rounds``. Values without a target get weight 0. Targets that no weights can meet leave the margin raked
+    last (topic) right and the others as near as raking brings them; ``margins_left`` tells how near.
     """
     cells = cells.select(*MARGINS, "tokens")
     for m in MARGINS:
@@ -65,36 +67,61 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         of_source = F.sum(F.col("tokens") * F.col(by)).over(W.partitionBy("source"))       # the cells of one source
         return joined.withColumn("of_source", of_source).withColumn("weight", F.expr(f"tokens * factor * {sized.format('to_source', 'of_source')}"))
 
-    for _ in range(rounds):
+    before, stalled, done = float("inf"), 0, 0
+    while rounds is None or done < rounds:
+        done += 1
         held = scaled("factor").groupBy("lang", "topic", "to_lang", "to_topic", "factor").agg(F.sum("weight").alias("w"))
         held = held.withColumn("by_lang", F.expr(sized.format("to_lang", "sum(w) over (partition by lang)")))
         held = held.withColumn("by_topic", F.expr(sized.format("to_topic", "sum(w * by_lang) over (partition by topic)")))
         factors = stored(held.selectExpr("lang as l", "topic as t", "to_lang", "to_topic", "factor * by_lang * by_topic as factor",
                                          "factor as before", "greatest(abs(by_lang - 1), abs(by_topic - 1)) as change"))
-        if (factors.agg(F.max("change")).first()[0] or 0.0) <= tolerance:
+        change = factors.agg(F.max("change")).first()[0] or 0.0
+        stalled = stalled + 1 if change > STALL * before else 0
+        if change <= tolerance or stalled == 3:
             break
+        before = change
     return scaled("before").select(*MARGINS, "tokens", "weight")
 
 
+def margins_left(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(margin, value, target, weight, left): every target beside the weight it got; left is what is missing of the target
+    (or too much), as a share of it. Values that occur without a target have target 0 and left null."""
+    parts = []
+    for m in MARGINS:
+        got = raked.groupBy(F.col(m).alias("got_value")).agg(F.sum("weight").alias("weight"))
+        both = targets[m].join(got, F.col("value").eqNullSafe(F.col("got_value")), "full")
+        target, weight = F.coalesce("target", F.lit(0.0)), F.coalesce("weight", F.lit(0.0))
+        parts.append(both.select(F.lit(m).alias("margin"), F.when(F.col("target").isNull(), F.col("got_value")).otherwise(F.col("value")).alias("value"),
+                                 target.alias("target"), weight.alias("weight"), (F.abs(weight - target) / F.nullif(target, F.lit(0.0))).alias("left")))
+    return reduce(DataFrame.union, parts)
+
+
 def _described(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), F.col("lang").alias("lang"), topic(F.col("text")).alias("topic"),
                        tokens(F.col("text")).alias("n_tokens"), F.concat_ws("-", "doc_id", F.md5(F.col("text").cast("binary"))).alias("draw"))
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, seed: int = SEED, at_most: float | None = None) -> DataFrame:
     """(row, source, lang, topic, n_tokens, weight, probability, kept) per row of ``docs`` (doc_id, text, lang, source, ...).
 
     weight: the document's part of the raked weights, in tokens; they add up to all tokens. probability: weight
     per token over the largest weight per token of a cell, so the expected tokens of what is
     kept meet the targets. kept: a number drawn from (seed, doc_id, text) is below it.
 
+    ``at_most``: raise if a margin is left further from its target than this share of it.
+
     Documents without tokens (null and empty texts too) have weight 0 and probability 1.
     Null source or lang is a value of its own. Repeated rows share one draw. An empty table
     gives an empty result.
     """
     described = _described(docs)
     cells = stored(described.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
-    raked = stored(rake(cells, targets or default_targets(cells, temper)))
+    targets = targets or default_targets(cells, temper)
+    raked = stored(rake(cells, targets))
+    if at_most is not None:
+        worst = margins_left(raked, targets).orderBy(F.desc("left")).first()
+        if worst is not None and (worst["left"] or 0.0) > at_most:
+            raise ValueError(f"targets contradict one another: {worst['margin']} {worst['value']!r} gets {worst['weight']:.6g} tokens of {worst['target']:.6g}")
     largest = raked.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0
     per_token = raked.select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("per_token"))
     side = per_token.withColumnsRenamed({m: f"its_{m}" for m in MARGINS})
@@ -111,7 +138,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def sql(documents: str = "documents") -> str:
-    """The same as DuckDB SQL, with every round spelled out."""
+    """The same as DuckDB SQL, with ROUNDS rounds by recursion."""
     steps = [f"""described as materialized (select doc_id, source, lang,
         case when contains(text, 'Licensed under') or contains(text, 'Copyright') then 'legal' when contains(text, ' | ') then 'table'
              when contains(text, '@') then 'contact' else 'prose' end topic,
@@ -119,13 +146,12 @@ def sql(documents: str = "documents") -> str:
              "cells as materialized (select source, lang, topic, sum(n_tokens)::double tokens from described group by all having sum(n_tokens) > 0)"]
     for m in MARGINS:
         steps.append(f"target_{m} as materialized (select {m}, pow(sum(tokens), {TEMPER}) / sum(pow(sum(tokens), {TEMPER})) over () * sum(sum(tokens)) over () target from cells group by {m})")
-    last = "(select *, tokens weight from cells)"
-    for i in range(ROUNDS):
-        for m in MARGINS:
-            steps.append(f"""r{i}_{m} as materialized (select c.source, c.lang, c.topic, tokens, weight * target / sum(weight) over (partition by c.{m}) weight
-                from {last} c join target_{m} t on c.{m} is not distinct from t.{m})""")
-            last = f"r{i}_{m}"
-    return f"""with {", ".join(steps)}, raked as (select *, weight / tokens per_token, max(weight / tokens) over () largest from {last}),
+    last = "r"
+    for m in MARGINS:
+        last = f"""(select c.source, c.lang, c.topic, c.tokens, c.i, c.weight * t.target / sum(c.weight) over (partition by c.{m}) weight
+            from {last} c join target_{m} t on c.{m} is not distinct from t.{m})"""
+    steps.append(f"""r as (select *, tokens weight, 0 i from cells union all select source, lang, topic, tokens, weight, i + 1 i from {last} where i < {ROUNDS})""")
+    return f"""with recursive {", ".join(steps)}, raked as (select *, weight / tokens per_token, max(weight / tokens) over () largest from r where i = {ROUNDS}),
         chances as (select d.*, coalesce(n_tokens * per_token, 0) weight, case when n_tokens = 0 then 1 else per_token / largest end probability
             from described d left join raked r on d.source is not distinct from r.source and d.lang is not distinct from r.lang and d.topic = r.topic)
         select doc_id, source, lang, topic, n_tokens::bigint n_tokens, round(weight, 3) weight, round(probability, 7) probability,
