@@ -5,7 +5,7 @@ import duckdb
 import corpus_pipeline
 from crosspath.llm import mixing, quality, sharding
 
-from .helpers import SF
+from .helpers import SF, documents
 from .test_decontaminate import naive as naive_contamination
 from .test_quality import naive_counts
 from .test_rest import check_shards
@@ -33,3 +33,11 @@ def test_stages_return_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_on_awkward_rows(spark):
+    docs = documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert name == "sharding" or out.columns == docs.columns
+        assert 0 < out.count() <= docs.count()
