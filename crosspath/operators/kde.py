@@ -78,10 +78,10 @@ def standardize(params: DataFrame, moments: DataFrame, cols: list[str] = PARAMET
     """Add z1..zp, the parameters in units of their class's standard deviation."""
     z = [((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd")).alias(f"z{j}") for j, c in enumerate(cols, start=1)]
     params = complete(params, cols)
-    return params.join(_per_class(moments)(moments), "class").select(*[params[c] for c in params.columns], *z)
+    return params.join(few_classes(moments)(moments), "class").select(*[params[c] for c in params.columns], *z)
 
 
-def _per_class(moments: DataFrame) -> Callable[[DataFrame], DataFrame]:
+def few_classes(moments: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """How tables of one short row per class are joined: broadcast if the classes are counted to be few."""
     return F.broadcast if moments.select("class").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
 
@@ -221,7 +221,7 @@ def loo_likelihood(tiles: DataFrame, grid: DataFrame, dims: int = len(PARAMETERS
         part = np.log(np.maximum(_densities(n, hs, sums, dims), MIN_DENSITY)) @ w
         return pd.DataFrame({"class": name, "k": np.arange(len(hs)), "h": hs, "part": part})
 
-    parts = _kernel_sums(tiles, grid, finish, "class string, k bigint, h double, part double", dims, per_class or _per_class(grid))
+    parts = _kernel_sums(tiles, grid, finish, "class string, k bigint, h double, part double", dims, per_class or few_classes(grid))
     return parts.groupBy("class", "k", "h").agg(F.sum("part").alias("ll"))
 
 
@@ -263,7 +263,7 @@ def loo_bandwidth(z: DataFrame, moments: DataFrame, dims: int = len(PARAMETERS))
     point, then the parabola through the last three points. All classes share each round,
     and a round's bracket stays a DataFrame: nothing is collected.
     """
-    tiles, per_class = _tiles(z, dims), _per_class(moments)
+    tiles, per_class = _tiles(z, dims), few_classes(moments)
     sizes = per_class(moments.select("class", "n"))
     grid, size = initial_grid(moments, dims), GRID
     for _ in range(ROUNDS + 1):
@@ -285,7 +285,7 @@ def loo_density(z: DataFrame, bandwidth: DataFrame, dims: int = len(PARAMETERS))
         return pd.DataFrame({"class": name, **{c: x[:, j] for j, c in enumerate(zs)}, "density": _densities(n, hs, sums, dims)[0]})
 
     schema = f"class string, {', '.join(f'{c} double' for c in zs)}, density double"
-    dens = _kernel_sums(_tiles(z, dims), bandwidth.select("class", "n", F.array("h").alias("hs")), finish, schema, dims, _per_class(bandwidth))
+    dens = _kernel_sums(_tiles(z, dims), bandwidth.select("class", "n", F.array("h").alias("hs")), finish, schema, dims, few_classes(bandwidth))
     return z.join(dens, ["class", *zs])
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.random import normal, uniform_index
 from ..schema import DRAWS_PER_CLASS, PARAMETERS, SEED
-from .kde import kernel_index
+from .kde import few_classes, kernel_index
 
 _STEP = 1000
+SHARE = 1 << 16         # draws of one center that one group takes, about
 
 
 def draw_numbers(model: DataFrame, n: int) -> DataFrame:
@@ -43,7 +44,23 @@ def dependent_samples(params: DataFrame, model: DataFrame, n: int = DRAWS_PER_CL
     each class.
     """
     draws = draw_numbers(model, n).withColumn("kernel", uniform_index(seed, F.col("draw"), F.col("n")))
-    return _moved(kernel_index(params).join(draws, ["class", "kernel"]), seed, cols, scale)
+    return _moved(_beside_centers(kernel_index(params), draws, model, n), seed, cols, scale)
+
+
+def _beside_centers(centers: DataFrame, draws: DataFrame, model: DataFrame, n: int) -> DataFrame:
+    """Draws joined to their centers.
+
+    A center of a class of N gets about n / N draws. Where that is more than SHARE, the center is copied to so many
+    parts, and its draws are dealt over them, so a class of two centers and 10^9 draws has no hot key.
+    """
+    key = ["class", "kernel"]
+    if n <= SHARE:
+        return centers.join(draws, key)
+    parts = F.ceil(F.lit(n) / (F.col("n") * SHARE))
+    dealt = draws.withColumn("part", F.pmod(F.col("draw"), parts))
+    copies = centers.join(few_classes(model)(model.select("class", parts.alias("parts"))), "class").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    return copies.join(dealt, [*key, "part"]).drop("part")
 
 
 def conditional_samples(params: DataFrame, model: DataFrame, kernel: int, n: int = DRAWS_PER_CLASS,

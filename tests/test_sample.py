@@ -142,3 +142,14 @@ def test_far_tiles_are_skipped_and_pairs_evaluated_once(spark, monkeypatch):
     tiles = kde._tiles(z, 3)
     groups = tiles.groupBy("grp").agg(F.min(F.col("low")[0]).alias("low"), F.max(F.col("high")[0]).alias("high")).collect()
     assert asked and len(groups) >= 8 and sum(g.high - g.low > 1 for g in groups) <= 1      # groups are compact: at most one spans the gap
+
+
+def test_copies_of_centers_do_not_change_the_draws(spark, groups, monkeypatch):
+    df = params(spark, {"b": [[0, 0, 0.1], [1, 2, 0.2]], "a": groups["a"]})
+    model = kde.fit_kde(df)
+    columns = ["class", "draw", "kernel", *PARAMETERS, "input_ordinal"]
+    plain = sampling.dependent_samples(df, model, 1500, 3).select(columns).toPandas().sort_values(["class", "draw"]).reset_index(drop=True)
+    monkeypatch.setattr(sampling, "SHARE", 100)
+    split = sampling.dependent_samples(df, model, 1500, 3)
+    pd.testing.assert_frame_equal(plain, split.select(columns).toPandas().sort_values(["class", "draw"]).reset_index(drop=True))
+    assert split.columns == sampling.dependent_samples(df, model, 50, 3).columns
