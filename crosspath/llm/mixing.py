@@ -1,8 +1,9 @@
 """Mix sources to target weights by iterative proportional fitting.
 
 Documents are summed into cells (source, lang, topic) of tokens. The cells' weights are
-raked to the three target marginals in turn until they fit, and a document is kept with a
-probability in proportion to weight per token of its cell. Built-in functions only.
+raked to the three target marginals in turn until they fit. Weights per token are scaled to a
+budget of kept tokens, and a document is kept with that probability, or whole where it passes
+one. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .common import WORD, stored
 
 MARGINS = ["source", "lang", "topic"]
 TEMPER = 0.9            # default targets: shares of tokens to this power
+KEEP = 0.75             # share of all tokens that is kept
 ROUNDS = 200            # of the SQL, which cannot tell when it is done
 TOLERANCE = 1e-13       # of the factors in one round
 STALL = 0.99            # raking ends where three rounds in turn leave more than this of the change before: targets that contradict
@@ -96,25 +98,50 @@ def margins_left(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), F.col("lang").alias("lang"), topic(F.col("text")).alias("topic"),
+def scale(raked: DataFrame, keep: float = KEEP) -> float:
+    """What weights per token are multiplied by, so that probabilities of at most 1 keep ``keep`` of all tokens.
+
+    Cells that would pass 1 are kept whole and the rest of the budget goes to the others, until
+    no further cell passes; the factor only grows, so a cell kept whole stays so. If the cells that have a weight are fewer tokens than
+    the budget, all of them are kept. One small aggregate of the cells per turn.
+    """
+    per_token = F.col("weight") / F.col("tokens")
+    factor, held = 0.0, -1
+    while True:
+        whole = F.coalesce(per_token * F.lit(factor) >= 1, F.lit(False))
+        total, kept, n, left, least = raked.agg(F.sum("tokens"), F.sum(F.when(whole, F.col("tokens"))), F.count(F.when(whole, 1)),
+                                                F.sum(F.when(~whole, F.col("weight"))), F.min(F.when(F.col("weight") > 0, per_token))).first()
+        if n == held or least is None:
+            return factor
+        if not left:
+            return 1 / least
+        factor, held = max(factor, (keep * total - (kept or 0)) / left), n
+
+
+def _described(docs: DataFrame, about: Column) -> DataFrame:
+    return docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), F.col("lang").alias("lang"), about.alias("topic"),
                        tokens(F.col("text")).alias("n_tokens"), F.concat_ws("-", "doc_id", F.md5(F.col("text").cast("binary"))).alias("draw"))
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, seed: int = SEED, at_most: float | None = None) -> DataFrame:
-    """(row, source, lang, topic, n_tokens, weight, probability, kept) per row of ``docs`` (doc_id, text, lang, source, ...).
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, seed: int = SEED, at_most: float | None = None,
+          keep: float = KEEP, about: Column | None = None) -> DataFrame:
+    """(row, source, lang, topic, n_tokens, weight, epochs, probability, kept) per row of ``docs`` (doc_id, text, lang, source, ...).
 
-    weight: the document's part of the raked weights, in tokens; they add up to all tokens. probability: weight
-    per token over the largest weight per token of a cell, so the expected tokens of what is
-    kept meet the targets. kept: a number drawn from (seed, doc_id, text) is below it.
+    weight: the document's part of the raked weights, in tokens; they add up to all tokens. epochs: weight
+    per token times ``scale``. probability: epochs, at most 1. The expected tokens of what is kept are ``keep`` of all tokens,
+    however rare the rarest cell. Where no epochs pass 1 they meet the targets; cells that are too rare for their target are kept whole,
+    and reading their documents ``epochs`` times meets it. kept: a number drawn from (seed, doc_id, text) is below the probability.
 
     ``at_most``: raise if a margin is left further from its target than this share of it.
+    ``about``: the topic, an expression over ``docs``; by default that of ``topic``.
 
-    Documents without tokens (null and empty texts too) have weight 0 and probability 1.
+    Documents without tokens (null and empty texts too) have weight 0, epochs 1 and probability 1.
     Null source or lang is a value of its own. Repeated rows share one draw. An empty table
     gives an empty result.
     """
-    described = _described(docs)
+    if not 0 < keep <= 1:
+        raise ValueError("keep is a share of the tokens: above 0, at most 1")
+    described = _described(docs, topic(F.col("text")) if about is None else about)
     cells = stored(described.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
     targets = targets or default_targets(cells, temper)
     raked = stored(rake(cells, targets))
@@ -122,14 +149,15 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper:
         worst = margins_left(raked, targets).orderBy(F.desc("left")).first()
         if worst is not None and (worst["left"] or 0.0) > at_most:
             raise ValueError(f"targets contradict one another: {worst['margin']} {worst['value']!r} gets {worst['weight']:.6g} tokens of {worst['target']:.6g}")
-    largest = raked.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0
+    factor = scale(raked, keep)
     per_token = raked.select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("per_token"))
     side = per_token.withColumnsRenamed({m: f"its_{m}" for m in MARGINS})
     condition = reduce(lambda x, y: x & y, [F.col(m).eqNullSafe(F.col(f"its_{m}")) for m in MARGINS])
     out = described.join(side, condition, "left")
-    chance = F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(F.col("per_token") / F.lit(largest))
+    epochs = F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(F.col("per_token") * F.lit(factor))
+    chance = F.least(epochs, F.lit(1.0))
     return out.select("row", *MARGINS, "n_tokens", F.coalesce(F.col("n_tokens") * F.col("per_token"), F.lit(0.0)).alias("weight"),
-                      chance.alias("probability"), (uniform(seed, F.col("draw"), "mix") < chance).alias("kept"))
+                      epochs.alias("epochs"), chance.alias("probability"), (uniform(seed, F.col("draw"), "mix") < chance).alias("kept"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -138,7 +166,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def sql(documents: str = "documents") -> str:
-    """The same as DuckDB SQL, with ROUNDS rounds by recursion."""
+    """The same as DuckDB SQL, with ROUNDS rounds by recursion. The scale is the largest level that any number of whole cells,
+    those of the largest weight per token first, leaves to the others."""
     steps = [f"""described as materialized (select doc_id, source, lang,
         case when contains(text, 'Licensed under') or contains(text, 'Copyright') then 'legal' when contains(text, ' | ') then 'table'
              when contains(text, '@') then 'contact' else 'prose' end topic,
@@ -151,8 +180,12 @@ def sql(documents: str = "documents") -> str:
         last = f"""(select c.source, c.lang, c.topic, c.tokens, c.i, c.weight * t.target / sum(c.weight) over (partition by c.{m}) weight
             from {last} c join target_{m} t on c.{m} is not distinct from t.{m})"""
     steps.append(f"""r as (select *, tokens weight, 0 i from cells union all select source, lang, topic, tokens, weight, i + 1 i from {last} where i < {ROUNDS})""")
-    return f"""with recursive {", ".join(steps)}, raked as (select *, weight / tokens per_token, max(weight / tokens) over () largest from r where i = {ROUNDS}),
-        chances as (select d.*, coalesce(n_tokens * per_token, 0) weight, case when n_tokens = 0 then 1 else per_token / largest end probability
+    return f"""with recursive {", ".join(steps)}, raked as (select *, weight / tokens per_token from r where i = {ROUNDS}),
+        levels as (select ({KEEP} * sum(tokens) over () - coalesce(sum(tokens) over richer, 0))
+            / (sum(weight) over () - coalesce(sum(weight) over richer, 0)) level from raked
+            window richer as (order by per_token desc, source, lang, topic rows between unbounded preceding and 1 preceding)),
+        chances as (select d.*, coalesce(n_tokens * per_token, 0) weight,
+            case when n_tokens = 0 then 1 else per_token * (select max(level) from levels) end epochs
             from described d left join raked r on d.source is not distinct from r.source and d.lang is not distinct from r.lang and d.topic = r.topic)
-        select doc_id, source, lang, topic, n_tokens::bigint n_tokens, round(weight, 3) weight, round(probability, 7) probability,
-            (('0x' || substr(md5(concat_ws(':', '{SEED}', draw, 'mix')), 1, 8))::bigint + 0.5) / 4294967296.0 < probability kept from chances"""
+        select doc_id, source, lang, topic, n_tokens::bigint n_tokens, round(weight, 3) weight, round(epochs, 6) epochs, round(least(epochs, 1), 7) probability,
+            (('0x' || substr(md5(concat_ws(':', '{SEED}', draw, 'mix')), 1, 8))::bigint + 0.5) / 4294967296.0 < least(epochs, 1) kept from chances"""

@@ -47,7 +47,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (mixing.mixed(read(spark, sf_dir, "documents"))
             .select(F.col("row.doc_id").alias("doc_id"), *mixing.MARGINS, "n_tokens", F.round("weight", 3).alias("weight"),
-                    F.round("probability", 7).alias("probability"), "kept"))
+                    F.round("epochs", 6).alias("epochs"), F.round("probability", 7).alias("probability"), "kept"))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
