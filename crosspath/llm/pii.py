@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over the text finds anchors: at-signs, address schemes, digit pairs
-and dots between digits, plus-digits, and identifier cues. A small deterministic parser per
+and dots between digits, plus-digits, country codes of bank accounts, and identifier cues. A small deterministic parser per
 kind expands an anchor to the borders of its span and validates it. Matches of a kind never
 overlap, and a failing one is dropped without a second try.
 """
@@ -21,14 +21,23 @@ BASE = ["email", "ip", "card", "phone"]
 MORE = ["url", "iban", "account"]       # URLs with user data, bank accounts, and values after an identifier cue
 KINDS = BASE + MORE
 # Words that announce an identifier (fixed values).
-CUES = ["account", "acct", "iban", "login", "passwd", "password", "secret", "token", "user", "userid", "username"]
+CUES = ["access_key", "account", "acct", "api-key", "api_key", "apikey", "login", "passwd", "password", "private_key", "secret", "secret_key", "token",
+        "user", "userid", "username"]
+# Length of a bank account number of ISO 13616 by country (fixed values).
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15,
+    "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USER_URL = re.compile(r"://[^\s/@:<>\"']+(?::[^\s/@<>\"']*)?@[^\s<>\"']+")
-_IBAN = re.compile(r"[ :#=]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])*")
 _VALUE = re.compile(r"[ \t]*[:=#][ \t]*[\"']?([A-Za-z0-9][A-Za-z0-9_.-]{4,}[A-Za-z0-9])")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -48,6 +57,17 @@ def _iban_valid(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _iban_end(text: str, at: int) -> int | None:
+    """Where the bank account that starts at ``at`` ends: as many characters as its country has, in blocks or not."""
+    m = _IBAN.match(text, at, at + 2 * IBAN_LENGTH.get(text[at:at + 2], 0))
+    if m is None or (at and text[at - 1].isalnum()):
+        return None
+    ends = [i for i in range(at, m.end()) if text[i] != " "][:IBAN_LENGTH[text[at:at + 2]]]
+    end = ends[-1] + 1
+    complete = len(ends) == IBAN_LENGTH[text[at:at + 2]] and not text[end:end + 1].isalnum()
+    return end if complete and _iban_valid(text[at:end].replace(" ", "")) else None
+
+
 def automaton() -> ahocorasick.Automaton:
     """All anchors; each has its kind and its length."""
     anchors = {"@": "email", "://": "url"}
@@ -55,6 +75,7 @@ def automaton() -> ahocorasick.Automaton:
         anchors["+" + a] = "phone"
         for b in "0123456789":
             anchors |= {a + b: "card", f"{a} {b}": "card", f"{a}-{b}": "card", f"{a}.{b}": "ip"}
+    anchors |= {country + a: "iban" for country in IBAN_LENGTH for a in "0123456789"}
     for cue in CUES:
         for form in (cue, cue.capitalize(), cue.upper()):
             anchors[form] = "cue"
@@ -101,12 +122,11 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]
             start = _left(text, at, _SCHEME, done[kind])
             if start < at and (m := _USER_URL.match(text, at)):
                 take(kind, start, m.end())
-        else:
-            if m := _IBAN.match(text, last + 1):
-                if m.start(1) >= done["iban"] and _iban_valid(m[1].replace(" ", "")):
-                    take("iban", m.start(1), m.end(1))
-            elif (m := _VALUE.match(text, last + 1)) and m.start(1) >= done["account"] and not _DIGITS.isdisjoint(m[1]):
-                take("account", m.start(1), m.end(1))
+        elif kind == "iban":
+            if at >= done[kind] and (end := _iban_end(text, at)):
+                take(kind, at, end)
+        elif (m := _VALUE.match(text, last + 1)) and m.start(1) >= done["account"] and not _DIGITS.isdisjoint(m[1]) and not _iban_end(text, m.start(1)):
+            take("account", m.start(1), m.end(1))
     return [(k, *s) for k in KINDS for s in spans[k]]
 
 
