@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -31,6 +32,18 @@ def test_later_windows_go(spark):
     assert linededup.deduplicated(documents(spark, [])).count() == 0
 
 
+def test_long_texts_cost_in_proportion(spark):
+    """Two texts of 39,999 lines, every second window repeated: the places are cut out, not searched for line by line."""
+    lines = [f"line {i}" for i in range(39_999)]
+    other = "\n".join(x if i // 3 % 2 else x + "!" for i, x in enumerate(lines))
+    start = time.time()
+    got = cleaned(spark, [(1, "\n".join(lines)), (2, other)])
+    assert time.time() - start < 20
+    assert got[1] == (39_999, 0, "\n".join(lines))
+    kept = "\n".join(x + "!" for i, x in enumerate(lines) if i // 3 % 2 == 0)
+    assert got[2] == (39_999, 39_999 - kept.count("\n") - 1, kept)
+
+
 def check_shards(rows, want, shards):
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in want)
     assert all(r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < shards for r in rows)
