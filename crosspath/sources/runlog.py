@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..staging import stage
+from ..staging import stage, store
 
 # Column name patterns of the log, as the simulator writes them (fixed values).
 HEADER_START = "Index"
@@ -14,6 +15,10 @@ ENTITY = r"^#(\d+) Entity_Name \[-\]$"
 FIELDS = {"entity": "Entity_Name [-]", "x": "World_Position_X [m]", "y": "World_Position_Y [m]",
           "heading_rad": "World_Heading_Angle [rad]", "speed_mps": "Current_Speed [m/s]"}
 
+CHUNK = 1 << 16         # lines of a split that learn of the lines before them together
+IS_HEADER = f"startswith(trim(line), '{HEADER_START}')"
+IS_FULL = "trim(line) <> ''"
+
 
 def read_run_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of many logs: (file, line, ord), where ord is the order inside a file.
@@ -26,38 +31,62 @@ def read_run_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
                                                   F.monotonically_increasing_id().alias("row")).alias("ord")))
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` with (split, row): the two parts of ``ord``, and part: stretches of CHUNK rows of one split."""
+    split, row = ("ord.split", "ord.row") if isinstance(lines.schema["ord"].dataType, T.StructType) else ("0L", "ord")
+    return lines.selectExpr("*", f"{split} as split", f"{row} as row", f"floor({row} / {CHUNK}) as part")
+
+
+def carried(lines: DataFrame) -> DataFrame:
+    """(file, split, part, header_ord, head, top): what each stretch of a log needs to know of the lines before it.
+
+    lines: (file, line, split, row, part). head is the file's header line and top its first line with data after
+    that. Both are found from one row per stretch and the lines of at most two stretches per file; the stretches that end
+    before the header, and logs without one, are left out.
+    """
+    place = ["file", "split", "part"]
+    parts = stage(lines.groupBy(*place).agg(F.min(F.when(F.expr(IS_HEADER), F.col("row"))).alias("header"), F.max(F.when(F.expr(IS_FULL), F.col("row"))).alias("last")))
+    order = F.struct("split", "part")
+    found = parts.where("header is not null").groupBy("file").agg(F.min(F.struct("split", "part", F.col("header").alias("row"))).alias("header_ord"))
+    open_parts = stage(parts.join(found, "file").where(order >= F.struct("header_ord.split", "header_ord.part")))
+    ahead = "(split, part) > (header_ord.split, header_ord.part)"
+    first = open_parts.where(f"{ahead} and last is not null").groupBy("file").agg(F.min(order).alias("o")).selectExpr("file", "o.split", "o.part")
+    opened = open_parts.where(f"not ({ahead})").select(*place).unionByName(first)
+    at = F.struct("split", "part", "row")
+    read = lines.join(opened, place).join(found, "file").where((at == F.col("header_ord")) | ((at > F.col("header_ord")) & F.expr(IS_FULL)))
+    known = read.groupBy("file").agg(F.min(F.when(at == F.col("header_ord"), F.col("line"))).alias("head"),
+                                     F.min(F.when(at > F.col("header_ord"), F.struct(at.alias("at"), "line"))).alias("top"))
+    return open_parts.join(known.select("file", "head", "top.line"), "file").selectExpr(*place, "header_ord", "head", "line as top")
+
+
 def tidy_run_log(lines: DataFrame, min_frame: Column | int, fps: float) -> DataFrame:
     """(file, entity, time_s, frame, x, y, heading_deg, speed_mps), one row per entity and step.
 
-    lines: (file, line, ord, ...). Everything up to the first line that starts with
+    lines: (file, line, ord, ...), where ord is a number or that of ``read_run_lines``. Everything up to the first line that starts with
     ``Index`` is skipped; that line is the header. An entity keeps the name of its first
     row. ``min_frame`` may be a column of ``lines``; frame = min_frame + time_s * fps.
-    The lines are stored once, so header and data see the same order. Where an entity's
-    columns stand is found once per file.
+    The lines are stored once, so header and data see the same order. Lines meet the header
+    and the names by stretches of a file split, so one huge log is spread over all tasks.
     """
-    lines = stage(lines)
-    is_header = F.trim("line").startswith(HEADER_START)
-    names = F.transform(F.split("line", ","), lambda cell: F.trim(cell))
-    first = F.min(F.when(is_header, F.struct("ord", names.alias("names"))))
-    header = lines.groupBy("file").agg(first.alias("h")).where("h is not null").select("file", F.col("h.ord").alias("header_ord"), "h.names")
-    number = f"regexp_extract(name, r'{ENTITY}', 1)"
-    place = "cast(array_position(names, concat('#', {n}, ' {label}')) as int)"
-    fields = ", ".join(f"""'{c}', {place.format(n=number, label=label)}""" for c, label in FIELDS.items())
-    header = header.selectExpr(
-        "file", "header_ord", f"cast(array_position(names, '{TIME}') as int) as time_at",
-        f"transform(filter(names, name -> name rlike r'{ENTITY}'), name -> named_struct('n', {number}, {fields})) as entities")
     base = F.lit(min_frame).cast("double") if isinstance(min_frame, int) else min_frame.cast("double")
-    data = (lines.withColumn("min_frame", base).join(header, "file")
-            .where((F.col("ord") > F.col("header_ord")) & (F.trim("line") != ""))
-            .withColumn("values", F.transform(F.split("line", ","), lambda cell: F.trim(cell))))
-    rows = data.select("file", "ord", "min_frame", "values", "time_at", F.explode("entities").alias("at"))
+    lines = store(_numbered(lines.select("file", "line", "ord", base.alias("min_frame"))).drop("ord"))
+    place = ["file", "split", "part"]
+    known = carried(lines).selectExpr(*place, "header_ord", "transform(split(head, ','), c -> trim(c)) as names", "transform(split(top, ','), c -> trim(c)) as firsts")
+    number = f"regexp_extract(name, r'{ENTITY}', 1)"
+    position = "cast(array_position(names, concat('#', {n}, ' {label}')) as int)"
+    fields = ", ".join(f"""'{c}', {position.format(n=number, label=label)}""" for c, label in FIELDS.items())
 
-    def value(position: str) -> str:
-        return f"if({position} > 0, get(values, {position} - 1), null)"
+    def value(of: str, at: str) -> str:
+        return f"if({at} > 0, get({of}, {at} - 1), null)"
 
-    wide = rows.selectExpr("file", "at.n as n", "ord", "min_frame", f"cast({value('time_at')} as double) as time_s", f"{value('at.entity')} as entity",
-                           *[f"cast(nullif({value('at.' + c)}, '') as double) as {c}" for c in FIELDS if c != "entity"])
-    named = wide.groupBy("file", "n").agg(F.min(F.struct("ord", "entity")).alias("first"))
-    return (wide.drop("entity").join(named.select("file", "n", "first.entity"), ["file", "n"])
+    known = known.selectExpr(*place, "header_ord", "firsts", f"cast(array_position(names, '{TIME}') as int) as time_at",
+                             f"transform(filter(names, name -> name rlike r'{ENTITY}'), name -> named_struct({fields})) as entities")
+    known = known.selectExpr(*place, "header_ord", "time_at", f"""transform(entities, e -> named_struct({", ".join(f"'{c}', e.{c}" for c in FIELDS if c != 'entity')},
+                                 'name', {value('firsts', 'e.entity')})) as entities""")
+    data = (lines.where(IS_FULL).join(known, place).where(F.struct("split", "part", "row") > F.col("header_ord"))
+            .withColumn("values", F.transform(F.split("line", ","), lambda cell: F.trim(cell))))
+    rows = data.select("file", "min_frame", "values", "time_at", F.explode("entities").alias("at"))
+    return (rows.selectExpr("file", "at.name as entity", "min_frame", f"cast({value('values', 'time_at')} as double) as time_s",
+                            *[f"cast(nullif({value('values', 'at.' + c)}, '') as double) as {c}" for c in FIELDS if c != "entity"])
             .select("file", "entity", "time_s", (F.col("min_frame") + F.col("time_s") * float(fps)).alias("frame"),
                     "x", "y", F.degrees("heading_rad").alias("heading_deg"), "speed_mps"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crosspath.operators import kde, sampling
 from crosspath.plans.extract import extract_params
 from crosspath.plans.generate import control_points
+from crosspath.sources import runlog
 from crosspath.sources.runlog import tidy_run_log
 from crosspath.sources.scenarios import check_scenarios, class_settings, read_scenarios, with_class_settings
 from crosspath.operators.blocks import block_of
@@ -98,3 +99,20 @@ print("bandwidth", kde.fit_kde(rows).first().h)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "bandwidth" in done.stdout, done.stderr[-2000:]
+
+
+def test_one_run_log_over_many_stretches(spark, monkeypatch):
+    """A log with a late header, an early blank stretch after it and a second header-like line, cut into stretches of 4 lines."""
+    monkeypatch.setattr(runlog, "CHUNK", 4)
+    head = "Index [-], TimeStamp [s], #1 Entity_Name [-], #1 World_Position_X [m], #2 Entity_Name [-], #2 World_Position_X [m]"
+    body = [f"{i}, {i / 10}, {'a' if i == 0 else 'x'}, {i}, b, {-i}" for i in range(50)]
+    text = ["0, 0, not, 1, yet, 2"] * 6 + [head, "", " ", "", "", "", ""] + body + ["Index of nothing"]
+    lines = [("f", i, line) for i, line in enumerate(text)] + [("no header", i, "0, 1") for i in range(9)] + [("bare", 0, head)]
+    for order in ("ord", "named_struct('split', ord div 10 * 100, 'row', (9 - ord div 10) * 1000 + ord % 10)"):
+        rows = spark.createDataFrame(lines, "file string, ord bigint, line string").selectExpr("file", f"{order} as ord", "line", "5 as start").repartition(3)
+        got = tidy_run_log(rows, F.col("start"), 10.0)
+        assert "Window" not in got._jdf.queryExecution().toString()
+        kept = sorted((r.entity, r.x) for r in got.where("time_s is not null").collect())
+        assert kept == sorted([("a", float(i)) for i in range(50)] + [("b", float(-i)) for i in range(50)])
+        assert {r.frame - r.time_s * 10 for r in got.where("time_s is not null").collect()} == {5.0}
+        assert got.where("time_s is null").count() == 2 and {r.file for r in got.collect()} == {"f"}
