@@ -26,6 +26,7 @@ from ..staging import BROADCAST_ROWS, stage
 
 TILE = 1024
 RUN = 8                 # tiles in a group
+STRIP = 64              # vectors of a tile that are met with another tile at once, so that the kernels stay in the cache
 ZERO = -745.2            # exp of anything below is 0.0
 SPAN = 16.0              # the curve tells vectors apart within so many standard deviations; beyond, boxes are only larger
 
@@ -150,20 +151,23 @@ def _pair_sums(dims: int):
                 if a == b and j < i:
                     continue
                 gap = np.maximum(0.0, np.maximum(pdf["low"].iloc[j] - pdf["high"].iloc[i], pdf["low"].iloc[i] - pdf["high"].iloc[j]))
-                near = np.flatnonzero(scale * (gap @ gap) > ZERO)
-                if not len(near):
+                if not (scale * (gap @ gap) > ZERO).any():
                     continue
                 (x, w), (y, v) = ((p[:, :dims], p[:, dims]) for p in (points[i], points[j]))
-                d2 = ((x[:, None, :] - y[None, :, :]) ** 2).sum(-1)
                 if i == j:
                     # A vector leaves itself out but keeps its copies, which are at distance 0.
-                    np.fill_diagonal(d2, np.inf)
                     sums[i] += w - 1.0
-                for k in near:
-                    kernel = np.exp(d2 * scale[k])
-                    sums[i][k] += kernel @ v
-                    if i != j:
-                        sums[j][k] += w @ kernel
+                for at in range(0, len(x), STRIP):
+                    strip = slice(at, at + STRIP)
+                    d2 = sum((x[strip, None, c] - y[None, :, c]) ** 2 for c in range(dims))
+                    if i == j:
+                        d2[np.arange(len(d2)), at + np.arange(len(d2))] = np.inf
+                    kernel = np.empty_like(d2)
+                    for k in np.flatnonzero(scale * d2.min() > ZERO):
+                        np.exp(np.multiply(d2, scale[k], out=kernel), out=kernel)
+                        sums[i][k, strip] += kernel @ v
+                        if i != j:
+                            sums[j][k] += w[strip] @ kernel
         return pd.DataFrame({"class": pdf["class"], "tile": pdf["tile"], "n": pdf["n"], "hs": pdf["hs"],
                              "points": pdf["points"] if a == b else None, "sums": [s.ravel() for s in sums]})
 
@@ -204,7 +208,10 @@ def _kernel_sums(tiles: DataFrame, grid: DataFrame, finish: Callable, schema: st
     pairs = (groups.withColumnRenamed("grp", "a").join(other, "class").where("a <= b").join(per_class(grid), "class")
              .where(f"-0.5D * ({gap}) / power(array_max(hs), 2) > {ZERO}D").select("class", "n", "hs", "a", "b"))
     sided = pairs.selectExpr("*", "explode(if(a = b, array(a), array(a, b))) as grp")
-    parts = tiles.join(sided, ["class", "grp"]).groupBy("class", "a", "b").applyInPandas(_pair_sums(dims), _SUMS)
+    # A number of partitions is given, as the work is not in the bytes, by which Spark would put all pairs into a few tasks.
+    tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = (tiles.join(sided, ["class", "grp"]).repartition(tasks, "class", "a", "b")
+             .groupBy("class", "a", "b").applyInPandas(_pair_sums(dims), _SUMS))
     return parts.repartition("class", "tile").sortWithinPartitions("class", "tile").mapInPandas(_added_up(finish), schema)
 
 

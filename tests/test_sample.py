@@ -72,6 +72,29 @@ def test_copies_count_in_the_likelihood(spark, groups):
         assert row.ll == pytest.approx(loo(v, row.h), rel=1e-9)
 
 
+def test_pairs_of_groups_are_spread_over_tasks(spark, groups, monkeypatch, tmp_path):
+    """Few bytes are much work here: pairs must not be put into one task by their size."""
+    original = kde._pair_sums
+
+    def noted(dims):
+        run, folder = original(dims), str(tmp_path)
+
+        def noting(pdf):
+            from pyspark import TaskContext
+            open(f"{folder}/{TaskContext.get().partitionId()}", "w").close()
+            return run(pdf)
+
+        return noting
+
+    monkeypatch.setattr(kde, "_pair_sums", noted)
+    monkeypatch.setattr(kde, "TILE", 4)
+    monkeypatch.setattr(kde, "RUN", 1)
+    df = params(spark, {"a": groups["a"]})
+    moments = kde.usable_moments(df)
+    kde.loo_likelihood(kde._tiles(kde.standardize(df, moments), 3), kde.initial_grid(moments)).count()
+    assert len(list(tmp_path.iterdir())) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_tiles_do_not_change_the_density(spark, groups, monkeypatch):
     df = params(spark, {"a": groups["a"]})
     z = kde.standardize(df, kde.usable_moments(df))
