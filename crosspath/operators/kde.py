@@ -6,13 +6,16 @@ class are ordered along a k-d curve and cut into tiles of up to TILE vectors, an
 that follow one another travel as a group. A task evaluates one pair of groups with array arithmetic, for all
 bandwidths of a search round at once; as the kernel is symmetric, each pair is evaluated once and serves
 both sides. Pairs of groups and of tiles so far apart that every kernel is exactly 0.0 in double precision are
-skipped. Sums return as one array per tile, and are added up tile by tile. A class of any size, or one that holds most of
+skipped, and so are, strip by strip and bandwidth by bandwidth, pairs that a sum provably cannot feel: every vector knows how far
+its nearest neighbour in the tile is at most, which bounds its sum from below, and all that is left out of a sum is together less than
+2^-60 of it, far below the last bit of a double. A vector without a near neighbour keeps everything. Sums return as one array per tile, and are added up tile by tile. A class of any size, or one that holds most of
 the data, is spread over (groups x groups / 2) independent tasks. The work is quadratic in the distinct
 vectors of a class, as the estimator is defined; nothing is sampled or cut off.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,12 +28,17 @@ from ..schema import PARAMETERS
 from ..staging import BROADCAST_ROWS, stage
 
 TILE = 1024
-RUN = 8                 # tiles in a group
+RUN = 4                 # tiles in a group
 STRIP = 64              # vectors of a tile that are met with another tile at once, so that the kernels stay in the cache
+MET = 16                # strips of the other tile that it meets at once
+CHAINS = 4              # bandwidths of the search's first round in which the rate 1 / (2 h^2) doubles
+SQUARINGS = 8           # a kernel is computed anew after so many, as each doubles its relative error
+SAME = 1e-14            # rates that differ by less are equal
+SLIGHT = 60 * np.log(2)  # terms that make up less than exp(-SLIGHT) of a sum together do not change it
 ZERO = -745.2            # exp of anything below is 0.0
 SPAN = 16.0              # the curve tells vectors apart within so many standard deviations; beyond, boxes are only larger
 
-GRID = 60                # bandwidths in the first search round
+GRID = 60                # bandwidths of the plain grid
 REFINE = 16              # bandwidths in each later round
 ROUNDS = 3
 SPREAD = 20.0            # the first round spans h0 / SPREAD .. h0 * SPREAD
@@ -95,7 +103,17 @@ def _curve(dims: int) -> str:
     return f"aggregate(sequence(0, {bits - 1}), 0L, (acc, i) -> acc | {mixed})"
 
 
-_TILE = "class string, tile bigint, points array<double>, low array<double>, high array<double>"
+_TILE = "class string, tile bigint, points array<double>, low array<double>, high array<double>, near array<double>"
+
+
+def _nearest(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Per strip of a tile the largest squared distance of a vector to its nearest neighbour in the tile (a copy: 0, none: inf)."""
+    largest = []
+    for at in range(0, len(x), STRIP):
+        d2 = sum((x[at:at + STRIP, None, c] - x[None, :, c]) ** 2 for c in range(x.shape[1]))
+        d2[np.arange(len(d2)), at + np.arange(len(d2))] = np.where(w[at:at + STRIP] > 1, 0.0, np.inf)
+        largest.append(d2.min(1).max())
+    return np.array(largest)
 
 
 def _cut_tiles(dims: int):
@@ -105,7 +123,7 @@ def _cut_tiles(dims: int):
 
         def made(part: pd.DataFrame) -> tuple:
             x = part.iloc[:, 1:].to_numpy(np.float64)
-            return part["class"].iloc[0], x.ravel(), x[:, :dims].min(0), x[:, :dims].max(0)
+            return part["class"].iloc[0], x.ravel(), x[:, :dims].min(0), x[:, :dims].max(0), _nearest(x[:, :dims], x[:, dims])
 
         for frame in frames:
             frame, rows = frame if rest is None else pd.concat([rest, frame]), []
@@ -117,15 +135,15 @@ def _cut_tiles(dims: int):
                     rows.append((*made(frame.iloc[start:min(end, start + TILE)]), number + len(rows)))
                     start = min(end, start + TILE)
             rest, number = frame.iloc[start:], number + len(rows)
-            yield pd.DataFrame(rows, columns=["class", "points", "low", "high", "tile"])[["class", "tile", "points", "low", "high"]]
+            yield pd.DataFrame(rows, columns=["class", "points", "low", "high", "near", "tile"])[["class", "tile", "points", "low", "high", "near"]]
         if rest is not None and len(rest):
-            yield pd.DataFrame([(*made(rest), number)], columns=["class", "points", "low", "high", "tile"])[["class", "tile", "points", "low", "high"]]
+            yield pd.DataFrame([(*made(rest), number)], columns=["class", "points", "low", "high", "near", "tile"])[["class", "tile", "points", "low", "high", "near"]]
 
     return run
 
 
 def _tiles(z: DataFrame, dims: int) -> DataFrame:
-    """(class, tile, grp, points, low, high), stored: distinct vectors with their multiplicity, in tiles with their boxes."""
+    """(class, tile, grp, points, low, high, near), stored: distinct vectors with their multiplicity, in tiles with their boxes."""
     zs = [f"z{j}" for j in range(1, dims + 1)]
     distinct = z.where("class is not null").groupBy("class", *zs).agg(F.count("*").cast("double").alias("w")).withColumn("place", F.expr(_curve(dims)))
     ordered = distinct.repartitionByRange("class", "place").sortWithinPartitions("class", "place", *zs).select("class", *zs, "w")
@@ -138,38 +156,94 @@ def _tiles(z: DataFrame, dims: int) -> DataFrame:
 _SUMS = "class string, tile bigint, n bigint, hs array<double>, points array<double>, sums array<double>"
 
 
+def _gap2(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
+    """Squared distances between all boxes of one side and all of the other."""
+    gap = np.maximum(0.0, np.maximum(other_low[None] - high[:, None], low[:, None] - other_high[None]))
+    return (gap * gap).sum(-1)
+
+
+def _evenly(t: np.ndarray) -> bool:
+    """Whether the rates t = 1 / (2 h^2) are evenly spaced, up to rounding."""
+    return len(t) > 2 and bool((np.abs(np.diff(t) - (t[-1] - t[0]) / (len(t) - 1)) <= SAME * t[1:]).all())
+
+
+def _from_before(t: np.ndarray) -> list[int]:
+    """For every rate how often its kernel was squared since it was computed, if it is twice the rate CHAINS places before; else 0."""
+    squared = [0] * len(t)
+    for k in range(CHAINS, len(t)):
+        if abs(t[k] - 2 * t[k - CHAINS]) <= SAME * t[k] and squared[k - CHAINS] < SQUARINGS:
+            squared[k] = squared[k - CHAINS] + 1
+    return squared
+
+
+def _kernels(d2: np.ndarray, t: np.ndarray, upto: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, exp(-t[k] d2) of the first upto[k] rows) for ascending rates while upto, which falls, is not 0. Most rates take one product
+    each: kernels at evenly spaced rates are a common factor apart, and that at twice a rate is a square. A kernel is valid until the next."""
+    even, squared = _evenly(t), _from_before(t)
+    held = np.empty((2 if even else CHAINS if any(squared) else 1, *d2.shape))
+    for k, rows in enumerate(upto):
+        if rows == 0:
+            return
+        kernel = held[0 if even else k % len(held), :rows]
+        if even and k > 0:
+            if k == 1:
+                np.exp(np.multiply(d2[:rows], -(t[-1] - t[0]) / (len(t) - 1), out=held[1, :rows]), out=held[1, :rows])
+            np.multiply(kernel, held[1, :rows], out=kernel)
+        elif not even and squared[k]:
+            np.multiply(kernel, kernel, out=kernel)
+        else:
+            np.exp(np.multiply(d2[:rows], -t[k], out=kernel), out=kernel)
+        yield k, kernel
+
+
+def _gap2(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
+    """Squared distances between all boxes of one side and all of the other."""
+    gap = np.maximum(0.0, np.maximum(other_low[None] - high[:, None], low[:, None] - other_high[None]))
+    return (gap * gap).sum(-1)
+
+
 def _pair_sums(dims: int):
     """Kernel sums of the vectors of a pair of groups (a, b) over each other, per bandwidth: an array per tile."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, hs = pdf["a"].iloc[0], pdf["b"].iloc[0], np.asarray(pdf["hs"].iloc[0])
-        scale = -0.5 / (hs * hs)
+        a, b, n, given = pdf["a"].iloc[0], pdf["b"].iloc[0], pdf["n"].iloc[0], np.asarray(pdf["hs"].iloc[0])
+        place = np.argsort(-given, kind="stable")       # the largest first: a pair that a bandwidth needs was needed by all before it
+        hs = given[place]
+        t, reach, zero = 0.5 / (hs * hs), 2 * hs * hs * (SLIGHT + np.log(n)), -2 * hs * hs * ZERO
         points = [np.asarray(p).reshape(-1, dims + 1) for p in pdf["points"]]
         sums = [np.zeros((len(hs), len(p))) for p in points]
+        starts = [np.arange(0, len(p), STRIP) for p in points]
+        low, high = ([f.reduceat(p[:, :dims], s) for p, s in zip(points, starts)] for f in (np.minimum, np.maximum))
+        near = [np.asarray(v) for v in pdf["near"]]
         side = [np.flatnonzero(pdf["grp"].to_numpy() == g) for g in (a, b)]
         for i in side[0]:
             for j in side[1]:
                 if a == b and j < i:
                     continue
-                gap = np.maximum(0.0, np.maximum(pdf["low"].iloc[j] - pdf["high"].iloc[i], pdf["low"].iloc[i] - pdf["high"].iloc[j]))
-                if not (scale * (gap @ gap) > ZERO).any():
-                    continue
                 (x, w), (y, v) = ((p[:, :dims], p[:, dims]) for p in (points[i], points[j]))
                 if i == j:
                     # A vector leaves itself out but keeps its copies, which are at distance 0.
                     sums[i] += w - 1.0
-                for at in range(0, len(x), STRIP):
+                gap2 = _gap2(low[i], high[i], low[j], high[j])[..., None]
+                needed = (gap2 < np.minimum(np.maximum(near[i][:, None], near[j][None])[..., None] + reach, zero)).sum(-1)
+                for at, times in zip(starts[i], needed):
                     strip = slice(at, at + STRIP)
-                    d2 = sum((x[strip, None, c] - y[None, :, c]) ** 2 for c in range(dims))
-                    if i == j:
-                        d2[np.arange(len(d2)), at + np.arange(len(d2))] = np.inf
-                    kernel = np.empty_like(d2)
-                    for k in np.flatnonzero(scale * d2.min() > ZERO):
-                        np.exp(np.multiply(d2, scale[k], out=kernel), out=kernel)
-                        sums[i][k, strip] += kernel @ v
+                    met = [s for s in np.argsort(-times, kind="stable") if times[s]]
+                    for some in (met[m:m + MET] for m in range(0, len(met), MET)):
+                        picked = np.concatenate([np.arange(starts[j][s], min(starts[j][s] + STRIP, len(y))) for s in some])
+                        upto = (np.repeat(times[some], [min(STRIP, len(y) - starts[j][s]) for s in some])[:, None] > np.arange(len(hs))).sum(0)
+                        d2 = sum((y[picked, None, c] - x[None, strip, c]) ** 2 for c in range(dims))
+                        if i == j:
+                            d2[picked[:, None] == np.arange(len(x))[None, strip]] = np.inf
+                        weights, back = v[picked], np.zeros((len(hs), len(picked)))
+                        for k, kernel in _kernels(d2, t, upto):
+                            sums[i][k, strip] += weights[:len(kernel)] @ kernel
+                            if i != j:
+                                back[k, :len(kernel)] = kernel @ w[strip]
                         if i != j:
-                            sums[j][k] += w[strip] @ kernel
+                            sums[j][:, picked] += back
+        back_in_place = np.argsort(place)
         return pd.DataFrame({"class": pdf["class"], "tile": pdf["tile"], "n": pdf["n"], "hs": pdf["hs"],
-                             "points": pdf["points"] if a == b else None, "sums": [s.ravel() for s in sums]})
+                             "points": pdf["points"] if a == b else None, "sums": [s[back_in_place].ravel() for s in sums]})
 
     return run
 
@@ -202,11 +276,12 @@ def _kernel_sums(tiles: DataFrame, grid: DataFrame, finish: Callable, schema: st
     grid: (class, n, hs). Groups are paired once, and only where their boxes are near enough for the largest bandwidth.
     """
     box = [F.expr(f"array({', '.join(f'{agg}({c}[{d}])' for d in range(dims))}) as {c}") for agg, c in (("min", "low"), ("max", "high"))]
-    groups = tiles.groupBy("class", "grp").agg(*box)
-    other = groups.select("class", F.col("grp").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    groups = tiles.groupBy("class", "grp").agg(*box, F.max(F.array_max("near")).alias("near"))
+    other = groups.select("class", F.col("grp").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("near").alias("near_b"))
     gap = " + ".join(f"power(greatest(low_b[{d}] - high[{d}], low[{d}] - high_b[{d}], 0D), 2)" for d in range(dims))
     pairs = (groups.withColumnRenamed("grp", "a").join(other, "class").where("a <= b").join(per_class(grid), "class")
-             .where(f"-0.5D * ({gap}) / power(array_max(hs), 2) > {ZERO}D").select("class", "n", "hs", "a", "b"))
+             .where(f"-0.5D * ({gap}) / power(array_max(hs), 2) > {ZERO}D")
+             .where(f"a = b or {gap} < greatest(near, near_b) + 2 * power(array_max(hs), 2) * ({SLIGHT}D + ln(n))").select("class", "n", "hs", "a", "b"))
     sided = pairs.selectExpr("*", "explode(if(a = b, array(a), array(a, b))) as grp")
     # A number of partitions is given, as the work is not in the bytes, by which Spark would put all pairs into a few tasks.
     tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -244,6 +319,22 @@ def _log_grid(bracket: DataFrame, size: int) -> DataFrame:
     return bracket.select("class", "n", hs.alias("hs"))
 
 
+def search_grid(moments: DataFrame, dims: int = len(PARAMETERS)) -> tuple[DataFrame, int]:
+    """(class, n, hs) and the length of hs: a grid over the span of ``initial_grid`` and a little denser, of which a kernel is the square
+    of the one CHAINS places further on."""
+    size = math.ceil(2 * CHAINS * math.log2(SPREAD * SPREAD)) + 1
+    h0 = F.col("sigma") * F.pow(4.0 / ((dims + 2) * F.col("n")), F.lit(1.0 / (dims + 4)))
+    hs = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: h0 / SPREAD * F.pow(F.lit(2.0), k / (2.0 * CHAINS)))
+    return moments.select("class", "n", hs.alias("hs")), size
+
+
+def _even_grid(bracket: DataFrame, size: int) -> DataFrame:
+    """Ascending bandwidths between exp(lo) and exp(hi) whose rates 1 / (2 h^2) are evenly spaced."""
+    low, high = F.exp(-2 * F.col("hi")), F.exp(-2 * F.col("lo"))
+    hs = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: 1 / F.sqrt(high + (low - high) * k / (size - 1)))
+    return bracket.select("class", "n", hs.alias("hs"))
+
+
 def _top(ll: DataFrame, size: int) -> DataFrame:
     """Best grid point of each class with its two neighbours (itself at the grid's ends)."""
     curve = F.array_sort(F.collect_list(F.struct("k", F.ln("h").alias("lh"), "ll")))
@@ -255,12 +346,12 @@ def _top(ll: DataFrame, size: int) -> DataFrame:
 
 
 def _vertex() -> Column:
-    """Top of the parabola through three neighbouring grid points; the best point itself at an end."""
+    """Top of the parabola (over the rates) through three neighbouring points of an even grid; the best point itself at an end."""
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    step = (c["lh"] - a["lh"]) / 2
+    step = (F.exp(-2 * c["lh"]) - F.exp(-2 * a["lh"])) / 2
     curvature = a["ll"] - b["ll"] * 2 + c["ll"]
     inside = (a["k"] < b["k"]) & (b["k"] < c["k"]) & (curvature < 0)
-    return F.exp(F.when(inside, b["lh"] + step * (a["ll"] - c["ll"]) / (curvature * 2)).otherwise(b["lh"]))
+    return F.when(inside, 1 / F.sqrt(F.exp(-2 * b["lh"]) + step * (a["ll"] - c["ll"]) / (curvature * 2))).otherwise(F.exp(b["lh"]))
 
 
 def loo_bandwidth(z: DataFrame, moments: DataFrame, dims: int = len(PARAMETERS)) -> DataFrame:
@@ -272,11 +363,11 @@ def loo_bandwidth(z: DataFrame, moments: DataFrame, dims: int = len(PARAMETERS))
     """
     tiles, per_class = _tiles(z, dims), few_classes(moments)
     sizes = per_class(moments.select("class", "n"))
-    grid, size = initial_grid(moments, dims), GRID
+    grid, size = search_grid(moments, dims)
     for _ in range(ROUNDS + 1):
         top = stage(_top(loo_likelihood(tiles, grid, dims, per_class), size))
         bracket = top.select("class", F.col("a.lh").alias("lo"), F.col("c.lh").alias("hi")).join(sizes, "class")
-        grid, size = _log_grid(bracket, REFINE), REFINE
+        grid, size = _even_grid(bracket, REFINE), REFINE
     return top.join(sizes, "class").select("class", "n", _vertex().alias("h"))
 
 

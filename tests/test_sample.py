@@ -176,3 +176,48 @@ def test_copies_of_centers_do_not_change_the_draws(spark, groups, monkeypatch):
     split = sampling.dependent_samples(df, model, 1500, 3)
     pd.testing.assert_frame_equal(plain, split.select(columns).toPandas().sort_values(["class", "draw"]).reset_index(drop=True))
     assert split.columns == sampling.dependent_samples(df, model, 50, 3).columns
+
+
+def pair_frame(tiles, n, hs, same):
+    """What a task gets for a pair of groups of one tile each, or for a group with itself."""
+    return pd.DataFrame([{"class": "a", "tile": i, "grp": i, "a": 0, "b": 0 if same else 1, "n": n, "hs": hs, "points": np.c_[x, w].ravel(),
+                          "low": x.min(0), "high": x.max(0), "near": kde._nearest(x, w)} for i, (x, w) in enumerate(tiles)])
+
+
+@pytest.mark.parametrize("hs", [0.01 * 2 ** (np.arange(71) / 8), 1 / np.sqrt(np.linspace(400, 200, 16)), np.array([2.0, 0.03, 0.4])])
+def test_kernels_by_products_are_those_of_exp(monkeypatch, hs):
+    """Sums equal those of plain kernels, also of vectors far from all others; few exponentials are taken, and none where no sum can feel it."""
+    rng = np.random.default_rng(8)
+    x, y = (rng.normal(0, 1, (300, 3))[np.argsort(rng.normal(0, 1, 300))] for _ in range(2))
+    x, y = x[np.argsort(x[:, 0])], y[np.argsort(y[:, 0])]
+    x[7], y[5] = (9, 9, 9), (9.5, 9, 9)
+    w, v = rng.integers(1, 4, (2, 300)).astype(float)
+    w[7] = v[5] = 1
+    taken, original = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda a, *rest, **named: taken.append(np.size(a)) or original(a, *rest, **named))
+    got = kde._pair_sums(3)(pair_frame([(x, w), (y, v)], 1200, hs, False))["sums"].to_list()
+    count = sum(taken)
+    itself = kde._pair_sums(3)(pair_frame([(x, w)], 1200, hs, True))["sums"][0]
+    monkeypatch.undo()
+    d2, own = ((x[:, None] - y[None]) ** 2).sum(-1), ((x[:, None] - x[None]) ** 2).sum(-1)
+    others = ((y[:, None] - y[None]) ** 2).sum(-1)
+    np.fill_diagonal(own, np.inf)
+    np.fill_diagonal(others, np.inf)
+    for k, h in enumerate(hs):
+        kernel, inside = np.exp(-d2 / (2 * h * h)), np.exp(-own / (2 * h * h)) @ w + (w - 1)
+        whole_x, whole_y = inside + kernel @ v, np.exp(-others / (2 * h * h)) @ v + (v - 1) + w @ kernel
+        for part, want, whole in ((got[0], kernel @ v, whole_x), (got[1], w @ kernel, whole_y), (itself, inside, whole_x)):
+            assert (np.abs(part.reshape(len(hs), -1)[k] - want) <= 1e-11 * whole + 1e-290).all()
+    assert count < (0.3 if len(hs) > 3 else 1) * len(hs) * d2.size
+
+
+def test_search_takes_bandwidths_whose_kernels_are_squares(spark, groups):
+    moments = kde.usable_moments(params(spark, {"a": groups["a"]}))
+    grid, size = kde.search_grid(moments)
+    hs = np.array(grid.first().hs)
+    plain = np.array(kde.initial_grid(moments).first().hs)
+    assert len(hs) == size and hs[0] == pytest.approx(plain[0]) and hs[-1] >= plain[-1] * (1 - 1e-12) and (np.diff(np.log(hs)) < np.diff(np.log(plain)).max()).all()
+    assert sum(not s for s in kde._from_before(0.5 / hs[::-1] ** 2)) <= 3 * kde.CHAINS
+    bracket = spark.createDataFrame([("a", 60, -2.0, -1.8)], "class string, n bigint, lo double, hi double")
+    fine = np.array(kde._even_grid(bracket, kde.REFINE).first().hs)
+    assert kde._evenly(0.5 / fine[::-1] ** 2) and np.log(fine[[0, -1]]) == pytest.approx([-2.0, -1.8])
