@@ -1,5 +1,9 @@
 """Control points, replay, run logs, file sources and sinks."""
 
+import glob
+import os
+import tempfile
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +12,7 @@ from checks import registry
 from crosspath.operators.theta import arc_resample, theta_to_cps
 from crosspath.plans import generate
 from crosspath.plans.extract import extract_params
+from crosspath.sources import runlog
 from crosspath.sources.runlog import read_run_lines, tidy_run_log
 from crosspath.sources.scenarios import check_scenarios, read_scenarios, with_class_settings, class_settings
 from crosspath.sources.tables import read_table, write_table
@@ -143,3 +148,20 @@ def test_no_row_is_lost_without_tracks(spark):
     sc = scenarios(spark, [("a", "x", 1, 2, 0, 9, None)])
     got = extract_params(tracks(spark, straight(9, (0.0, 0.0), (1.0, 0.0), range(3), 0)), sc, CONFIG).collect()
     assert [r.status for r in got] == ["no_track"]
+
+
+def test_many_logs_are_written_and_listed_by_a_given_number_of_tasks(spark):
+    """Small logs are few bytes and many files: neither one task writes all, nor has each folder a task that lists it."""
+    sf, tasks = "/root/testdata/sf0.001", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written = glob.glob(f"{registry.run_files(spark, sf).removeprefix('file:')}/run=*/part-*")
+    assert 1 < len({os.path.basename(f).split("-")[1] for f in written}) <= tasks < len(written)
+    folder = tempfile.mkdtemp(dir="/tmp")
+    spark.range(60).selectExpr("id as run", "'x' as line").repartition(1).write.partitionBy("run").text(f"{folder}/runs")
+    before, sc = spark.conf.get(runlog.LISTING_TASKS), spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    lines = runlog.read_run_lines(spark, f"{folder}/runs")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    track = sc.statusTracker()
+    stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup("listing") for s in track.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 4 * sc.defaultParallelism and spark.conf.get(runlog.LISTING_TASKS) == before
+    assert lines.select("file").distinct().count() == 60
