@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 
 from checks import registry
 from crosspath.operators.theta import arc_resample, theta_to_cps
@@ -165,3 +166,28 @@ def test_many_logs_are_written_and_listed_by_a_given_number_of_tasks(spark):
     stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup("listing") for s in track.getJobInfo(j).stageIds]
     assert stages and max(s.numTasks for s in stages) <= 4 * sc.defaultParallelism and spark.conf.get(runlog.LISTING_TASKS) == before
     assert lines.select("file").distinct().count() == 60
+
+
+def test_runs_are_written_and_read_a_bounded_number_at_a_time(spark, tmp_path, monkeypatch):
+    """Neither a job nor a listing has all logs at once, and every line of every log comes back in its place."""
+    lines = spark.range(60).selectExpr("concat('run ', id % 20, ' [a]') as run", "id div 20 as ord", "concat(id % 20, ' line ', id div 20) as line")
+    monkeypatch.setattr(registry, "PACK", 6)
+    monkeypatch.setattr(runlog, "BATCH", 3)
+    folders = registry.write_runs(spark, lines, f"file://{tmp_path}/runs")
+    held = [len(os.listdir(d)) for d in glob.glob(folders.removeprefix("file://"))]
+    assert len(held) == 4 and max(held) < 40 and len(glob.glob(f"{tmp_path}/runs/pack=*/run=*")) == 20
+    asked, read = [], runlog._read_text
+    monkeypatch.setattr(runlog, "_read_text", lambda s, paths: asked.append(len(paths)) or read(s, paths))
+    got = read_run_lines(spark, folders).collect()
+    assert sum(asked) == 20 and max(asked) == 3
+    logs = {}
+    for r in sorted(got, key=lambda r: (r.file, r.ord.split, r.ord.row)):
+        logs.setdefault(r.file, []).append(r.line)
+    assert sorted(logs.values()) == sorted([f"{k} line {j}" for j in range(3)] for k in range(20))
+    asked.clear()
+    assert read_run_lines(spark, [f"{d}" for d in glob.glob(f"{tmp_path}/runs/pack=0")]).count() + read_run_lines(
+        spark, [d for d in glob.glob(f"{tmp_path}/runs/pack=[1-9]")]).count() == 60
+    (tmp_path / "empty").mkdir()
+    assert read_run_lines(spark, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        read_run_lines(spark, str(tmp_path / "missing"))
